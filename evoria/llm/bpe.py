@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import heapq
 import json
-from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 #: Fixed value: the pattern that splits text into words before the merges of byte-level BPE vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -134,70 +134,53 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def encode_digests(df: DataFrame, *, path: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, n_tokens, ids_sha256, decoded_sha256`` for every row; the ids themselves: ``encode_documents``.
+def encode_digests(df: DataFrame, *, path: str | None = None, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+    """``key, n_tokens, ids_sha256, decoded_sha256`` for every row, and ``token_ids`` if asked for.
 
     A null or empty text gives no token. Texts are encoded whole, one at a time; other columns are not read. The
     plan is a scan and one Arrow map without shuffle.
     """
+    import pyarrow as pa
+
     schema = StructType([StructField(key, df.schema[key].dataType), StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())])
+    if with_ids:
+        schema = schema.add("token_ids", ArrayType(IntegerType()))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches):
         enc = encoder(path or vocabulary_path())
         for batch in batches:
-            rows = []
-            for value in batch["_text"]:
-                ids = enc.encode(value or "")
-                decoded = enc.decode_bytes(ids)
-                try:
-                    decoded.decode()
-                except UnicodeDecodeError:
-                    decoded = decoded.decode("utf-8", "replace").encode()
-                rows.append((len(ids), sha256(",".join(map(enc.text_of.__getitem__, ids)).encode()).hexdigest(), sha256(decoded).hexdigest()))
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            out.insert(0, key, batch["_key"].array)
-            yield out
-
-    return _in_arrow(df, key, text, run, schema)
+            counts, ids_sha, text_sha, kept = [], [], [], []
+            for value in batch.column(1):
+                ids = enc.encode(value.as_py() or "")
+                counts.append(len(ids))
+                ids_sha.append(sha256(",".join(map(enc.text_of.__getitem__, ids)).encode()).hexdigest())
+                text_sha.append(sha256(enc.decode(ids).encode()).hexdigest())
+                if with_ids:
+                    kept.append(np.array(ids, np.int32))
+            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
+            if with_ids:
+                offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*kept, np.empty(0, np.int32)]))))
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInArrow(run, schema)
 
 
 def encode_documents(df: DataFrame, *, path: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, token_ids array<int>`` for every row."""
-    from pyspark.sql.types import ArrayType, IntegerType
-
-    schema = StructType([StructField(key, df.schema[key].dataType), StructField("token_ids", ArrayType(IntegerType()))])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoder(path or vocabulary_path())
-        for batch in batches:
-            yield pd.DataFrame({key: batch["_key"].array, "token_ids": [enc.encode(v or "") for v in batch["_text"]]})
-
-    return _in_arrow(df, key, text, run, schema)
+    return encode_digests(df, path=path, key=key, text=text, with_ids=True).select(key, "token_ids")
 
 
 def decode_documents(df: DataFrame, *, path: str | None = None, key: str = "doc_id", ids: str = "token_ids") -> DataFrame:
     """``key, text`` from a column of id lists (null: null)."""
+    import pyarrow as pa
+
     schema = StructType([StructField(key, df.schema[key].dataType), StructField("text", StringType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches):
         enc = encoder(path or vocabulary_path())
         for batch in batches:
-            yield pd.DataFrame({key: batch["_key"].array, "text": [None if v is None else enc.decode(list(v)) for v in batch["_text"]]})
-
-    return _in_arrow(df, key, ids, run, schema)
-
-
-def _in_arrow(df: DataFrame, key: str, value: str, run, schema: StructType) -> DataFrame:
-    """mapInArrow with the columns as Arrow-backed pandas series, so that null integer keys stay integers."""
-    import pyarrow as pa
-    from pyspark.sql import functions as F
-
-    def arrow(batches):
-        def frames():
-            for b in batches:
-                yield pd.DataFrame({"_key": pd.Series(pd.arrays.ArrowExtensionArray(pa.chunked_array([b.column(0)]))), "_text": pd.Series(b.column(1).to_pylist(), dtype=object)})
-
-        for out in run(frames()):
-            yield pa.RecordBatch.from_pandas(out, preserve_index=False)
+            texts = [None if v.as_py() is None else enc.decode(v.as_py()) for v in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=schema.names)
 
-    return df.select(F.col(key).alias("_key"), F.col(value).alias("_text")).mapInArrow(arrow, schema)
+    return df.select(F.col(key).alias("_key"), F.col(ids).alias("_ids")).mapInArrow(run, schema)
