@@ -43,46 +43,44 @@ def source_targets(totals: DataFrame) -> DataFrame:
     return filled.select("source", "source_size", F.least(F.coalesce(F.col("level") * F.col("w"), F.col("cap")), F.col("cap")).alias("target"))
 
 
-def fit(lengths: list[int], counts: list[int], budget: int) -> list[int]:
-    """How many documents of each length to take so that their sum comes nearest to ``budget`` from below.
+def fit(lengths: list[int], counts: list[int], budget: int, copies: int = 1) -> list[int]:
+    """How many takes of each length bring the sum nearest to ``budget``; each document can be taken ``copies`` times.
 
-    The budget is first spread over all lengths alike; then long documents fill what is left down to the largest
-    length; bounded-knapsack dynamic programming (a bit for each sum) fits the rest.
+    The budget is first spread over all lengths alike; then single documents, long ones first, fill what is left down
+    to a window of the largest length; bounded-knapsack dynamic programming (a bit for each sum) fits the rest.
     """
     total = sum(n * c for n, c in zip(lengths, counts))
-    if budget >= total:
-        return list(counts)
+    if budget >= total * copies:
+        return [c * copies for c in counts]
     take = [c * budget // total for c in counts]
+    room = [c * copies for c in counts]
     left = budget - sum(n * t for n, t in zip(lengths, take))
     order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
-    most = lengths[order[0]] if order else 0
-    window = min(2 * most, EXACT_BITS)
-    while left > window:
-        moved = False
+    most = min(lengths[order[0]], EXACT_BITS)
+    # lengths that have untaken documents come before second and third takes
+    for bound in (counts, room):
         for i in order:
-            n = min(counts[i] - take[i], max(0, left - window) // lengths[i] + 1, 1) if lengths[i] <= left else 0
-            if n and left > window:
+            while left > 2 * most and (n := min(bound[i] - take[i], max(1, (left - 2 * most) // lengths[i] // len(order)), left // lengths[i])) > 0:
                 take[i] += n
                 left -= n * lengths[i]
-                moved = True
-        if not moved:
-            break
     steps: list[tuple[int, int, int]] = []
-    reach, full = 1, 1 << left
-    mask = (full << 1) - 1
-    for i in order:
-        spare, copies = min(counts[i] - take[i], left // lengths[i]), 1
-        while spare and not reach & full:
-            n = min(copies, spare)
-            grown = (reach | reach << n * lengths[i]) & mask
-            if grown != reach:
-                steps.append((i, n, reach))
-                reach = grown
-            spare -= n
-            copies *= 2
-        if reach & full:
-            break
-    at = reach.bit_length() - 1
+    reach, full, mask = 1, 1 << left, (1 << left + most) - 1
+    for bound in (counts, room):
+        for i in order:
+            used = sum(n for k, n, _ in steps if k == i) if bound is room else 0
+            spare, n = min(bound[i] - take[i] - used, (left + most) // lengths[i]), 1
+            while spare > 0 and not reach & full:
+                n = min(n, spare)
+                grown = (reach | reach << n * lengths[i]) & mask
+                if grown != reach:
+                    steps.append((i, n, reach))
+                    reach = grown
+                spare -= n
+                n *= 2
+    below = (reach & ((full << 1) - 1)).bit_length() - 1
+    above = reach >> left + 1
+    above = left + (above & -above).bit_length() if above else 1 << 62
+    at = below if left - below <= above - left else above
     for i, n, before in reversed(steps):
         if not before >> at & 1:
             take[i] += n
@@ -91,7 +89,7 @@ def fit(lengths: list[int], counts: list[int], budget: int) -> list[int]:
 
 
 def quotas(histogram: DataFrame, targets: DataFrame) -> DataFrame:
-    """``source, size, n, whole, quota``: every document of the source is taken ``whole`` times, ``quota`` of a length once more."""
+    """``source, size, n, whole, quota``: every document of the source is taken ``whole`` times; ``quota`` takes of a length come on top."""
     joined = histogram.join(targets, histogram["source"].eqNullSafe(targets["source"])).select(histogram["source"], "size", "n", "source_size", "target")
 
     def plan(pdf):
@@ -101,7 +99,7 @@ def quotas(histogram: DataFrame, targets: DataFrame) -> DataFrame:
         source_size, target = int(pdf["source_size"].iloc[0]), float(pdf["target"].iloc[0])
         whole = min(int(target // source_size), MOST_TIMES)
         budget = 0 if whole == MOST_TIMES else round(target - whole * source_size)
-        take = fit(pdf["size"].tolist(), pdf["n"].tolist(), budget)
+        take = fit(pdf["size"].tolist(), pdf["n"].tolist(), budget, MOST_TIMES - whole) if budget else 0
         return pdf.assign(whole=whole, quota=take)[["source", "size", "n", "whole", "quota"]]
 
     return joined.groupBy("source").applyInPandas(plan, "source string, size long, n long, whole long, quota long")
@@ -120,7 +118,7 @@ def plan_mix(sized: DataFrame, seed: int = 0) -> DataFrame:
     if targets.count() <= BROADCAST_SOURCES:
         small = F.broadcast(small)
     parts = F.greatest(F.lit(1), F.ceil(F.col("n") / PART_ROWS)).cast("long")
-    wanted = plan.filter("size > 0").select(F.col("source").alias("q_source"), F.col("size").alias("q_size"), "whole", "quota", parts.alias("parts"))
+    wanted = plan.filter("size > 0").select(F.col("source").alias("q_source"), F.col("size").alias("q_size"), "n", "whole", "quota", parts.alias("parts"))
     order = F.xxhash64(F.lit(seed), F.col("_id"))
     part = F.pmod(F.shiftrightunsigned(order, 20), F.col("parts"))
     rows = sized.join(wanted, sized["source"].eqNullSafe(wanted["q_source"]) & (sized["size"] == wanted["q_size"]), "left").drop("q_source", "q_size")
@@ -132,9 +130,9 @@ def plan_mix(sized: DataFrame, seed: int = 0) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("source", "size", "_part").orderBy("_order", "_id"))
     ranked = rows.filter(some).withColumn("_rank", rank)
     ranked = ranked.join(before, ranked["source"].eqNullSafe(before["b_source"]) & (ranked["size"] == before["b_size"]) & (ranked["_part"] == before["b_part"]), "left").drop("b_source", "b_size", "b_part")
-    ranked = ranked.withColumn("_times", F.col("whole") + (F.coalesce("first", F.lit(0)) + F.col("_rank") <= F.col("quota")).cast("long")).drop("first", "_rank")
+    ranked = ranked.withColumn("_times", F.col("whole") + F.floor(F.col("quota") / F.col("n")) + (F.coalesce("first", F.lit(0)) + F.col("_rank") <= F.col("quota") % F.col("n")).cast("long")).drop("first", "_rank")
     rest = rows.filter(~some).withColumn("_times", F.coalesce("whole", F.lit(0)))
-    timed = ranked.unionByName(rest).drop("whole", "quota", "parts", "_order", "_part")
+    timed = ranked.unionByName(rest).drop("n", "whole", "quota", "parts", "_order", "_part")
     return timed.join(small, timed["source"].eqNullSafe(small["t_source"]), "left").drop("t_source")
 
 
