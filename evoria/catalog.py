@@ -2,20 +2,29 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 
-Query = Callable[[SparkSession, str], DataFrame]
+from .plans.registry import ORACLES, QUERIES, Query
+
+MODULES = ("relational",)
+
+
+def _load() -> None:
+    for name in MODULES:
+        importlib.import_module(f"evoria.plans.{name}")
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    _load()
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(ORACLES)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return queries()["R01_inner_join"](spark, sf_dir)
