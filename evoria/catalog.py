@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .plans.registry import ORACLES, QUERIES, Query
 
-MODULES = ("relational", "text")
+MODULES = ("relational", "text", "corpus")
 
 
 def _load() -> None:

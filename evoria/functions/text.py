@@ -110,16 +110,13 @@ def best_snippet(text: Column, tokens: Column, width: int = 220, step: int = 60,
     return F.when(F.length(snippet) > shown, F.concat(F.substring(snippet, 1, shown), F.lit("…"))).otherwise(snippet)
 
 
-def entity_key(name: Column, rounds: int = 4) -> Column:
-    """Lower case without punctuation, legal-form endings (two characters stay) and one business word."""
+def entity_key(name: Column) -> Column:
+    """Lower case without punctuation, all legal-form endings (two characters stay) and one business word."""
     key = F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), "(?U)" + KEY_PUNCTUATION, "")
-    for _ in range(rounds):
-        for ending in LEGAL_ENDINGS:
-            key = F.regexp_replace(key, f"^(.{{2,}}){ending}$", "$1")
-    out = key
-    for word in reversed(BUSINESS_WORDS):
-        out = F.when(key.rlike(f"^.{{2,}}{word}$") & ~key.rlike(f"{word}{word}$"), F.regexp_replace(key, f"{word}$", "")).otherwise(out)
-    return out
+    key = F.regexp_replace(key, f"^(.{{2,}}?)(?:{'|'.join(LEGAL_ENDINGS)})+$", "$1")
+    words = "|".join(BUSINESS_WORDS)
+    # a doubled business word stays
+    return F.when(key.rlike(f"({words})\\1$"), key).otherwise(F.regexp_replace(key, f"^(.{{2,}}?)(?:{words})$", "$1"))
 
 
 def entity_type(name: Column) -> Column:
