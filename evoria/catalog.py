@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .plans.registry import ORACLES, QUERIES, Query
 
-MODULES = ("relational", "text", "corpus")
+MODULES = ("relational", "text", "corpus", "facts", "resolution", "graphs")
 
 
 def _load() -> None:
@@ -27,4 +27,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["R01_inner_join"](spark, sf_dir)
+    return queries()["Q01_fact_as_of"](spark, sf_dir)
