@@ -38,7 +38,7 @@ def edge_listing(spark, d):
     return _edges(spark, d).filter("dst = 3").orderBy("src").limit(100)
 
 
-@query("G04_company_aggregate", "WITH f AS (SELECT c_nationkey AS node, o_orderkey AS ev, o_orderpriority AS kind, o_orderdate AS at FROM orders JOIN customer ON o_custkey = c_custkey), b AS (SELECT node, count(DISTINCT ev) AS events, min(at)::DATE::VARCHAR AS lo, max(at)::DATE::VARCHAR AS hi FROM f GROUP BY 1), k AS (SELECT node, kind, count(DISTINCT ev) AS n, row_number() OVER (PARTITION BY node ORDER BY count(DISTINCT ev) DESC, kind) AS rn FROM f GROUP BY ALL) SELECT node, events, lo, hi, (SELECT string_agg(kind || '=' || n, ',' ORDER BY rn) FROM k WHERE k.node = b.node AND rn <= 3) AS kinds FROM b ORDER BY events DESC, node LIMIT 10")
+@query("G04_company_aggregate", "WITH f AS (SELECT c_nationkey AS node, o_orderkey AS ev, o_orderpriority AS kind, o_orderdate AS t FROM orders JOIN customer ON o_custkey = c_custkey), b AS (SELECT node, count(DISTINCT ev) AS events, min(t)::DATE::VARCHAR AS lo, max(t)::DATE::VARCHAR AS hi FROM f GROUP BY 1), k AS (SELECT node, kind, count(DISTINCT ev) AS n, row_number() OVER (PARTITION BY node ORDER BY count(DISTINCT ev) DESC, kind) AS rn FROM f GROUP BY node, kind) SELECT node, events, lo, hi, (SELECT string_agg(kind || '=' || n, ',' ORDER BY rn) FROM k WHERE k.node = b.node AND rn <= 3) AS kinds FROM b ORDER BY events DESC, node LIMIT 10")
 def company_aggregate(spark, d):
     f = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_nationkey").alias("node"), F.col("o_orderkey").alias("ev"), F.col("o_orderpriority").alias("kind"), F.to_date("o_orderdate").alias("at"))
     shown = F.array_join(F.transform(F.map_entries("kinds"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
@@ -50,7 +50,7 @@ def khop(spark, d):
     return graph.neighbourhood(_edges(spark, d), _nodes(spark, 1_000_007), 2)
 
 
-@query("G05_components", f"WITH {_EDGES} SELECT 100 + r_regionkey::BIGINT AS region, count(DISTINCT n_nationkey) + (SELECT count(*) FROM customer JOIN nation x ON c_nationkey = x.n_nationkey WHERE x.n_regionkey = r_regionkey) + 1 AS members, min(n_nationkey)::BIGINT AS root FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY ALL")
+@query("G05_components", f"WITH {_EDGES} SELECT 100 + n_regionkey::BIGINT AS region, (count(DISTINCT n_nationkey) + count(c_custkey) + 1)::BIGINT AS members, min(n_nationkey)::BIGINT AS root FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1")
 def components(spark, d):
     c = graph.components(_edges(spark, d).select(F.col("src").alias("a"), F.col("dst").alias("b")))
     return c.groupBy("root").agg(F.count(F.lit(1)).alias("members"), F.max(F.when(F.col("node").between(100, 199), F.col("node"))).alias("region"))

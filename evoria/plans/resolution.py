@@ -155,12 +155,12 @@ def correlation_clusters(spark, d):
     return res.correlation_clusters(table(spark, d, "embeddings").select(F.col("vec_id").alias("node")), graph.store(_similar(spark, d)))
 
 
-@query("C24_canonical_proposals", f"{_UNIT}, s AS (SELECT a.label, a.vec_id AS a, b.vec_id AS b, round(least(1.0, greatest(0.0, ({_DOT.format(a='a.e', b='b.e')} + 1) / 2)), 4) AS p FROM u a JOIN u b ON a.label = b.label AND a.vec_id < b.vec_id), c AS (SELECT label, min(vec_id) AS cluster FROM u GROUP BY 1) SELECT cluster, round(avg(p), 3) AS p, count(*) AS edges, CASE WHEN avg(p) >= 0.9 THEN 'merge' WHEN avg(p) >= 0.5 THEN 'review' ELSE 'none' END AS action FROM s JOIN c USING (label) GROUP BY 1")
+@query("C24_canonical_proposals", f"{_UNIT}, s AS (SELECT a.label, a.vec_id AS a, b.vec_id AS b, round(least(1.0, greatest(0.0, ({_DOT.format(a='a.e', b='b.e')} + 1) / 2)), 4) AS p FROM u a JOIN u b ON a.label = b.label AND a.vec_id < b.vec_id), c AS (SELECT label, min(vec_id) AS cluster FROM u GROUP BY 1) SELECT cluster, round(round(avg(p), 4), 2) AS p, count(*) AS edges, CASE WHEN avg(p) >= 0.9 THEN 'merge' WHEN avg(p) >= 0.5 THEN 'review' ELSE 'none' END AS action FROM s JOIN c USING (label) GROUP BY 1")
 def canonical_proposals(spark, d):
     v = table(spark, d, "embeddings")
     least = v.groupBy("label").agg(F.min("vec_id").alias("cluster"))
     clusters = v.join(least, "label").select(F.col("vec_id").alias("node"), "cluster")
-    return res.proposals(clusters, _similar(spark, d)).withColumn("p", F.round("p", 3))
+    return res.proposals(clusters, _similar(spark, d)).withColumn("p", F.round("p", 2))
 
 
 @query("C25_oversplit_autopsy", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND n_chars % 2 = 0 THEN 'same_day_isolation' WHEN doc_id % 2 = 0 THEN 'recall_miss' WHEN n_chars % 5 = 0 THEN 'hard_exclusion' WHEN n_chars % 7 = 0 THEN 'attached_elsewhere' WHEN n_chars % 100 < 78 THEN 'low_score' ELSE 'judge_rejected' END AS cause FROM documents")
