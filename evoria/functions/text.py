@@ -36,11 +36,10 @@ def tokenize(text: Column) -> Column:
 
 def nfkc(text: Column) -> Column:
     """NFKC normalization; an Arrow UDF, for texts with compatibility characters only."""
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
+    from pyspark.sql.functions import PandasUDFType, pandas_udf
 
-    @pandas_udf("string")
-    def normal(s: pd.Series) -> pd.Series:
+    @pandas_udf("string", PandasUDFType.SCALAR)
+    def normal(s):
         import unicodedata
 
         return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
