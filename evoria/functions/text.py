@@ -187,3 +187,19 @@ def intent(query: Column) -> Column:
     """as_of, evolution, current or exploration, by the first group of words that occurs."""
     rules = [(r"当时(系统)?(知道|了解|认为)|当时已知", "as_of"), (r"变化|变过|几次|历程|演化|历史|一路|以来|趋势|对比|比较|之前和现在|多少钱.*现在", "evolution"), (r"当前|现在|目前|最新|如今的?|现状", "current")]
     return F.coalesce(first_rule(query, rules), F.lit("exploration"))
+
+
+def as_list(x: Column) -> Column:
+    """A null is an empty list, a scalar a list of one."""
+    return F.when(x.isNull(), F.array().cast("array<string>")).otherwise(F.array(x.cast("string")))
+
+
+def shown(s: Column, length: int) -> Column:
+    return F.substring(s, 1, length)
+
+
+def event_card(kind: Column, actors: Column, objects: Column, action: Column, lower: Column, upper: Column, facts: Column, groups: Column, reports: Column) -> Column:
+    """A card of labelled lines: at most four actors and objects and six facts, each sorted and once."""
+    few = lambda a, n: F.array_join(F.slice(F.array_sort(F.array_distinct(a)), 1, n), "、")
+    parts = [F.concat(F.lit("type: "), kind), F.concat(F.lit("actors: "), few(actors, 4)), F.concat(F.lit("objects: "), few(objects, 4)), F.concat(F.lit("action: "), action), F.concat(F.lit("time: "), F.coalesce(lower, F.lit("?")), F.lit("~"), F.coalesce(upper, F.lit("?"))), F.concat(F.lit("facts: "), few(facts, 6)), F.concat(F.lit("sources: "), groups.cast("string"), F.lit(" reports: "), reports.cast("string"))]
+    return F.concat_ws("\n", *parts)

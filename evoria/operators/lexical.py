@@ -55,3 +55,17 @@ def rrf(channels: list[DataFrame], group: str, key: str, k: int = RRF_K) -> Data
 def chunk_max(scores: DataFrame, keys: list[str], score: str = "score") -> DataFrame:
     """A document's rerank score is that of its best chunk."""
     return scores.groupBy(*keys).agg(F.max(score).alias(score))
+
+
+def index_text(kind: str, **columns: Column) -> Column:
+    """What an index reads: a cluster's summary and frame, a document's title, source and first 4,000 characters, or an event card."""
+    if kind == "document":
+        return F.concat_ws(" ", columns["title"], columns["source"], F.substring(columns["body"], 1, 4000))
+    if kind == "cluster":
+        return F.concat_ws(" ", columns["summary"], columns["frame"])
+    return F.concat_ws(" ", *columns.values())
+
+
+def choice_rank(answers: DataFrame, group: str, key: str, mass: str) -> DataFrame:
+    """Rank by a judge's choice distribution; the mass of "none of them" (a null key) stays out and is not shared out again."""
+    return top(answers.filter(F.col(key).isNotNull()), group, key, 1 << 30, mass)

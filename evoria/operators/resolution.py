@@ -232,3 +232,37 @@ def seeded_rank(group: Sequence[str], key: str, seed: str) -> Column:
     return F.row_number().over(Window.partitionBy(*group).orderBy(seeded_order(key, seed), key))
 
 
+
+
+def coverage_ok(channels: Column, stale: Column, wanted: int = 2) -> Column:
+    """Recall is healthy if enough channels answered and no projection is stale."""
+    return (F.size(F.array_distinct(channels)) >= wanted) & (stale == 0)
+
+
+def anchor(candidates: DataFrame, mention: str, cluster: str, own: str, other: str) -> DataFrame:
+    """The first candidate with the mention's own business number."""
+    return candidates.filter(F.col(own) == F.col(other)).groupBy(mention).agg(F.min(cluster).alias("anchor"))
+
+
+def judge_shortlist(candidates: DataFrame, mention: str, cluster: str, hit: str, lexical: str, most: int = 24) -> DataFrame:
+    """At most ``most`` candidates of a mention for a judge: entity hits first, then lexical score, then id."""
+    return top_k(candidates, [mention], [F.desc(hit), F.desc(lexical), cluster], most)
+
+
+def identity_notes(pairs: Sequence[tuple[str, Column, Column]]) -> tuple[Column, Column]:
+    """(anchors, conflicts): names of the identity fields that agree, and of those that are both known and differ."""
+    same = F.filter(F.array(*(F.when(a == b, F.lit(n)) for n, a, b in pairs)), lambda x: x.isNotNull())
+    differ = F.filter(F.array(*(F.when(a != b, F.lit(n)) for n, a, b in pairs)), lambda x: x.isNotNull())
+    return same, differ
+
+
+def apply_plans(members: DataFrame, plans: DataFrame) -> DataFrame:
+    """Memberships (mention, cluster, action) after plans(mention, action, target): attach to the target, create under the own id, wait."""
+    new = plans.filter(F.col("action") != "pending").select("mention", F.when(F.col("action").startswith("create"), F.col("mention")).otherwise(F.col("target")).alias("cluster"), "action")
+    return members.unionByName(new.join(members.select("mention"), "mention", "left_anti"))
+
+
+def decision_audit(plans: DataFrame, ranked: DataFrame, mention: str = "mention") -> DataFrame:
+    """One row for each plan with its candidates and scores as an ordered array."""
+    listed = ranked.groupBy(mention).agg(F.array_sort(F.collect_list(F.struct("rn", "cluster", "score"))).alias("candidates"))
+    return plans.join(listed, mention, "left")

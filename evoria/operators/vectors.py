@@ -68,3 +68,15 @@ def checked_dimension(vectors: DataFrame, vector: str, dim: int) -> tuple[DataFr
     """(good, bad) by vector length."""
     ok = F.coalesce(F.size(vector) == dim, F.lit(False))
     return vectors.filter(ok), vectors.filter(~ok)
+
+
+def deactivate(vectors: DataFrame, owners: DataFrame, owner: str = "owner") -> DataFrame:
+    """``active`` false for the vectors of the listed owners."""
+    gone = owners.select(owner).distinct().withColumn("_gone", F.lit(True))
+    return vectors.join(gone, owner, "left").withColumn("active", F.col("active") & F.col("_gone").isNull()).drop("_gone")
+
+
+def own_representatives(members: DataFrame, vectors: DataFrame, group: str, member: str, order: list[str], most: int = 5) -> DataFrame:
+    """Representative vectors of a group: those of its own first members, not of the latest one."""
+    w = Window.partitionBy(group).orderBy(*order)
+    return members.withColumn("rep_no", F.row_number().over(w)).filter(F.col("rep_no") <= most).join(vectors, member)
