@@ -28,7 +28,7 @@ bins AS (SELECT lang, source, metric, {_BIN} AS bin FROM long),
 own AS (SELECT lang, source, metric, count(*) AS total, quantile_disc(bin, 0.25) AS q25, quantile_disc(bin, 0.75) AS q75 FROM bins GROUP BY ALL),
 by_lang AS (SELECT lang, metric, count(*) AS total, quantile_disc(bin, 0.25) AS q25, quantile_disc(bin, 0.75) AS q75 FROM bins GROUP BY ALL),
 by_all AS (SELECT metric, quantile_disc(bin, 0.25) AS q25, quantile_disc(bin, 0.75) AS q75 FROM bins GROUP BY ALL),
-width AS (SELECT * FROM (VALUES ('word_length', 200), ('symbols', 60), ('dup_lines', 300), ('repeats', 300)) AS t(metric, least)),
+width AS (SELECT * FROM (VALUES ('word_length', 200), ('symbols', 60), ('dup_lines', 500), ('repeats', 300)) AS t(metric, least)),
 fence AS (
   SELECT o.lang, o.source, o.metric, least + CASE WHEN o.total >= 50 THEN o.q75 + 6 * (o.q75 - o.q25) WHEN l.total >= 50 THEN l.q75 + 6 * (l.q75 - l.q25) ELSE a.q75 + 6 * (a.q75 - a.q25) END AS top
   FROM own o JOIN by_lang l ON o.lang IS NOT DISTINCT FROM l.lang AND o.metric = l.metric JOIN by_all a ON a.metric = o.metric JOIN width ON width.metric = o.metric),

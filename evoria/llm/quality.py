@@ -14,7 +14,7 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 METRICS = {
     "word_length": ("word_chars", "n_words", 100, 200),
     "symbols": ("n_symbols", "word_chars", 1000, 60),
-    "dup_lines": ("n_dup_lines", "n_lines", 1000, 300),
+    "dup_lines": ("n_dup_lines", "n_lines", 1000, 500),
     "repeats": ("n_repeat_words", "n_words", 1000, 300),
 }
 #: A document fails a metric above q75 + SPREADS * (q75 - q25) + least width.
