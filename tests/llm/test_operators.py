@@ -387,7 +387,8 @@ def test_warc(spark):
 def test_warc_salvage(spark, tmp_path, packed):
     records = [warc.record_bytes(i, f"u{i}", f"payload {i} ".encode() * 30, "response", None) for i in range(6)]
     parts = [warc.gzip_member(r) if packed else r for r in records]
-    broken = parts[2][:40] + bytes([parts[2][40] ^ 255]) + parts[2][41:]
+    at = 40 if packed else len(parts[2]) - 20  # in plain files only blocks have a digest
+    broken = parts[2][:at] + bytes([parts[2][at] ^ 255]) + parts[2][at + 1 :]
     data = parts[0] + b"junk" + parts[1] + broken + parts[3] + parts[4][:-10] + parts[5] + b"WARC/1.1\r\n"
     got = list(warc.read_archive(data))
     assert [h["x-page-id"] for k, _, _, h, _ in got if k == "record"] == ["0", "1", "3", "5"]
