@@ -148,7 +148,14 @@ def mix_report(df: DataFrame, *, key: str = "doc_id", text: str = "text", source
 
 def mix(df: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 0) -> DataFrame:
     """The mix itself: the rows of ``df``, each as often as it is taken (0 to 3 times)."""
-    packed = df.select(F.struct(*df.columns).alias("_row"), F.monotonically_increasing_id().alias("_uid"), F.col(key).alias("_id"), F.col(source).cast("string").alias("source"), size_of(text).alias("size"))
-    stored = materialize(packed, "mix-documents")  # from here on a row's number is fixed
-    times = plan_mix(stored.drop("_row"), seed).filter("_times > 0").select("_uid", F.col("_times").cast("int").alias("_times"))
-    return stored.select("_uid", "_row").join(times, "_uid").select("_row", F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_copy")).select("_row.*")
+    body = F.coalesce(F.col(text), F.lit(""))
+    named = df.select(F.struct(*df.columns).alias("_row"), F.col(key).alias("_id"), F.col(source).cast("string").alias("source"), size_of(text).alias("size"), F.xxhash64(body).alias("_text_hash"))
+    slim = materialize(named.drop("_row"), "mix-sizes")
+    # rows are known by id, source and text; rows that agree in all of them share their counts
+    same = F.to_json(F.struct("_id", "source", "size", "_text_hash"))
+    times = plan_mix(slim, seed).withColumn("_same", same).groupBy("_same").agg(F.sort_array(F.collect_list(F.col("_times").cast("int"))).alias("_all")).filter(F.array_max("_all") > 0)
+    joined = named.select("_row", same.alias("_same")).join(times, "_same")
+    placed = joined.withColumn("_place", F.row_number().over(Window.partitionBy("_same").orderBy("_same")))
+    count = F.get(F.col("_all"), F.col("_place") - 1)
+    copies = F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
+    return placed.select("_row", F.explode(copies).alias("_copy")).select("_row.*")

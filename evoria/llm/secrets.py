@@ -166,7 +166,8 @@ def redact(df: DataFrame, *, text: str = "text", mask: str = "[SECRET]") -> Data
     """``df`` with every found span of ``text`` replaced by ``mask``; overlapping spans become one. Null stays null."""
     columns = df.columns
     packed = df.select(F.struct(*columns).alias("_row"), F.col(text).alias("_text"))
-    found = materialize(scan(packed, "_text"), "secret-documents")
+    # texts are scanned twice rather than stored once more
+    found = scan(packed, "_text")
     least = discovery_steps(found, "_found")
     cut = found.withColumn("_spans", spans_of("_found", least))
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
