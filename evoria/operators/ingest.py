@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -72,3 +72,24 @@ def pending_stages(wanted: DataFrame, done: DataFrame) -> DataFrame:
     """Stage runs (stage, input_ref) that have no finished run with the same idempotency key."""
     keyed = lambda df: df.withColumn("run_key", ids.short_hash(F.concat_ws(ids.SEPARATOR, "stage", "input_ref"), 24))
     return keyed(wanted).join(keyed(done).select("run_key"), "run_key", "left_anti")
+
+
+def push(spark: SparkSession, items: list[dict], order_from: int = 0) -> DataFrame:
+    """Items handed in by a caller as rows with their order of arrival; missing fields are null."""
+    from ..sources.files import ITEM
+
+    names = [c.split()[0] for c in ITEM.split(", ")]
+    rows = [(order_from + i, *(item.get(n) for n in names)) for i, item in enumerate(items)]
+    return spark.createDataFrame(rows, "seq long, " + ITEM)
+
+
+def replay(stage: Callable[[], DataFrame], path: str) -> DataFrame:
+    """Run a stage again from its inputs and replace what an earlier run left at ``path``."""
+    out = stage()
+    out.write.mode("overwrite").parquet(path)
+    return out.sparkSession.read.parquet(path)
+
+
+def in_order(results: DataFrame, order: Sequence[str]) -> DataFrame:
+    """What parallel tasks gave, in the order of the input: commits are ordered, work is not."""
+    return results.orderBy(*order)

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import ids, times
-from ..operators import bitemporal, evidence, joins
+from ..operators import bitemporal, evidence
 from .registry import query, table
 
 _SLOT = "user_id || ':' || event_type || ':' AS slot"

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text, times
-from ..operators import bitemporal, extract, graph, joins, lexical, merge, resolution as res, vectors
+from ..operators import bitemporal, extract, graph, ingest, joins, lexical, merge, resolution as res, vectors
 from ..streaming import streams
 from .registry import query, table
 from .text import _NS, _UUID
@@ -209,3 +209,31 @@ def observability(spark, d):
     return table(spark, d, "events").groupBy(F.col("event_type").alias("stage")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") > 400).alias("warnings"))
 
 
+
+
+@query("S02_push_ingest", "SELECT i::BIGINT AS seq, CASE WHEN i % 2 = 0 THEN 'content_too_short' END AS reason FROM range(0, 6) t(i)")
+def push_ingest(spark, d):
+    items = [{"url": f"https://e.com/{i}", "title": f"t{i}", "source_name": "api", "content": "word " * (20 if i % 2 else 3)} for i in range(6)]
+    good, bad = ingest.split_short(ingest.identify(ingest.push(spark, items)))
+    return good.select("seq", F.lit(None).cast("string").alias("reason")).union(bad.select("seq", "reason"))
+
+
+@query("I13_replay", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+def replay(spark, d):
+    path = f"{graph.shared_folder(spark)}/evoria/replay-stage-{spark.sparkContext.applicationId}"
+    stage = lambda: table(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    ingest.replay(stage, path)
+    return ingest.replay(stage, path)
+
+
+@query("E06_ordered_commit", "SELECT conv_id, turn, row_number() OVER (ORDER BY conv_id, turn)::INTEGER AS commit_no FROM conversations ORDER BY conv_id, turn LIMIT 200")
+def ordered_commit(spark, d):
+    done = table(spark, d, "conversations").repartition(8).select("conv_id", "turn")
+    first = ingest.in_order(done, ["conv_id", "turn"]).limit(200)
+    return first.withColumn("commit_no", F.row_number().over(Window.orderBy("conv_id", "turn")))
+
+
+@query("V12_cached_matrix", "SELECT vec_id, label FROM embeddings WHERE label = 2")
+def cached_matrix(spark, d):
+    # a stored copy by role stands for the in-memory matrix: it is read again, not computed again
+    return graph.store(table(spark, d, "embeddings").filter("label = 2").select("vec_id", "label", "embedding")).select("vec_id", "label")
