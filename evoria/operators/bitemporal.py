@@ -121,31 +121,46 @@ def step(state: dict[str, Any] | None, fact: dict[str, Any]) -> tuple[dict[str,
 def fold(facts: DataFrame, slot: str, order: Sequence[str]) -> DataFrame:
     """All selections of every slot after its facts in order: (slot, value, valid_from, valid_to, sys_from, sys_to, disposition, decision).
 
-    ``facts`` has value, lineage (strings), valid_from, valid_to, sys_time (longs) and correction (boolean). A slot is
-    a sequence by nature; slots spread over tasks.
+    ``facts`` has value, lineage (strings), valid_from, valid_to, sys_time (longs) and correction (boolean). Slots are
+    dealt over tasks and come sorted, so a task holds the state of one slot and the row that is open in it.
     """
     names = ["value", "lineage", "valid_from", "valid_to", "sys_time", "correction"]
+    times = ["valid_from", "valid_to", "sys_from", "sys_to"]
+    columns = [slot, "value", *times, "disposition", "decision"]
 
-    def run(pdf):
+    def run(batches):
         import pandas as pd
 
-        pdf = pdf.sort_values(list(order))
-        state, rows = None, []
-        for record in pdf[names].astype(object).where(pdf[names].notna(), None).to_dict("records"):
-            state, decision, writes = step(state, record)
-            for w in writes:
-                if w["op"] == "close":
-                    rows[next(i for i in range(len(rows) - 1, -1, -1) if rows[i]["sys_to"] is None and rows[i]["sys_from"] == w["sys_from"] and rows[i]["valid_from"] == w["valid_from"] and rows[i]["value"] == w["value"])]["sys_to"] = w["sys_to"]
-                else:
-                    rows.append({k: w[k] for k in ("value", "valid_from", "valid_to", "sys_from", "sys_to", "disposition")} | {"decision": decision})
-        out = pd.DataFrame(rows, columns=["value", "valid_from", "valid_to", "sys_from", "sys_to", "disposition", "decision"])
-        out.insert(0, slot, pdf[slot].iloc[0])
-        for c in ("valid_from", "valid_to", "sys_from", "sys_to"):
-            out[c] = out[c].astype("Int64")
-        return out
+        def made(rows):
+            out = pd.DataFrame(rows, columns=columns)
+            return out.astype({c: "Int64" for c in times})
+
+        now, state, current, started = None, None, None, False
+        for batch in batches:
+            rows = []
+            plain = batch[[slot, *names]].astype(object)
+            for record in plain.where(plain.notna(), None).to_dict("records"):
+                if not started or record[slot] != now:
+                    if current is not None:
+                        rows.append(current)
+                    now, state, current, started = record[slot], None, None, True
+                state, decision, writes = step(state, {n: record[n] for n in names})
+                for w in writes:
+                    if w["op"] == "close":
+                        rows.append(current | {"sys_to": w["sys_to"]})
+                        current = None
+                        continue
+                    if current is not None:  # a restated past: stands open beside the row that follows
+                        rows.append(current)
+                    current = {slot: now, "decision": decision} | {k: w[k] for k in ("value", *times, "disposition")}
+            if rows:
+                yield made(rows)
+        if current is not None:
+            yield made([current])
 
     kind = facts.schema[slot].dataType.simpleString()
-    return facts.groupBy(slot).applyInPandas(run, f"`{slot}` {kind}, value string, valid_from long, valid_to long, sys_from long, sys_to long, disposition string, decision string")
+    ordered = facts.select(slot, *names, *(c for c in order if c not in (slot, *names))).repartition(slot).sortWithinPartitions(slot, *order)
+    return ordered.mapInPandas(run, f"`{slot}` {kind}, value string, valid_from long, valid_to long, sys_from long, sys_to long, disposition string, decision string")
 
 
 def change_cards(decided: DataFrame, slot: str, predicate: str, watched: Sequence[str], value: str, order: Sequence[str]) -> DataFrame:
