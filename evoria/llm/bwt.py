@@ -1,94 +1,82 @@
 """Column-wise construction of the Burrows-Wheeler transform of many strings, with a common-prefix flag for each suffix.
 
-One symbol of every string is inserted in each round, last symbols first. The transform, the suffix numbers and the
-flags lie in columns that each round reads and replaces from front to back; long columns are files.
+One symbol of every string is inserted in each round, last symbols first. An entry holds the symbol before a suffix
+(the transform), a flag (whether the suffix shares a prefix with the one before it) and where the suffix starts. The
+entries are replaced in each round from front to back; where they are many they lie in two files in turn.
 """
 
 from __future__ import annotations
 
 import os
 import tempfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 
-#: Entries that a round handles at a time.
-BLOCK = 1 << 20
-#: Columns of more bytes lie in files.
-IN_MEMORY = 1 << 26
-#: The symbol before a string's longest suffix so far. Bytes are shifted by one; UTF-8 has no byte 255.
+#: Entries handled at a time: a block and its sort stay in a core's cache.
+BLOCK = 1 << 16
+#: Entries of more bytes lie in files.
+IN_MEMORY = 1 << 27
+#: The symbol before a string's longest suffix so far. Bytes are numbered from 1; UTF-8 leaves some of the 256 out.
 END = 0
+FLAG, SHIFT = np.uint64(1 << 8), np.uint64(9)
 
 
-class Column:
-    """A sequence of numbers that is replaced as a whole, in memory or in one of two files in turn."""
+class Entries:
+    """Entries of 64 bits: start << 9 | flag << 8 | symbol."""
 
-    def __init__(self, folder: str, name: str, dtype: type) -> None:
-        self.base, self.dtype, self.turn = os.path.join(folder, name), np.dtype(dtype), 0
-        self.data: np.ndarray = np.empty(0, dtype)
+    def __init__(self, folder: str, data: np.ndarray) -> None:
+        self.folder, self.turn, self.data = folder, 0, data
 
     def __len__(self) -> int:
         return len(self.data)
 
-    def replace(self, blocks: Iterator[np.ndarray], n: int) -> None:
-        if n * self.dtype.itemsize <= IN_MEMORY:
-            out, at = np.empty(n, self.dtype), 0
-            for b in blocks:
-                out[at : at + len(b)] = b
-                at += len(b)
-            self.data = out
-            return
-        self.turn = 1 - self.turn
-        path = f"{self.base}.{self.turn}"
-        with open(path, "wb") as f:
-            for b in blocks:
-                np.ascontiguousarray(b, self.dtype).tofile(f)
-        self.data = np.memmap(path, self.dtype, "r", shape=(n,))
-
-
-def _inserted(column: Column, places: np.ndarray, values: np.ndarray) -> Iterator[np.ndarray]:
-    """Blocks of ``column`` with ``values`` standing at the sorted ``places`` of the result."""
-    n = len(column) + len(places)
-    for start in range(0, n, BLOCK):
-        end = min(n, start + BLOCK)
-        a, b = np.searchsorted(places, (start, end))
-        out, old = np.empty(end - start, column.dtype), np.ones(end - start, bool)
-        old[places[a:b] - start] = False
-        out[places[a:b] - start] = values[a:b]
-        out[old] = column.data[start - a : end - b]
-        yield out
-
-
-def _patched(blocks: Iterator[np.ndarray], places: np.ndarray, values: np.ndarray) -> Iterator[np.ndarray]:
-    at = 0
-    for block in blocks:
-        a, b = np.searchsorted(places, (at, at + len(block)))
-        block[places[a:b] - at] = values[a:b]
-        at += len(block)
-        yield block
-
-
-class Ranks:
-    """Replaces symbols of the transform from front to back, and counts equal symbols before each of them."""
-
-    def __init__(self, column: Column, places: np.ndarray, symbols: np.ndarray) -> None:
-        self.column, self.places, self.symbols = column, places, symbols
-        self.ranks, self.counts = np.empty(len(places), np.int64), np.zeros(256, np.int64)
-
-    def blocks(self) -> Iterator[np.ndarray]:
-        for start in range(0, len(self.column), BLOCK):
-            block = np.array(self.column.data[start : start + BLOCK])
-            a, b = np.searchsorted(self.places, (start, start + len(block)))
-            at, new = self.places[a:b] - start, self.symbols[a:b]
-            block[at] = new
-            order = np.argsort(block, kind="stable")  # a counting sort for bytes
-            own = np.bincount(block, minlength=256)
+    def starts(self, places: np.ndarray) -> np.ndarray:
+        return (self.data[places] >> SHIFT).astype(np.int64)
+
+    def insert(self, places: np.ndarray, values: np.ndarray) -> None:
+        """New entries at the sorted ``places`` that they have in the result."""
+        n = len(self.data) + len(places)
+        if n * 8 <= IN_MEMORY:
+            out = np.empty(n, np.uint64)
+        else:
+            self.turn = 1 - self.turn
+            out = np.memmap(os.path.join(self.folder, f"entries.{self.turn}"), np.uint64, "w+", shape=(n,))
+        cuts = np.searchsorted(places, np.arange(0, n + BLOCK, BLOCK))
+        for k, start in enumerate(range(0, n, BLOCK)):
+            end = min(n, start + BLOCK)
+            a, b = int(cuts[k]), int(cuts[k + 1])
+            old = np.ones(end - start, bool)
+            at = places[a:b] - start
+            old[at] = False
+            block = out[start:end]
+            block[at] = values[a:b]
+            block[old] = self.data[start - a : end - b]
+        self.data = out
+
+    def rank(self, places: np.ndarray, symbols: np.ndarray, n_symbols: int) -> tuple[np.ndarray, np.ndarray]:
+        """Set the symbols at the sorted ``places``; (equal symbols before each place, counts of all symbols)."""
+        ranks, counts = np.empty(len(places), np.int64), np.zeros(n_symbols, np.int64)
+        n = len(self.data)
+        cuts = np.searchsorted(places, np.arange(0, n + BLOCK, BLOCK))
+        is_new = np.zeros(min(n, BLOCK), bool)
+        for k, start in enumerate(range(0, n, BLOCK)):
+            block = self.data[start : start + BLOCK]
+            a, b = int(cuts[k]), int(cuts[k + 1])
+            at, new = places[a:b] - start, symbols[a:b]
+            block[at] += new
+            low = np.ascontiguousarray(block).view(np.uint8)[::8].copy()
+            own = np.bincount(low, minlength=n_symbols)
             if a < b:
-                where = np.empty(len(block), np.int32)
-                where[order] = np.arange(len(block), dtype=np.int32)
-                self.ranks[a:b] = self.counts[new] + where[at] - (np.cumsum(own) - own)[new]
-            self.counts += own
-            yield block
+                # a counting sort for bytes; the new symbols keep their order in it
+                order = np.argsort(low, kind="stable")
+                is_new[at] = True
+                sorted_at = np.flatnonzero(is_new[: len(low)][order])
+                is_new[at] = False
+                by = np.argsort(new.astype(np.uint8), kind="stable")
+                ranks[a + by] = sorted_at + (counts - np.cumsum(own) + own)[new[by]]
+            counts += own
+        return ranks, counts
 
 
 def sort_suffixes(text: np.ndarray, start: np.ndarray, end: np.ndarray, least: int, same: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -103,11 +91,11 @@ def sort_suffixes(text: np.ndarray, start: np.ndarray, end: np.ndarray, least: i
     np.add.at(long, start, 1)
     np.add.at(long, np.maximum(start, end - least + 1), -1)
     long = np.cumsum(long[:-1], dtype=np.int8).astype(bool)
+    # the bytes that occur, as numbers from 1 in their order
+    code = np.cumsum(np.bincount(text, minlength=256) > 0)
+    text, n_symbols = code[text].astype(np.uint8), int(code[-1]) + 1
     with tempfile.TemporaryDirectory(prefix="evoria-bwt-") as folder:
-        bwt, suffix, common = Column(folder, "bwt", np.uint8), Column(folder, "suffix", np.int32), Column(folder, "common", np.bool_)
-        bwt.replace(iter([np.full(m, END, np.uint8)]), m)
-        suffix.replace(iter([end.astype(np.int32)]), m)
-        common.replace(iter([np.zeros(m, bool)]), m)
+        entries = Entries(folder, end.astype(np.uint64) << SHIFT)
         place, at, first = np.arange(m), end.astype(np.int64), start.astype(np.int64)
         length = 0
         while True:
@@ -116,25 +104,21 @@ def sort_suffixes(text: np.ndarray, start: np.ndarray, end: np.ndarray, least: i
             if not len(at):
                 break
             length += 1
-            ranks = Ranks(bwt, place, text[at] + np.uint8(1))
-            bwt.replace(ranks.blocks(), len(bwt))
+            symbols = text[at].astype(np.uint64)
+            ranks, counts = entries.rank(place, symbols, n_symbols)
             # suffixes stand after the m empty ones, after those of smaller first symbols, after those of their own before
-            counts = ranks.counts.copy()
             counts[END] = m
-            target = (np.cumsum(counts) - counts)[ranks.symbols] + ranks.ranks
+            target = (np.cumsum(counts) - counts)[symbols] + ranks
             order = np.argsort(target, kind="stable")
             place, at, first = target[order], at[order], first[order]
-            n = len(bwt) + len(place)
-            bwt.replace(_inserted(bwt, place, np.full(len(place), END, np.uint8)), n)
-            suffix.replace(_inserted(suffix, place, at), n)
-            if length < least:
-                common.replace(_inserted(common, place, np.zeros(len(place), bool)), n)
-                continue
-            # common prefixes of the new suffixes and of those right after them
-            look = np.unique(np.concatenate([place, np.minimum(place + 1, n - 1)]))
-            a, b = suffix.data[look - 1], suffix.data[look]
-            both = long[a] & long[b]
-            both[both] = same(a[both], b[both])
-            common.replace(_patched(_inserted(common, place, np.zeros(len(place), bool)), look, both), n)
-        keep = long[suffix.data]
-        return np.array(suffix.data[keep]).astype(np.int64), np.array(common.data[keep])
+            entries.insert(place, at.astype(np.uint64) << SHIFT)
+            if length >= least:
+                # common prefixes of the new suffixes and of those right after them
+                look = np.unique(np.concatenate([place, np.minimum(place + 1, len(entries) - 1)]))
+                a, b = entries.starts(look - 1), entries.starts(look)
+                both = long[a] & long[b]
+                both[both] = same(a[both], b[both])
+                entries.data[look] = (entries.data[look] & ~FLAG) | (both.astype(np.uint64) << np.uint64(8))
+        starts = (entries.data >> SHIFT).astype(np.int64)
+        keep = long[starts]
+        return starts[keep], (np.asarray(entries.data)[keep] & FLAG) != 0

@@ -6,8 +6,11 @@ bucket; each bucket is a collection of short strings whose transform is built co
 
 from __future__ import annotations
 
+import gc
+import time
+
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import windows as W
@@ -15,7 +18,7 @@ from ._common import materialize, text_or_empty
 from .bwt import sort_suffixes
 
 #: Text bytes that a map task handles at a time, and string bytes of a bucket aimed at.
-CHUNK_BYTES, BUCKET_BYTES = 4 << 20, 12 << 20
+CHUNK_BYTES, BUCKET_BYTES = 3 << 20, 10 << 20
 #: Bytes of strings made from a byte of text.
 GROWTH = 3.7
 
@@ -142,18 +145,29 @@ def bucket_spans(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     body = np.concatenate([body, np.zeros(8, np.uint8)])
     first = np.cumsum(length) - length
     # strings whose minimizer, or the bytes at one side of it, no other document has cannot repeat one
-    many = place >= 64
-    p = first + (place.astype(np.int64) & 63)
     words = W.words64(body)
+    p = first + (place.astype(np.int64) & 63)
     kmer = (words[p] * W._A) ^ (words[p + 8] * W._B)
+    some = np.flatnonzero(_shared(kmer, ids))
+    if not len(some):
+        return (np.empty(0, np.int64),) * 4
+    ids, twins, begin, length, place, kmer = (x[some] for x in (ids, twins, begin, length, place, kmer))
+    body, first = _gather(body, first[some], length)
+    body = np.concatenate([body, np.zeros(8, np.uint8)])
+    many, p = place >= 64, first + (place.astype(np.int64) & 63)
     hashes = W.SpanHash(body)
-    keep = np.zeros(len(ids), bool)
-    for inside, low, high in (((p - W.SIDE >= first), -W.SIDE, W.K), ((p + W.K + W.SIDE <= first + length), 0, W.K + W.SIDE)):
+    left, right = np.zeros(len(ids), bool), np.zeros(len(ids), bool)
+    for side, inside, low, high in ((left, p - W.SIDE >= first, -W.SIDE, W.K), (right, p + W.K + W.SIDE <= first + length, 0, W.K + W.SIDE)):
         at = np.flatnonzero(inside)
-        keep[at] |= _shared(hashes.of(p[at] + low, p[at] + high), ids[at])
-    if many.any():
-        keep |= np.isin(kmer, np.unique(kmer[many]))
-    at = np.flatnonzero(keep)
+        side[at] = _shared(hashes.of(p[at] + low, p[at] + high), ids[at])
+    odd = np.isin(kmer, np.unique(kmer[many])) if many.any() else many
+    left |= odd
+    right |= odd
+    at = np.flatnonzero(left | right)
+    # where one side only is shared, the windows that need the other side go
+    end = np.where(left & ~right, np.minimum(first + length, p + W.K + W.SIDE), first + length)
+    cut = np.where(right & ~left, np.maximum(first, p - W.SIDE), first)
+    begin, length, first = begin + cut - first, end - cut, cut
     if not len(at):
         return (np.empty(0, np.int64),) * 4
     # one string for all its equals, with the least id
@@ -162,7 +176,7 @@ def bucket_spans(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     own, string = np.unique(rep, return_inverse=True)
     text, starts = _gather(body, first[at[own]], length[at[own]], gap=1)
     text = np.concatenate([text, np.zeros(8, np.uint8)])
-    del hashes, words, kmer
+    del hashes, kmer
     words = W.words64(text)
 
     def same(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -243,14 +257,21 @@ def repeat_spans(docs: DataFrame, total_bytes: int) -> DataFrame:
     return found.groupBy("id", "twin").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
 
 
-def merge_spans(spans: list) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for s, e in sorted((x["s"], x["e"]) for x in spans):
-        if out and s <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], e)
-        else:
-            out.append([s, e])
-    return [(s, e) for s, e in out]
+def merge_spans(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted, disjoint, not touching ranges that cover the same bytes."""
+    order = np.argsort(start, kind="stable")
+    start, end = start[order], np.maximum.accumulate(end[order])
+    new = np.concatenate([[True], start[1:] > end[:-1]])
+    return start[new], end[np.append(np.flatnonzero(new)[1:] - 1, len(end) - 1)]
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of finished, unreferenced plans now rather than at some later collection."""
+    jvm = getattr(spark, "_jvm", None)
+    for _ in range(2 if jvm is not None else 0):
+        gc.collect()
+        jvm.System.gc()
+        time.sleep(1)
 
 
 def with_spans(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -262,7 +283,7 @@ def with_spans(df: DataFrame, key: str, text: str) -> DataFrame:
     docs = base.withColumn("twin", F.xxhash64("text") if repeated else F.lit(0).cast("long"))
     total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     spans = materialize(repeat_spans(docs.filter("id is not null"), total), "repeat-spans")
-    spark._jvm.System.gc()  # lets Spark drop the shuffle files of the strings before the texts are joined
+    release_shuffles(spark)
     named = spans.withColumnsRenamed({"id": "s_id", "twin": "s_twin"})
     return docs.join(named, (docs["id"] == named["s_id"]) & (docs["twin"] == named["s_twin"]), "left").select("id", "text", "spans")
 
@@ -279,19 +300,26 @@ def remove_repeats(df: DataFrame, *, key: str = "doc_id", text: str = "text") ->
         from hashlib import sha256
 
         for batch in batches:
-            out = []
-            for text, spans in zip(batch.column(1), batch.column(2)):
-                body, spans = text.as_py().encode(), spans.as_py()
-                if not spans:
-                    out.append((len(body), 0, 0, sha256(body).hexdigest()))
+            spans = batch.column(2)
+            bounds = spans.offsets.to_numpy()
+            flat = spans.values
+            starts, ends = flat.field(0).to_numpy(), flat.field(1).to_numpy()
+            counts, shas = np.zeros((3, len(batch.column(1))), np.int64), []
+            for i, text in enumerate(batch.column(1)):
+                body = text.as_py().encode()
+                counts[0, i] = len(body)
+                a, b = bounds[i], bounds[i + 1]
+                if a == b:
+                    shas.append(sha256(body).hexdigest())
                     continue
-                merged, h, at = merge_spans(spans), sha256(), 0
-                for s, e in merged:
-                    h.update(body[at:s])
-                    at = e
+                h, at = sha256(), 0
+                s, e = merge_spans(starts[a:b], ends[a:b])
+                for x, y in zip(s.tolist(), e.tolist()):
+                    h.update(body[at:x])
+                    at = y
                 h.update(body[at:])
-                out.append((len(body), sum(e - s for s, e in merged), len(merged), h.hexdigest()))
-            columns = list(zip(*out)) if out else [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string())], names=[key, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                counts[1, i], counts[2, i] = (e - s).sum(), len(s)
+                shas.append(h.hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in counts), pa.array(shas, pa.string())], names=[key, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     return with_spans(df, key, text).mapInArrow(digest, f"`{key}` long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
