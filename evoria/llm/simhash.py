@@ -157,13 +157,16 @@ def link_edges(prints: DataFrame) -> DataFrame:
 
 
 def label_fingerprints(docs: DataFrame) -> DataFrame:
-    """``fp, component_id`` for every distinct ``fp`` of ``docs(id, fp)``: the smallest id reachable over links."""
+    """``fp, component_id, root`` for every distinct ``fp`` of ``docs(id, fp)``: the smallest id reachable over links.
+
+    ``root`` is the component's least fingerprint, which names a component without an id too.
+    """
     prints = materialize(docs.groupBy("fp").agg(F.min("id").alias("least")), "simhash-prints")
     edges = materialize(link_edges(prints.select("fp")), "simhash-links")
     comps = connected_components(edges)
     rooted = prints.join(comps, prints["fp"] == comps["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rooted.join(least, "root").select("fp", "component_id")
+    return rooted.join(least, "root").select("fp", "component_id", "root")
 
 
 def hex_of(fp: Column) -> Column:
@@ -184,18 +187,26 @@ def near_duplicates(df: DataFrame, *, key: str = "doc_id", text: str = "text") -
 
 
 def keep_one_of_each(df: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The row of each component whose key is the smallest, with the columns of ``df``; one row where keys repeat.
+    """The row of each component whose key is the smallest (the least fingerprint at a tie), with the columns of ``df``.
 
-    Rows with a null key are kept only if their whole component has none, then one row for each.
+    One row where keys repeat: a key that is the smallest of several components stays with the least fingerprint of
+    these, so the others lose their row. Rows with a null key are kept only if their whole component has none, then one
+    row for each component.
     """
     columns = df.columns
     fp = free_name(df, "_fp")
     docs = materialize(add_fingerprint(df.select(F.col(key).alias("id"), F.col(text).alias("body")), "body").select("id", "fp"), "simhash-documents")
     labels = label_fingerprints(docs)
-    named = docs.join(labels, "fp").filter(F.col("id").eqNullSafe(F.col("component_id")))
-    best = named.groupBy(F.col("component_id").alias("best_id")).agg(F.min("fp").alias("best_fp"))
+    best = F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "fp")).alias("best")
+    chosen = docs.join(labels, "fp").groupBy("root").agg(best).select(F.col("best.id").alias("best_id"), F.col("best.fp").alias("best_fp"))
+    chosen = materialize(chosen, "simhash-chosen")
+    first = chosen.filter("best_id is not null").groupBy("best_id").agg(F.min("best_fp").alias("best_fp"))
+    # a key of one fingerprint names its row; only rows of other keys and of none are fingerprinted again
+    several = docs.filter("id is not null").groupBy("id").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo <> hi").select(F.col("id").alias("several_id"))
     known = df.filter(F.col(key).isNotNull())
-    kept = known.join(best.filter("best_id is not null"), F.col(key) == F.col("best_id"), "left_semi").dropDuplicates([key])
-    lost = best.filter("best_id is null")
-    nameless = add_fingerprint(df.filter(F.col(key).isNull()), text, fp).join(lost, F.col(fp) == F.col("best_fp"), "left_semi").dropDuplicates([fp])
-    return kept.select(*columns).unionByName(nameless.select(*columns))
+    plain = first.join(several, F.col("best_id") == F.col("several_id"), "left_anti")
+    kept = known.join(plain, F.col(key) == F.col("best_id"), "left_semi").dropDuplicates([key])
+    reused = add_fingerprint(known.join(several, F.col(key) == F.col("several_id"), "left_semi"), text, fp)
+    reused = reused.join(first, (F.col(key) == F.col("best_id")) & (F.col(fp) == F.col("best_fp")), "left_semi").dropDuplicates([key, fp])
+    nameless = add_fingerprint(df.filter(F.col(key).isNull()), text, fp).join(chosen.filter("best_id is null"), F.col(fp) == F.col("best_fp"), "left_semi").dropDuplicates([fp])
+    return kept.select(*columns).unionByName(reused.select(*columns)).unionByName(nameless.select(*columns))

@@ -178,6 +178,15 @@ def test_simhash(docs, empty):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_one_of_each(empty).count() == 0
 
 
+def test_simhash_keeps_one_row_of_every_component(spark):
+    text = lambda w: " ".join(f"{w}{j}" for j in range(40))
+    # unrelated texts without an id; id 7 has copies of the text of id 1 and is the smallest of another component
+    table = [(None, text("a")), (None, text("b")), (None, text("b")), (1, text("c")), *[(7, text("c"))] * 9, (7, text("d")), (8, text("d")), (9, text("e")), (None, text("e"))]
+    kept = simhash.keep_one_of_each(spark.createDataFrame(table, "doc_id long, text string")).collect()
+    want = [(None, text("a")), (None, text("b")), (1, text("c")), (7, text("d")), (9, text("e"))]
+    assert Counter((r["doc_id"], r["text"]) for r in kept) == Counter(want)
+
+
 @pytest.mark.parametrize("large", [4096, 8])
 def test_simhash_links(spark, monkeypatch, large):
     monkeypatch.setattr(simhash, "LARGE_BUCKET", large)
