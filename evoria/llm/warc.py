@@ -84,51 +84,93 @@ def parse_record(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
     return head, block, end + 4
 
 
-def inflate(data: bytes, at: int) -> tuple[bytes, int]:
-    """The gzip member at ``at`` and its end; raises ``Gap`` where it is damaged."""
+def inflate(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """The bytes of the gzip member at ``at``, where reading ended, and what is wrong with it ("" where nothing is).
+
+    Of a cut or damaged member come the bytes up to the place at which decompression fails.
+    """
     z = zlib.decompressobj(31)
-    out, pos = [], at
-    try:
-        while not z.eof:
-            piece = data[pos : pos + (1 << 20)]
-            if not piece:
-                raise Gap("member is cut short")
+    out, pos, step = [], at, 1 << 20
+    while not z.eof:
+        piece = data[pos : pos + step]
+        if not piece:
+            return b"".join(out), pos, "member is cut short"
+        try:
             out.append(z.decompress(piece))
-            pos += len(piece)
-    except zlib.error as e:
-        raise Gap(f"bad member: {e}") from None
-    return b"".join(out), pos - len(z.unused_data)
+        except zlib.error as e:
+            if step == 1:
+                return b"".join(out), pos, f"bad member: {e}"
+            # the failing piece gave nothing: once more up to it, then byte by byte
+            z, step = zlib.decompressobj(31), 1
+            for x in range(at, pos, 1 << 20):
+                z.decompress(data[x : x + (1 << 20)])
+            continue
+        pos += len(piece)
+    return b"".join(out), pos - len(z.unused_data), ""
+
+
+def salvage(plain: bytes, whole: bool) -> Iterator[tuple[str, int, int, object, bytes]]:
+    """Like ``read_archive``, for the bytes of a gzip member; of one that is not ``whole`` only records with a block digest."""
+    at, bad, why = 0, -1, ""
+    while at < len(plain):
+        try:
+            head, block, end = parse_record(plain, at)
+            if not whole and not head.get("warc-block-digest", "").startswith("sha1:"):
+                raise Gap("no block digest in a damaged member")
+        except Gap as e:
+            if bad < 0:
+                bad, why = at, str(e)
+            at = plain.find(b"WARC/", at + 1)
+            at = len(plain) if at < 0 else at
+            continue
+        if bad >= 0:
+            yield "gap", bad, at, why, b""
+            bad = -1
+        yield "record", at, end, head, block
+        at = end
+    if bad >= 0:
+        yield "gap", bad, len(plain), why, b""
 
 
 def read_archive(data: bytes) -> Iterator[tuple[str, int, int, object, bytes]]:
     """``("record", start, end, headers, block)`` and ``("gap", start, end, reason, b"")`` in file order.
 
     After a failed check the reader looks for the next place at which a whole valid record starts (a gzip member, or a
-    version line in plain files), and reports the bytes between as a gap.
+    version line in plain files and in the bytes of a member), and reports the bytes between as a gap. Records and gaps
+    in a member have the member's range, and the reason of such a gap names its place in the inflated bytes. A damaged
+    member gives its valid records and then a gap that starts where the member does.
     """
     at, bad, why = 0, -1, ""
+    given, until = [], 0
     while at < len(data):
-        try:
-            if data.startswith(MEMBER, at):
-                plain, end = inflate(data, at)
-                found, pos = [], 0
-                while pos < len(plain):
-                    head, block, pos = parse_record(plain, pos)
-                    found.append((head, block))
-            else:
+        packed, damage = data.startswith(MEMBER, at), ""
+        if packed:
+            plain, end, damage = inflate(data, at)
+            found = list(salvage(plain, not damage))
+        else:
+            try:
                 head, block, end = parse_record(data, at)
-                found = [(head, block)]
-        except Gap as e:
-            if bad < 0:
-                bad, why = at, str(e)
-            places = [p for p in (data.find(MEMBER, at + 1), data.find(b"WARC/", at + 1)) if p >= 0]
-            at = min(places, default=len(data))
-            continue
-        if bad >= 0:
+                found = [("record", at, end, head, block)]
+            except Gap as e:
+                found, end, damage = [], at, str(e)
+        records = [(head, block) for kind, _, _, head, block in found if kind == "record"]
+        lost = bool(damage) or bool(found) and not records
+        if bad >= 0 and (records or not lost):
             yield "gap", bad, at, why, b""
             bad = -1
-        for head, block in found:
-            yield "record", at, end, head, block
+        for kind, start, stop, head, block in found:
+            # uncompressed parts of a damaged member would show its records a second time
+            if kind == "record" and (packed or at >= until or (head, block) not in given):
+                yield kind, at, end, head, block
+            elif kind == "gap" and not lost:
+                yield kind, at, end, f"{head} (inflated bytes {start} to {stop})", block
+        if lost and bad < 0:
+            bad, why = at, damage or str(found[0][3])
+        if packed and damage and records:
+            given, until = records, end
+        if damage:
+            places = [p for p in (data.find(MEMBER, at + 1), data.find(b"WARC/", at + 1)) if p >= 0]
+            end = min(places, default=len(data))
         at = end
     if bad >= 0:
         yield "gap", bad, len(data), why, b""

@@ -411,6 +411,36 @@ def test_warc_salvage(spark, tmp_path, packed):
     assert {r["payload"] for r in out if r["kind"] == "record"} == {f"payload {i} " * 30 for i in (0, 1, 3, 5)}
 
 
+def test_warc_salvage_in_members():
+    rng = random.Random(11)
+    payload = lambda i: f"payload {i} ".encode() + rng.randbytes(3000).hex().encode()
+    records = [warc.record_bytes(i, f"u{i}", payload(i), "response", None) for i in range(6)]
+    names = lambda data: [h["x-page-id"] for k, _, _, h, _ in warc.read_archive(data) if k == "record"]
+    gaps = lambda data: [(s, e, why) for k, s, e, why, _ in warc.read_archive(data) if k == "gap"]
+    # one bad digest in a whole member: the others stay, and the gap names its place
+    bad = records[2][:-50] + b"#" + records[2][-49:]
+    member = warc.gzip_member(b"".join([*records[:2], bad, *records[3:]]))
+    last = warc.gzip_member(records[0])
+    start = len(b"".join(records[:2]))
+    assert names(member + last) == ["0", "1", "3", "4", "5", "0"]
+    assert gaps(member + last) == [(0, len(member), f"block digest differs (inflated bytes {start} to {start + len(bad)})")]
+    assert gaps(warc.gzip_member(bad) + last) == [(0, len(warc.gzip_member(bad)), "block digest differs")]
+    # cut, with and without a member behind it, and damaged in the middle
+    for level in (4, 0):
+        member = warc.gzip_member(b"".join(records), level)
+        half = len(member) // 2
+        assert names(member[:half])[:2] == ["0", "1"] and "5" not in names(member[:half])
+        got = names(member[:half] + last)
+        assert got[:2] == ["0", "1"] and got[-1] == "0" and len(got) == len(set(got)) + 1
+        assert level == 0 or gaps(member[:half] + last)[0][:2] == (0, half)
+    member = warc.gzip_member(b"".join(records))
+    broken = member[:half] + bytes(64) + member[half + 64 :]
+    assert names(broken + last)[:2] == ["0", "1"] and names(broken + last)[-1] == "0"
+    # a damaged member proves nothing of a record without a digest
+    plain = warc.VERSION + b"\r\nX-Page-Id: 9\r\nContent-Length: 2\r\n\r\nhi\r\n\r\n"
+    assert names(warc.gzip_member(plain)) == ["9"] and names(warc.gzip_member(plain * 40)[:-4]) == []
+
+
 def test_language_id(spark, empty, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     extra = [(-1, None, "en"), (-2, "", None), (-3, "123 !!", "fr"), (None, "the and of", None), (-4, "Ünïcödé " * 20000, None)]
