@@ -309,6 +309,24 @@ def test_discovery_control_spares_identifiers(spark):
     assert not any(r["spans"] for r in out)
 
 
+def test_random_keys_of_every_encoding_are_found(spark):
+    rng = random.Random(13)
+    low, up, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    kinds = {"hex": "0123456789ABCDEF", "base32": up + "234567", "alnum": up + low + digits, "base64": up + low + digits + "+/"}
+    table = []
+    for kind, chars in kinds.items():
+        for n in (24, 32, 64, 128):
+            table += [(f"{kind}/{n}", "key " + "".join(rng.choice(chars) for _ in range(n)) + " end") for _ in range(30)]
+    names = ["customerorderhistory", "CUSTOMERORDERHISTORY", "CustomerOrderHistory", "some/path/To/TheCustomer", "getElementsByTagNameAndClass", "lastupdatedtimestampvalue", "PARTSUPPLIERNUMBEROFITEMS"]
+    table += [("text", f"{rng.choice(names)}{rng.choice(['', i % 100, 20260000 + i])} {rng.choice(names)}{rng.choice(names)}{i % 10}") for i in range(600)]
+    found = Counter()
+    for r in secrets.secret_spans(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(table)], "doc_id long, text string")).collect():
+        found[table[r["doc_id"]][0]] += bool(r["spans"])
+    recall = {k: found[k] / 30 for k in dict(table) if k != "text"}
+    assert found["text"] == 0
+    assert all(share >= (0.8 if k.endswith("/24") else 0.9) for k, share in recall.items())
+
+
 def brute_repeats(table):
     seen = {}
     for i, t in table:
