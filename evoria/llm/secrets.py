@@ -22,10 +22,10 @@ KINDS = ("assign", "access", "hex", "random")
 MIN_ASSIGNED = 12
 #: False-discovery rate of the spans that the tests add.
 RATE = 0.001
-#: Signs of the encodings, and the characters of each encoding (hex is looked up in upper case).
+#: Signs of the encodings, and the characters of each encoding ("l": in lower case; looked up in upper case).
 SIGNS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 _UPPER = SIGNS[:26]
-ENCODINGS = {"hex": "0123456789ABCDEF", "base32": _UPPER + "234567", "alnum": SIGNS[:62], "base64": SIGNS}
+ENCODINGS = {"hex": "0123456789ABCDEF", "base32": _UPPER + "234567", "base32l": _UPPER + "234567", "base36": _UPPER + "0123456789", "base36l": _UPPER + "0123456789", "letters": SIGNS[:52], "alnum": SIGNS[:62], "base64": SIGNS}
 #: What text has, from words and identifiers of sf0.1 and of Python's library: -4 log2 of the share of the second letter
 #: after the first (a row for each letter, base 36, a tenth of it even), and how often classes (lower, upper, digit,
 #: sign) follow each other.
@@ -90,6 +90,10 @@ def encoding_of(token: Column) -> Column:
     return (
         F.when(token.rlike(r"^(?:[0-9a-f]+|[0-9A-F]+)$") & digit & token.rlike("[A-Fa-f]"), "hex")
         .when(token.rlike(r"^[A-Z2-7]+=*$") & digit & upper, "base32")
+        .when(token.rlike(r"^[a-z2-7]+=*$") & digit & lower, "base32l")
+        .when(token.rlike(r"^[A-Z0-9]+$") & digit & upper, "base36")
+        .when(token.rlike(r"^[a-z0-9]+$") & digit & lower, "base36l")
+        .when(token.rlike(r"^[A-Za-z]+$") & upper & lower, "letters")
         .when(token.rlike(r"^[A-Za-z0-9]+$") & digit & upper & lower, "alnum")
         .when(token.rlike(r"^[A-Za-z0-9+/_-]+=*$") & digit & upper & lower, "base64")
     )
@@ -114,7 +118,7 @@ def battery(token: Column, encoding: Column) -> Column:
     uniform = (F.pow(F.greatest(chi, F.lit(0.0)) / free, F.lit(1 / 3)) - (1 - 2 / (9 * free))) / F.sqrt(2 / (9 * free))
     ratios = F.split(F.lit(",".join(f"{x:.4g}" for name in ENCODINGS for row in text_ratios(name) for x in row)), ",").cast("array<double>")
     part = sum((F.when(encoding == name, i * len(SIGNS) ** 2).otherwise(0) for i, name in enumerate(ENCODINGS)), F.lit(0))
-    folded = F.when(encoding == "hex", F.upper(plain)).otherwise(plain)
+    folded = F.when(encoding.isin("hex", "base32l", "base36l"), F.upper(plain)).otherwise(plain)
     places = F.transform(F.split(folded, ""), lambda c: F.instr(F.lit(SIGNS), c) - 1)
     chain = F.struct(part.alias("part"), F.lit(-1).alias("last"), F.lit(0.0).alias("sum"))
     text = F.aggregate(places, chain, lambda a, c: F.struct(a["part"].alias("part"), c.alias("last"), (a["sum"] + F.when(a["last"] >= 0, F.get(ratios, a["part"] + a["last"] * len(SIGNS) + c)).otherwise(0.0)).alias("sum")))["sum"]
@@ -158,7 +162,7 @@ def discovery_steps(found: DataFrame, column: str, rate: float = RATE) -> dict[s
     """Family (encoding / length band) -> least step of -log10 p that Benjamini and Hochberg's rule accepts.
 
     Candidates are counted by family and step, so p-values of parts merge by addition; one number for each of at most
-    four encodings by six length bands reaches the driver.
+    eight encodings by six length bands reaches the driver.
     """
     counts = found.select(F.explode(F.col(column)["candidates"]).alias("c")).groupBy("c.family", "c.step").agg(F.count(F.lit(1)).alias("n"))
     family = Window.partitionBy("family")

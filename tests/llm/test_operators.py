@@ -312,7 +312,7 @@ def test_discovery_control_spares_identifiers(spark):
 def test_random_keys_of_every_encoding_are_found(spark):
     rng = random.Random(13)
     low, up, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
-    kinds = {"hex": "0123456789ABCDEF", "base32": up + "234567", "alnum": up + low + digits, "base64": up + low + digits + "+/"}
+    kinds = {"hex": "0123456789ABCDEF", "base32": up + "234567", "base32l": low + "234567", "base36": up + digits, "base36l": low + digits, "letters": up + low, "alnum": up + low + digits, "base64": up + low + digits + "+/"}
     table = []
     for kind, chars in kinds.items():
         for n in (24, 32, 64, 128):
