@@ -1,124 +1,194 @@
-"""Column-wise construction of the Burrows-Wheeler transform of many strings, with a common-prefix flag for each suffix.
+"""Column-wise construction of the Burrows-Wheeler transform of many strings with their common prefixes.
 
-One symbol of every string is inserted in each round, last symbols first. An entry holds the symbol before a suffix
-(the transform), a flag (whether the suffix shares a prefix with the one before it) and where the suffix starts. The
-entries are replaced in each round from front to back; where they are many they lie in two files in turn.
+In each round one symbol of every string goes in, last symbols first. The transform (the symbol before each suffix) and
+the prefix that each suffix shares with the one before it are two columns in suffix order. A round reads both from
+front to back and writes them anew with the round's suffixes in place: a suffix cX goes where the transform ranks the c
+before X, and its common prefix is one more than the least one between X and the nearest c. Columns of more than
+``IN_MEMORY`` bytes lie in files, of which two take turns.
 """
 
 from __future__ import annotations
 
 import os
 import tempfile
-from collections.abc import Callable
 
 import numpy as np
 
-#: Entries handled at a time: a block and its sort stay in a core's cache.
-BLOCK = 1 << 16
-#: Entries of more bytes lie in files.
-IN_MEMORY = 1 << 27
-#: The symbol before a string's longest suffix so far. Bytes are numbered from 1; UTF-8 leaves some of the 256 out.
+#: Entries read at a time.
+BLOCK = 1 << 20
+#: Columns of more bytes lie in files.
+IN_MEMORY = 1 << 24
+#: The symbol before a string's longest suffix so far. The bytes that occur are numbered from 1.
 END = 0
-FLAG, SHIFT = np.uint64(1 << 8), np.uint64(9)
 
 
-class Entries:
-    """Entries of 64 bits: start << 9 | flag << 8 | symbol."""
+class Columns:
+    """Transform and common prefixes; ``room`` gives the next generation's arrays, in memory or in the other files."""
 
-    def __init__(self, folder: str, data: np.ndarray) -> None:
-        self.folder, self.turn, self.data = folder, 0, data
+    def __init__(self, folder: str, n: int) -> None:
+        self.folder, self.turn = folder, 0
+        self.symbols, self.common = self.room(n)
+        self.symbols[:], self.common[:] = END, 0
+
+    def room(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n <= IN_MEMORY:
+            return np.empty(n, np.uint8), np.empty(n, np.uint8)
+        self.turn = 1 - self.turn
+        names = (os.path.join(self.folder, f"{name}.{self.turn}") for name in ("symbols", "common"))
+        return tuple(np.memmap(name, np.uint8, "w+", shape=(n,)) for name in names)
 
     def __len__(self) -> int:
-        return len(self.data)
-
-    def starts(self, places: np.ndarray) -> np.ndarray:
-        return (self.data[places] >> SHIFT).astype(np.int64)
-
-    def insert(self, places: np.ndarray, values: np.ndarray) -> None:
-        """New entries at the sorted ``places`` that they have in the result."""
-        n = len(self.data) + len(places)
-        if n * 8 <= IN_MEMORY:
-            out = np.empty(n, np.uint64)
-        else:
-            self.turn = 1 - self.turn
-            out = np.memmap(os.path.join(self.folder, f"entries.{self.turn}"), np.uint64, "w+", shape=(n,))
+        return len(self.symbols)
+
+    def rank(self, places: np.ndarray, new: np.ndarray, counts: np.ndarray, first: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Put the symbols ``new`` at the sorted ``places`` of this generation.
+
+        Gives, sorted: the places of the suffixes that go in, the common prefix of each, and which of ``new`` each is;
+        and the places and common prefixes of older suffixes that now follow a new one. ``counts``: how often each
+        symbol occurs, with ``new``; ``first``: the number of empty suffixes; ``most``: where common prefixes are cut.
+        """
+        n_symbols = len(counts)
+        heads = first + np.cumsum(counts) - counts - counts[END]
+        seen = np.zeros(n_symbols, np.int64)
+        # per symbol: the least common prefix since it was last met (-1: never met), and whether it was new there
+        least, last_new = np.full(n_symbols, -1, np.int64), np.zeros(n_symbols, bool)
+        n = len(self)
         cuts = np.searchsorted(places, np.arange(0, n + BLOCK, BLOCK))
+        parts = []
         for k, start in enumerate(range(0, n, BLOCK)):
-            end = min(n, start + BLOCK)
+            block, common = self.symbols[start : start + BLOCK], self.common[start : start + BLOCK]
             a, b = int(cuts[k]), int(cuts[k + 1])
-            old = np.ones(end - start, bool)
-            at = places[a:b] - start
-            old[at] = False
-            block = out[start:end]
-            block[at] = values[a:b]
-            block[old] = self.data[start - a : end - b]
-        self.data = out
-
-    def rank(self, places: np.ndarray, symbols: np.ndarray, n_symbols: int) -> tuple[np.ndarray, np.ndarray]:
-        """Set the symbols at the sorted ``places``; (equal symbols before each place, counts of all symbols)."""
-        ranks, counts = np.empty(len(places), np.int64), np.zeros(n_symbols, np.int64)
-        n = len(self.data)
+            at, sym = places[a:b] - start, new[a:b]
+            block[at] = sym
+            order = np.argsort(block, kind="stable")  # a counting sort for bytes
+            own = counts if n <= BLOCK else np.bincount(block, minlength=n_symbols)
+            begin = np.cumsum(own) - own
+            is_new = np.zeros(len(block), bool)
+            is_new[at] = True
+            hit = np.flatnonzero(is_new[order])
+            by = np.argsort(sym, kind="stable")
+            c = sym[by].astype(np.int64)
+            # the new ones, and the older ones of the same symbol right after them
+            after = hit + 1
+            ok = after < (begin + own)[c]
+            ok[ok] = ~is_new[order[after[ok]]]
+            rows = np.concatenate([hit, after[ok]])
+            row_c = np.concatenate([c, c[ok]])
+            which = np.concatenate([a + by, np.full(int(ok.sum()), -1)])
+            inner = rows > begin[row_c]
+            value = np.zeros(len(rows), np.int64)
+            if inner.any():
+                # least common prefix after the row of the same symbol before, up to this row; from back to front, so
+                # that what reduceat adds between two of these ranges is one element
+                x = rows[inner]
+                low, high = order[x - 1] + 1, order[x]
+                back = np.lexsort((-low,))
+                pairs = np.stack([low[back], high[back] + 1], 1).ravel()
+                padded = np.append(common, np.uint8(0))
+                found = np.empty(len(x), np.int64)
+                found[back] = np.minimum.reduceat(padded, pairs)[::2]
+                value[inner] = np.minimum(found + 1, most)
+            if n > BLOCK:
+                all_least = int(common.min())
+                extra = [], [], [], []
+                first_rows = {int(s): int(i) for i, s in zip(np.flatnonzero(~inner), row_c[~inner])}
+                for s in np.flatnonzero(own[1:]) + 1:
+                    head = int(order[begin[s]])
+                    if least[s] >= 0:
+                        shared = min(int(least[s]), int(common[: head + 1].min()))
+                        if s in first_rows:
+                            value[first_rows[s]] = min(shared + 1, most)
+                        elif last_new[s]:
+                            for column, v in zip(extra, (begin[s], s, -1, min(shared + 1, most))):
+                                column.append(int(v))
+                    tail = int(order[begin[s] + own[s] - 1])
+                    least[s] = int(common[tail + 1 :].min()) if tail + 1 < len(common) else most
+                    last_new[s] = bool(is_new[tail])
+                for s in np.flatnonzero((own == 0) & (least >= 0)):
+                    least[s] = min(int(least[s]), all_least)
+                if extra[0]:
+                    rows, row_c, which, value = (np.concatenate([x, np.array(y, np.int64)]) for x, y in zip((rows, row_c, which, value), extra))
+            parts.append((heads[row_c] + seen[row_c] + rows - begin[row_c], value, which))
+            seen += own
+        target, value, which = (np.concatenate(x) for x in zip(*parts))
+        fresh = which >= 0
+        order = np.argsort(target[fresh])
+        target, value, old_target, old_value = target[fresh][order], value[fresh][order], target[~fresh], value[~fresh]
+        return target, value, which[fresh][order], old_target, old_value
+
+    def insert(self, places: np.ndarray, values: np.ndarray, old_places: np.ndarray, old_values: np.ndarray) -> None:
+        """New entries at the sorted ``places`` that they have in the result, and new common prefixes of older ones."""
+        n = len(self) + len(places)
+        symbols, common = self.room(n)
         cuts = np.searchsorted(places, np.arange(0, n + BLOCK, BLOCK))
-        is_new = np.zeros(min(n, BLOCK), bool)
         for k, start in enumerate(range(0, n, BLOCK)):
-            block = self.data[start : start + BLOCK]
+            end = min(n, start + BLOCK)
             a, b = int(cuts[k]), int(cuts[k + 1])
-            at, new = places[a:b] - start, symbols[a:b]
-            block[at] += new
-            low = np.ascontiguousarray(block).view(np.uint8)[::8].copy()
-            own = np.bincount(low, minlength=n_symbols)
-            if a < b:
-                # a counting sort for bytes; the new symbols keep their order in it
-                order = np.argsort(low, kind="stable")
-                is_new[at] = True
-                sorted_at = np.flatnonzero(is_new[: len(low)][order])
-                is_new[at] = False
-                by = np.argsort(new.astype(np.uint8), kind="stable")
-                ranks[a + by] = sorted_at + (counts - np.cumsum(own) + own)[new[by]]
-            counts += own
-        return ranks, counts
-
-
-def sort_suffixes(text: np.ndarray, start: np.ndarray, end: np.ndarray, least: int, same: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of all suffixes of ``least`` bytes or more in order, and whether each shares ``least`` bytes with the one before.
-
-    The strings are ``text[start:end]``, with a byte of no string after each. ``same(a, b)`` compares ``least`` bytes.
+            old = np.ones(end - start, bool)
+            old[places[a:b] - start] = False
+            for column, before, entered in ((symbols, self.symbols, END), (common, self.common, values[a:b])):
+                block = column[start:end]
+                block[places[a:b] - start] = entered
+                block[old] = before[start - a : end - b]
+        common[old_places] = old_values
+        self.symbols, self.common = symbols, common
+
+
+def sort_suffixes(text: np.ndarray, start: np.ndarray, end: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the suffixes of the strings ``text[start:end]`` start, in suffix order, and the common prefix (cut at
+    ``most``, 255 at the largest) of each with the one before it. Empty suffixes are left out.
     """
     m = len(start)
     if not m:
-        return np.empty(0, np.int64), np.empty(0, bool)
-    long = np.zeros(len(text) + 1, np.int8)
-    np.add.at(long, start, 1)
-    np.add.at(long, np.maximum(start, end - least + 1), -1)
-    long = np.cumsum(long[:-1], dtype=np.int8).astype(bool)
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    size = (end - start).astype(np.int64)
+    rounds = int(size.max())
     # the bytes that occur, as numbers from 1 in their order
     code = np.cumsum(np.bincount(text, minlength=256) > 0)
     text, n_symbols = code[text].astype(np.uint8), int(code[-1]) + 1
+    # strings end their insertion together, so that the columns are short for as long as possible
+    by_start = np.argsort(-size, kind="stable")
+    joins = np.searchsorted(-size[by_start], -(rounds - np.arange(rounds)), side="right")
+    counts = np.zeros(n_symbols, np.int64)
+    counts[END] = m
     with tempfile.TemporaryDirectory(prefix="evoria-bwt-") as folder:
-        entries = Entries(folder, end.astype(np.uint64) << SHIFT)
-        place, at, first = np.arange(m), end.astype(np.int64), start.astype(np.int64)
-        length = 0
-        while True:
-            more = at > first
-            place, at, first = place[more], at[more] - 1, first[more]
-            if not len(at):
-                break
-            length += 1
-            symbols = text[at].astype(np.uint64)
-            ranks, counts = entries.rank(place, symbols, n_symbols)
-            # suffixes stand after the m empty ones, after those of smaller first symbols, after those of their own before
-            counts[END] = m
-            target = (np.cumsum(counts) - counts)[symbols] + ranks
-            order = np.argsort(target, kind="stable")
-            place, at, first = target[order], at[order], first[order]
-            entries.insert(place, at.astype(np.uint64) << SHIFT)
-            if length >= least:
-                # common prefixes of the new suffixes and of those right after them
-                look = np.unique(np.concatenate([place, np.minimum(place + 1, len(entries) - 1)]))
-                a, b = entries.starts(look - 1), entries.starts(look)
-                both = long[a] & long[b]
-                both[both] = same(a[both], b[both])
-                entries.data[look] = (entries.data[look] & ~FLAG) | (both.astype(np.uint64) << np.uint64(8))
-        starts = (entries.data >> SHIFT).astype(np.int64)
-        keep = long[starts]
-        return starts[keep], (np.asarray(entries.data)[keep] & FLAG) != 0
+        columns = Columns(folder, m)
+        place, string, at = np.empty(0, np.int64), np.empty(0, np.int64), end.astype(np.int64)
+        active = 0
+        for r in range(rounds):
+            if joins[r] > active:
+                # empty suffixes stand in front, in the order of their strings
+                more = np.sort(by_start[active : joins[r]])
+                place, string = np.concatenate([more, place]), np.concatenate([more, string])
+                active = int(joins[r])
+                order = np.argsort(place, kind="stable")
+                place, string = place[order], string[order]
+            at[string] -= 1
+            new = text[at[string]]
+            added = np.bincount(new, minlength=n_symbols)
+            counts += added
+            counts[END] = m - active
+            target, value, which, old_target, old_value = columns.rank(place, new, counts, m, most)
+            columns.insert(target, value, old_target, old_value)
+            place, string = target, string[which]
+        return _places(columns, end.astype(np.int64), m, rounds, folder)
+
+
+def _places(columns: Columns, end: np.ndarray, m: int, rounds: int, folder: str) -> tuple[np.ndarray, np.ndarray]:
+    """Follows every string through the transform, from its empty suffix to its longest."""
+    n = len(columns)
+    if n <= IN_MEMORY:
+        step, where = np.empty(n, np.int64), np.empty(n, np.int64)
+    else:
+        step, where = (np.memmap(os.path.join(folder, name), np.int64, "w+", shape=(n,)) for name in ("step", "where"))
+    order = np.argsort(columns.symbols, kind="stable")
+    step[order] = np.arange(n)
+    place, at = np.arange(m), end.copy()
+    for _ in range(rounds + 1):
+        where[place] = at
+        # the m strings' ends rank first, as their empty suffixes do
+        more = np.asarray(columns.symbols[place]) != END
+        place, at = step[place[more]], at[more] - 1
+        if not len(place):
+            break
+    return np.asarray(where[m:]), np.asarray(columns.common[m:]).astype(np.int64)

@@ -21,6 +21,9 @@ from .bwt import sort_suffixes
 CHUNK_BYTES, BUCKET_BYTES = 3 << 20, 10 << 20
 #: Bytes of strings made from a byte of text.
 GROWTH = 3.7
+#: String bytes that one transform is made of, unless more have one minimizer value.
+COLLECTION_BYTES = 1 << 19
+NO_SPANS = (np.empty(0, np.int64),) * 4
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -128,7 +131,7 @@ def _shared(keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Whether each key occurs with more than one id."""
     if not len(keys):
         return np.empty(0, bool)
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     k, d = keys[order], ids[order]
     new = np.concatenate([[True], k[1:] != k[:-1]])
     starts = np.flatnonzero(new)
@@ -144,55 +147,57 @@ def bucket_spans(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     ids, twins, begin, length, place, body = (np.concatenate([p[i] for p in parts]) for i in range(6))
     body = np.concatenate([body, np.zeros(8, np.uint8)])
     first = np.cumsum(length) - length
-    # strings whose minimizer, or the bytes at one side of it, no other document has cannot repeat one
+    # strings whose minimizer, or the bytes at one side of it, no other document has cannot repeat one; where a minimizer
+    # value stands several times in a string, its place says too little for that
     words = W.words64(body)
     p = first + (place.astype(np.int64) & 63)
     kmer = (words[p] * W._A) ^ (words[p + 8] * W._B)
-    some = np.flatnonzero(_shared(kmer, ids))
+    low, many = W.mix(kmer), place >= W.MANY
+    odd = np.isin(low, np.unique(low[many])) if many.any() else many
+    some = np.flatnonzero(_shared(kmer, ids) | odd)
     if not len(some):
-        return (np.empty(0, np.int64),) * 4
-    ids, twins, begin, length, place, kmer = (x[some] for x in (ids, twins, begin, length, place, kmer))
+        return NO_SPANS
+    ids, twins, begin, length, place, low, odd = (x[some] for x in (ids, twins, begin, length, place, low, odd))
     body, first = _gather(body, first[some], length)
     body = np.concatenate([body, np.zeros(8, np.uint8)])
-    many, p = place >= 64, first + (place.astype(np.int64) & 63)
+    p = first + (place.astype(np.int64) & 63)
     hashes = W.SpanHash(body)
-    left, right = np.zeros(len(ids), bool), np.zeros(len(ids), bool)
-    for side, inside, low, high in ((left, p - W.SIDE >= first, -W.SIDE, W.K), (right, p + W.K + W.SIDE <= first + length, 0, W.K + W.SIDE)):
+    left, right = odd.copy(), odd.copy()
+    for side, inside, down, up in ((left, p - W.SIDE >= first, -W.SIDE, W.K), (right, p + W.K + W.SIDE <= first + length, 0, W.K + W.SIDE)):
         at = np.flatnonzero(inside)
-        side[at] = _shared(hashes.of(p[at] + low, p[at] + high), ids[at])
-    odd = np.isin(kmer, np.unique(kmer[many])) if many.any() else many
-    left |= odd
-    right |= odd
+        side[at] |= _shared(hashes.of(p[at] + down, p[at] + up), ids[at])
     at = np.flatnonzero(left | right)
+    if not len(at):
+        return NO_SPANS
     # where one side only is shared, the windows that need the other side go
     end = np.where(left & ~right, np.minimum(first + length, p + W.K + W.SIDE), first + length)
     cut = np.where(right & ~left, np.maximum(first, p - W.SIDE), first)
     begin, length, first = begin + cut - first, end - cut, cut
-    if not len(at):
-        return (np.empty(0, np.int64),) * 4
     # one string for all its equals, with the least id
     at = at[np.argsort(ids[at], kind="stable")]
     rep = first_of_equal(body, first[at], length[at], hashes.of(first[at], first[at] + length[at]))
     own, string = np.unique(rep, return_inverse=True)
-    text, starts = _gather(body, first[at[own]], length[at[own]], gap=1)
-    text = np.concatenate([text, np.zeros(8, np.uint8)])
-    del hashes, kmer
-    words = W.words64(text)
-
-    def same(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        ok = words[a] == words[b]
-        for off in (8, 16, 24, 32, 40, W.WIDTH - 8):
-            ok &= words[a + off] == words[b + off]
-        return ok
-
-    size = length[at[own]]
-    where, common = sort_suffixes(text, starts, starts + size, W.WIDTH, same)
-    heads = np.flatnonzero(~common)
-    of_string = np.searchsorted(starts, where, side="right") - 1
-    least = np.minimum.reduceat(ids[at[own]][of_string], heads)
-    # the least id with the window at each place of the strings
+    del hashes
+    # equal windows have one minimizer value: collections that share none are transformed one after the other
+    by_low = np.argsort(low[at[own]], kind="stable")
+    own = own[by_low]
+    turn = np.empty(len(by_low), np.int64)
+    turn[by_low] = np.arange(len(by_low))
+    string = turn[string]
+    size, value, own_ids = length[at[own]], low[at[own]], ids[at[own]]
+    text, starts = _gather(body, first[at[own]], size, gap=1)
     best = np.full(len(text), np.iinfo(np.int64).max)
-    best[where] = np.repeat(least, np.diff(np.append(heads, len(where))))
+    new = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
+    parts = new[np.concatenate([[True], starts[new][1:] // COLLECTION_BYTES != starts[new][:-1] // COLLECTION_BYTES])]
+    for a, b in zip(parts, [*parts[1:], len(own)]):
+        base, stop = starts[a], starts[b - 1] + size[b - 1] + 1
+        where, common = sort_suffixes(text[base:stop], starts[a:b] - base, starts[a:b] + size[a:b] - base, W.WIDTH)
+        # suffixes that share a whole window stand together
+        heads = np.flatnonzero(common < W.WIDTH)
+        of_string = np.repeat(np.arange(a, b), size[a:b] + 1)[where]
+        least = np.minimum.reduceat(own_ids[of_string], heads)
+        # the least id with the window at each place of the strings
+        best[where + base] = np.repeat(least, np.diff(np.append(heads, len(where))))
     # windows of every occurrence
     n = length[at] - W.WIDTH + 1
     which = np.repeat(np.arange(len(at)), n)
@@ -200,7 +205,7 @@ def bucket_spans(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     hit = best[starts[string[which]] + off] < ids[at[which]]
     which, off = which[hit], off[hit]
     if not len(which):
-        return (np.empty(0, np.int64),) * 4
+        return NO_SPANS
     new = np.concatenate([[True], (which[1:] != which[:-1]) | (off[1:] != off[:-1] + 1)])
     s, e = np.flatnonzero(new), np.append(np.flatnonzero(new)[1:], len(which)) - 1
     i = at[which[s]]

@@ -49,6 +49,13 @@ class SpanHash:
         return (self.sums[end] - self.sums[start]) * self.down[start] ^ ((end - start).astype(np.uint64) * _C)
 
 
+def mix(x: np.ndarray) -> np.ndarray:
+    """The 32-bit value by which K bytes, folded into ``x``, compete for being a minimizer."""
+    x = x ^ (x >> np.uint64(29))
+    x *= _C
+    return (x >> np.uint64(32)).astype(np.uint32)
+
+
 def runs(data: np.ndarray, doc_start: np.ndarray, doc_end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(first window, end of windows, minimizer value, minimizer place in the first window) of every run.
 
@@ -57,10 +64,7 @@ def runs(data: np.ndarray, doc_start: np.ndarray, doc_end: np.ndarray) -> tuple[
     """
     n = len(data) - 8
     w = words64(data)
-    x = (w[: n - K + 1] * _A) ^ (w[8 : n - K + 9] * _B)
-    x ^= x >> np.uint64(29)
-    x *= _C
-    value = (x >> np.uint64(32)).astype(np.uint32)
+    value = mix((w[: n - K + 1] * _A) ^ (w[8 : n - K + 9] * _B))
     least, have = value, 1
     while have * 2 <= PLACES:
         least = np.minimum(least[:-have], least[have:])

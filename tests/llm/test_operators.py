@@ -1,5 +1,6 @@
 """Corpus operators against brute-force versions, on tables with nulls, empty and long texts, ties, repeated rows and clashing columns."""
 
+import os
 import hashlib
 import random
 import re
@@ -358,19 +359,23 @@ def test_repeats(docs, empty, monkeypatch, small):
     assert repeats.remove_repeats(empty).count() == 0
 
 
-def test_transform_in_files(monkeypatch):
-    monkeypatch.setattr(bwt, "IN_MEMORY", 100)
-    monkeypatch.setattr(bwt, "BLOCK", 64)
+@pytest.mark.parametrize("in_memory,block", [(100, 64), (1 << 20, 1 << 20), (1 << 20, 50)])
+def test_transform(monkeypatch, in_memory, block):
+    monkeypatch.setattr(bwt, "IN_MEMORY", in_memory)
+    monkeypatch.setattr(bwt, "BLOCK", block)
     rng = random.Random(8)
     strings = [bytes(rng.choice(b"ab") for _ in range(rng.randint(5, 40))) for _ in range(30)] * 2
     data = np.frombuffer(b"\0".join(strings) + b"\0" * 9, np.uint8)
     size = np.array([len(s) for s in strings])
     start = np.cumsum(size + 1) - size - 1
     raw = data.tobytes()
-    where, common = bwt.sort_suffixes(data, start, start + size, 5, lambda a, b: np.array([raw[x : x + 5] == raw[y : y + 5] for x, y in zip(a, b)], bool))
+    where, common = bwt.sort_suffixes(data, start, start + size, 50)
     suffixes = [raw[w : start[np.searchsorted(start, w, "right") - 1] + size[np.searchsorted(start, w, "right") - 1]] for w in where]
-    assert suffixes == sorted(suffixes) and len(suffixes) == sum(max(0, n - 4) for n in size)
-    assert all(c == (i > 0 and suffixes[i - 1][:5] == s[:5]) for i, (s, c) in enumerate(zip(suffixes, common)))
+    assert suffixes == sorted(suffixes) and len(suffixes) == len(set(where.tolist())) == size.sum()
+    assert common.tolist() == [0, *(len(os.path.commonprefix(pair)) for pair in zip(suffixes, suffixes[1:]))]
+    _, cut = bwt.sort_suffixes(data, start, start + size, 7)
+    assert cut.tolist() == np.minimum(common, 7).tolist()
+    assert len(bwt.sort_suffixes(data, start[:0], start[:0], 7)[0]) == 0
 
 
 def test_top_k(spark, monkeypatch):
