@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,16 +16,21 @@ BUSINESS_WORDS = ("汽车", "科技", "智能", "新能源", "数字", "云计
 KEY_PUNCTUATION = "[\\s·•・'’\u200b()（）【】\\[\\]-]+"
 #: Sentence ends in the order in which a cut prefers them.
 SENTENCE_ENDS = ("。", "！", "？", "；", ".", "!", "?", "\n")
+#: Endings that tell an entity's type.
 COMPANY_END = r"(公司|集团|银行|基金|事务所|Inc|Corp|Ltd)$"
 PERSON_END = r"(CEO|董事长|总裁|创始人|总监|经理|博士|先生|女士)$"
 
 
-def tokenize(text: Column) -> Column:
+def tokenize(text: Column, *, normalized: bool = False) -> Column:
     """Han runs as interleaved characters and pairs (c0, c0c1, c1, ...), then all Latin words, lower case, repeats kept.
 
-    The text is expected in NFKC; ``nfkc`` does that where it isn't.
+    Texts are brought to NFKC first, in Arrow batches that hold nothing but the texts that NFKC can change;
+    ``normalized``: the text is in NFKC, no Python runs. Null and empty texts have no token.
     """
-    lower = F.lower(F.coalesce(text, F.lit("")))
+    body = F.coalesce(text, F.lit(""))
+    if not normalized:
+        body = F.coalesce(nfkc(F.when(body.rlike(unstable()), body)), body)
+    lower = F.lower(body)
     runs = F.regexp_extract_all(lower, F.lit(f"({HAN})"), F.lit(1))
 
     def grams(run):
@@ -34,15 +40,31 @@ def tokenize(text: Column) -> Column:
     return F.concat(F.flatten(F.transform(runs, grams)), words)
 
 
+@lru_cache(maxsize=1)
+def unstable() -> str:
+    """A pattern for the characters that NFKC changes or may join with the one before."""
+    from unicodedata import combining, is_normalized
+
+    joins = [*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)]
+    found = sorted({c for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000 and (not is_normalized("NFKC", chr(c)) or combining(chr(c)))} | set(joins))
+    ranges: list[list[int]] = []
+    for c in found:
+        if ranges and ranges[-1][1] == c - 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges) + "]"
+
+
 def nfkc(text: Column) -> Column:
-    """NFKC normalization; an Arrow UDF, for texts with compatibility characters only."""
+    """NFKC normalization; an Arrow UDF, for texts with compatibility characters only. Null stays null."""
     from pyspark.sql.functions import PandasUDFType, pandas_udf
 
     @pandas_udf("string", PandasUDFType.SCALAR)
     def normal(s):
         import unicodedata
 
-        return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+        return s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
 
     return normal(text)
 
@@ -183,10 +205,13 @@ def only_rule(text: Column, rules: Sequence[tuple[str, str]]) -> Column:
     return F.when(F.size(hits) == 1, hits[0])
 
 
+#: The words that tell what a question is after, in the order in which they are tried.
+INTENTS = ((r"当时(系统)?(知道|了解|认为)|当时已知", "as_of"), (r"变化|变过|几次|历程|演化|历史|一路|以来|趋势|对比|比较|之前和现在|多少钱.*现在", "evolution"), (r"当前|现在|目前|最新|如今的?|现状", "current"))
+
+
 def intent(query: Column) -> Column:
     """as_of, evolution, current or exploration, by the first group of words that occurs."""
-    rules = [(r"当时(系统)?(知道|了解|认为)|当时已知", "as_of"), (r"变化|变过|几次|历程|演化|历史|一路|以来|趋势|对比|比较|之前和现在|多少钱.*现在", "evolution"), (r"当前|现在|目前|最新|如今的?|现状", "current")]
-    return F.coalesce(first_rule(query, rules), F.lit("exploration"))
+    return F.coalesce(first_rule(query, INTENTS), F.lit("exploration"))
 
 
 def as_list(x: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
@@ -11,16 +12,23 @@ from pyspark.sql.functions import PandasUDFType, pandas_udf, udtf
 
 
 def chunk_text(text: str, size: int = 3000, overlap: int = 500) -> list[str]:
-    """Overlapping chunks that end after a full stop or line end in their second half where there is one."""
-    chunks, start = [], 0
-    while text and start < len(text):
-        end = min(start + size, len(text))
-        if end < len(text):
-            stop = max(text.rfind(mark, start + size // 2, end) for mark in "。\n")
-            end = stop + 1 if stop >= 0 else end
-        chunks.append(text[start:end])
-        start = len(text) if end == len(text) else end - overlap
-    return chunks
+    """Overlapping chunks that end after a full stop or line end in their second half where there is one.
+
+    ``overlap`` must be at most half of ``size``, so that every chunk goes on from the one before.
+    """
+    if not 0 <= overlap <= size // 2:
+        raise ValueError("need 0 <= overlap <= size // 2")
+    # where a chunk may end, and the end of the text behind them all
+    stops = [m.end() for m in re.finditer("[。\n]", text)]
+    bounds = [(0, 0)] if text else []
+    while bounds and bounds[-1][1] < len(text):
+        first = bounds[-1][1] - overlap if bounds[-1][1] else 0
+        last = min(first + size, len(text))
+        near = bisect_right(stops, last) - 1
+        if last < len(text) and near >= 0 and stops[near] > first + size // 2:
+            last = stops[near]
+        bounds.append((first, last))
+    return [text[a:b] for a, b in bounds[1:]]
 
 
 def repair_json(text: str | None) -> str | None:
@@ -46,7 +54,12 @@ def repair_json(text: str | None) -> str | None:
 
 
 def _closed(body: str):
-    """The longest start of ``body`` that is JSON once its open strings and brackets are closed."""
+    """The longest start of ``body`` that is JSON once its open strings and brackets are closed.
+
+    Commas before a closing bracket go first. A start that fails at some place rules out all longer ones that hold that
+    place, so that few starts are tried.
+    """
+    body = re.sub(r'("(?:[^"\\]|\\.)*")|,(?=\s*[}\]])', r"\1", body, flags=re.S)
     stack, inside, escaped, cuts = [], False, False, []
     for i, c in enumerate(body):
         if inside:
@@ -56,32 +69,43 @@ def _closed(body: str):
                 escaped = True
             elif c == '"':
                 inside = False
-                cuts.append((i + 1, tuple(stack)))
-            continue
-        if c == '"':
+                cuts.append((i + 1, "".join(reversed(stack))))
+        elif c == '"':
             inside = True
         elif c in "{[":
             stack.append("}" if c == "{" else "]")
-            cuts.append((i + 1, tuple(stack)))
+            cuts.append((i + 1, "".join(reversed(stack))))
         elif c in "}]":
             if not stack or stack.pop() != c:
                 break
-            cuts.append((i + 1, tuple(stack)))
+            cuts.append((i + 1, "".join(reversed(stack))))
             if not stack:
                 break
         elif c == ",":
-            cuts.append((i, tuple(stack)))
-    tries = [(len(body), tuple(stack), '"')] if inside else []
-    tries += [(n, open_, "") for n, open_ in reversed(cuts)]
-    for n, open_, quote in tries[:200]:
-        text = re.sub(r",\s*([}\]])", r"\1", body[:n].rstrip().rstrip(",") + quote + "".join(reversed(open_)))
-        try:
-            return json.loads(text)
-        except ValueError:
+            cuts.append((i, "".join(reversed(stack))))
+    if inside and (value := _loaded(body + '"' + "".join(reversed(stack))))[0]:
+        return value[1]
+    most = len(body)
+    for n, closing in reversed(cuts):
+        if n > most:
             continue
+        ok, value = _loaded(body[:n].rstrip().rstrip(",") + closing)
+        if ok:
+            return value
+        most = min(n - 1, value)
     return None
 
 
+def _loaded(text: str) -> tuple[bool, object]:
+    """(True, value), or (False, where reading failed)."""
+    try:
+        return True, json.loads(text)
+    except json.JSONDecodeError as e:
+        return False, e.pos
+    except (ValueError, RecursionError):
+        return False, len(text)
+
+
 def register(spark: SparkSession) -> None:
     """SQL names: evoria_repair_json(text), and the table functions evoria_chunks(text, size, overlap)."""
     @pandas_udf("string", PandasUDFType.SCALAR)

@@ -16,17 +16,29 @@ def det_uuid5(spark, d):
     return table(spark, d, "documents").select("doc_id", ids.uuid5("doc", F.col("source"), F.col("doc_id").cast("string")).alias("id"))
 
 
-@query("T01_token_counts", "WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents) SELECT doc_id, len(w)::INTEGER AS n, len(list_distinct(w))::INTEGER AS n_distinct, w[1] AS first FROM t")
+_WIDE = "ＡＢ１ ⅳ ﬁn ㎏ "
+
+
+@query("T01_token_counts", """WITH t AS (SELECT doc_id, regexp_extract_all(lower(CASE WHEN doc_id % 3 = 0 THEN 'AB1 iv fin kg ' ELSE '' END || text), '[a-z0-9]+') AS w FROM documents) SELECT doc_id, len(w)::INTEGER AS n, len(list_distinct(w))::INTEGER AS n_distinct, w[1] AS first FROM t""")
 def token_counts(spark, d):
-    t = table(spark, d, "documents").select("doc_id", text.tokenize(F.col("text")).alias("w"))
+    said = F.concat(F.when(F.col("doc_id") % 3 == 0, _WIDE).otherwise(""), F.col("text"))
+    t = table(spark, d, "documents").select("doc_id", text.tokenize(said).alias("w"))
     return t.select("doc_id", F.size("w").alias("n"), F.size(F.array_distinct("w")).alias("n_distinct"), F.get("w", F.lit(0)).alias("first"))
 
 
-@query("T02_url_normalize", r"""WITH u AS (SELECT page_id, regexp_extract(trim(url), '^([A-Za-z][A-Za-z0-9+.-]*):', 1) AS s, regexp_extract(trim(url), '^[^:/?#]+://([^/?#]*)', 1) AS h, regexp_extract(trim(url), '^[^:/?#]+://[^/?#]*([^?#]*)', 1) AS p, regexp_extract(trim(url), '\?([^#]*)', 1) AS q FROM pages),
-k AS (SELECT *, list_aggregate(list_filter(string_split(q, '&'), lambda x: contains(x, '=') AND split_part(x, '=', -1) <> '' AND NOT list_contains(['utm_source','utm_medium','utm_campaign','utm_term','utm_content','spm','from','share_token','chksm','scene','pos','shareid','src','sid','tt_from','group_id'], lower(split_part(x, '=', 1)))), 'string_agg', '&') AS kept FROM u)
-SELECT page_id, CASE WHEN s = '' THEN 'https' ELSE lower(s) END || '://' || lower(h) || CASE WHEN p IN ('', '/') THEN '/' ELSE regexp_replace(p, '/+$', '') END || CASE WHEN kept IS NULL OR kept = '' THEN '' ELSE '?' || kept END AS url FROM k""")
+_MORE_QUERY = "CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || 'Token=YWJj==&n=a%20b+c&%75tm_term=1&blank=&flag&p=100%25*~'"
+
+
+@query("T02_url_normalize", rf"""WITH v AS (SELECT page_id, regexp_extract(url, '^([^#]*)', 1) || {_MORE_QUERY} || regexp_extract(url, '(#.*)$', 1) AS url FROM pages),
+u AS (SELECT page_id, regexp_extract(trim(url), '^([A-Za-z][A-Za-z0-9+.-]*):', 1) AS s, regexp_extract(trim(url), '^[^:/?#]+://([^/?#]*)', 1) AS h, regexp_extract(trim(url), '^[^:/?#]+://[^/?#]*([^?#]*)', 1) AS p, regexp_extract(trim(url), '\?([^#]*)', 1) AS q FROM v),
+k AS (SELECT *, list_aggregate(list_transform(list_filter(list_transform(list_filter(string_split(q, '&'), lambda x: contains(x, '=')),
+  lambda x: {{'k': url_decode(replace(split_part(x, '=', 1), '+', ' ')), 'v': url_decode(replace(substr(x, instr(x, '=') + 1), '+', ' '))}}),
+  lambda x: x.v <> '' AND NOT list_contains(['utm_source','utm_medium','utm_campaign','utm_term','utm_content','spm','from','share_token','chksm','scene','pos','shareid','src','sid','tt_from','group_id'], lower(x.k))),
+  lambda x: replace(url_encode(x.k), '%20', '+') || '=' || replace(url_encode(x.v), '%20', '+')), 'string_agg', '&') AS kept FROM u)
+SELECT page_id, CASE WHEN s = '' THEN 'https' ELSE lower(s) END || '://' || lower(h) || CASE WHEN p IN ('', '/') THEN '/' ELSE regexp_replace(p, '/+$', '') END || CASE WHEN kept IS NULL OR kept = '' THEN '' ELSE '?' || kept END AS url FROM k""".replace("\\?", "\?"))
 def url_normalize(spark, d):
-    return table(spark, d, "pages").select("page_id", urls.normalize_url(F.col("url")).alias("url"))
+    said = F.expr(rf"regexp_extract(url, '^([^#]*)', 1) || {_MORE_QUERY} || regexp_extract(url, '(#.*)$', 1)")
+    return table(spark, d, "pages").select("page_id", urls.normalize_url(said).alias("url"))
 
 
 _BODY = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '[ \t\x{3000}]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+', ''), '\s+$', '')"""
@@ -147,9 +159,9 @@ def length_filters(spark, d):
     return table(spark, d, "documents").filter(F.length("text").between(60, 4000) & ~F.col("text").rlike("[A-Z]{5,}")).select("doc_id")
 
 
-@query("T23_query_date", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') || ' 12:00:00' AS day, strftime(o_orderdate, '%Y-%m') || '-15 12:00:00' AS month FROM orders WHERE o_orderkey % 10 = 0")
+@query("T23_query_date", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') || ' 12:00:00' AS day, strftime(o_orderdate, '%Y-%m') || '-15 12:00:00' AS month FROM orders")
 def query_date(spark, d):
-    o = table(spark, d, "orders").filter("o_orderkey % 10 = 0")
+    o = table(spark, d, "orders")
     shown = lambda c: F.date_format(times.query_date(c), "yyyy-MM-dd HH:mm:ss")
     return o.select("o_orderkey", shown(F.concat(F.lit("what about "), F.date_format("o_orderdate", "yyyy/M/d"), F.lit("?"))).alias("day"), shown(F.concat(F.date_format("o_orderdate", "yyyy年M月"), F.lit("的情况"))).alias("month"))
 
@@ -160,16 +172,17 @@ def query_intent(spark, d):
     return table(spark, d, "documents").select("doc_id", text.intent(F.get(words, (F.col("doc_id") % 4).cast("int"))).alias("intent"))
 
 
-@query("T25_relative_window", "SELECT o_orderkey, strftime(o_orderdate::DATE - to_years(2), '%Y-%m-%d') AS y, strftime(o_orderdate::DATE - to_months(6), '%Y-%m-%d') AS m FROM orders WHERE o_orderkey % 10 = 0")
+@query("T25_relative_window", "SELECT o_orderkey, strftime(o_orderdate::DATE - to_years(2), '%Y-%m-%d') AS y, strftime(o_orderdate::DATE - to_months(6), '%Y-%m-%d') AS m FROM orders")
 def relative_window(spark, d):
     at = F.col("o_orderdate").cast("timestamp")
-    return table(spark, d, "orders").filter("o_orderkey % 10 = 0").select("o_orderkey", times.relative_window(F.lit("近两年"), at).cast("string").alias("y"), times.relative_window(F.lit("过去六个月"), at).cast("string").alias("m"))
+    return table(spark, d, "orders").select("o_orderkey", times.relative_window(F.lit("近两年"), at).cast("string").alias("y"), times.relative_window(F.lit("过去六个月"), at).cast("string").alias("m"))
 
 
-@query("D01_parse_time", """SELECT o_orderkey, strftime(CASE o_orderkey % 5 WHEN 3 THEN date_trunc('month', o_orderdate) WHEN 4 THEN date_trunc('year', o_orderdate) WHEN 0 THEN o_orderdate ELSE date_trunc('day', o_orderdate) END, '%Y-%m-%d %H:%M:%S') AS at, ['second', 'day', 'day', 'month', 'year'][o_orderkey % 5 + 1] AS precision FROM orders""")
+@query("D01_parse_time", """SELECT o_orderkey, strftime(CASE o_orderkey % 8 WHEN 3 THEN date_trunc('month', o_orderdate) WHEN 4 THEN date_trunc('year', o_orderdate) WHEN 0 THEN o_orderdate WHEN 5 THEN o_orderdate + INTERVAL 8 HOUR WHEN 6 THEN o_orderdate + INTERVAL 13 HOUR WHEN 7 THEN o_orderdate + INTERVAL 8 HOUR ELSE date_trunc('day', o_orderdate) END, '%Y-%m-%d %H:%M:%S') AS at, ['second', 'day', 'day', 'month', 'year', 'second', 'second', 'second'][o_orderkey % 8 + 1] AS precision FROM orders""")
 def parse_time(spark, d):
-    at = F.col("o_orderdate")
-    said = F.get(F.array(F.date_format(at, "yyyy-MM-dd HH:mm:ss"), F.date_format(at, "yyyy.M.d"), F.concat(F.lit("on "), F.date_format(at, "yyyy年M月d日"), F.lit("（周一）")), F.date_format(at, "yyyy年M月"), F.date_format(at, "yyyy")), (F.col("o_orderkey") % 5).cast("int"))
+    at = F.col("o_orderdate").cast("timestamp_ntz")
+    epoch = F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), at).cast("string")
+    said = F.get(F.array(F.date_format(at, "yyyy-MM-dd HH:mm:ss"), F.date_format(at, "yyyy.M.d"), F.concat(F.lit("on "), F.date_format(at, "yyyy年M月d日"), F.lit("（周一）")), F.date_format(at, "yyyy年M月"), F.date_format(at, "yyyy"), F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'-0500'"), epoch), (F.col("o_orderkey") % 8).cast("int"))
     t = table(spark, d, "orders").select("o_orderkey", times.parse_time(said).alias("x"))
     return t.select("o_orderkey", F.date_format("x.at", "yyyy-MM-dd HH:mm:ss").alias("at"), "x.precision")
 
@@ -185,11 +198,15 @@ def clamp_year(spark, d):
     return table(spark, d, "orders").agg(F.count(F.lit(1)).alias("n"), F.count(times.clamp_year(F.col("o_orderdate"), 1996, 1999)).alias("kept"))
 
 
-@query("D04_event_time", """WITH x AS (SELECT o_orderkey, o_orderdate::DATE AS a, (o_orderdate + to_days((o_orderkey % 7 - 3)::INTEGER))::DATE AS b, o_orderkey % 4 AS k FROM orders)
-SELECT o_orderkey, CASE k WHEN 0 THEN least(a, b) WHEN 1 THEN a WHEN 3 THEN a END::VARCHAR AS lower, CASE k WHEN 0 THEN greatest(a, b) WHEN 2 THEN b + 1 WHEN 3 THEN a + 1 END::VARCHAR AS upper, 'day' AS precision FROM x""")
+@query("D04_event_time", """WITH w AS (SELECT o_orderkey, o_orderkey % 4 AS k, o_orderdate + to_years(CASE o_orderkey % 5 WHEN 0 THEN 198 ELSE 24 END) AS t FROM orders),
+x AS (SELECT o_orderkey, k, t::DATE AS a, (t + to_days((o_orderkey % 7 - 3)::INTEGER))::DATE AS b FROM w),
+y AS (SELECT o_orderkey, k, a, b, CASE WHEN year(a) BETWEEN 2015 AND 2027 THEN a END AS ca, CASE WHEN year(b) BETWEEN 2015 AND 2027 THEN b END AS cb FROM x)
+SELECT o_orderkey, CASE k WHEN 0 THEN CASE WHEN cb IS NULL THEN ca WHEN ca IS NOT NULL THEN least(ca, cb) END WHEN 1 THEN ca WHEN 3 THEN ca END::VARCHAR AS lower,
+  CASE k WHEN 0 THEN CASE WHEN ca IS NULL THEN cb WHEN cb IS NOT NULL THEN greatest(ca, cb) END WHEN 2 THEN cb + 1 WHEN 3 THEN ca + 1 END::VARCHAR AS upper,
+  CASE WHEN CASE k WHEN 0 THEN coalesce(ca, cb) WHEN 2 THEN cb ELSE ca END IS NULL THEN 'unknown' ELSE 'day' END AS precision FROM y""")
 def event_time(spark, d):
-    o = table(spark, d, "orders")
-    a, b, k = F.date_format("o_orderdate", "yyyy-MM-dd"), F.date_format(F.date_add(F.to_date("o_orderdate"), (F.col("o_orderkey") % 7 - 3).cast("int")), "yyyy-MM-dd"), F.col("o_orderkey") % 4
+    o = table(spark, d, "orders").withColumn("t", F.expr("to_date(add_months(o_orderdate, 12 * CASE WHEN o_orderkey % 5 = 0 THEN 198 ELSE 24 END))"))
+    a, b, k = F.date_format("t", "yyyy-MM-dd"), F.date_format(F.date_add("t", (F.col("o_orderkey") % 7 - 3).cast("int")), "yyyy-MM-dd"), F.col("o_orderkey") % 4
     x = times.event_time(F.when(k.isin(0, 1), a), F.when(k.isin(0, 2), b), F.when(k == 3, a), F.lit("unknown"))
     t = o.select("o_orderkey", x.alias("x"))
     return t.select("o_orderkey", F.date_format("x.lower", "yyyy-MM-dd").alias("lower"), F.date_format("x.upper", "yyyy-MM-dd").alias("upper"), "x.precision")
