@@ -186,27 +186,186 @@ def near_duplicates(df: DataFrame, *, key: str = "doc_id", text: str = "text") -
     return docs.join(labels, docs["fp"] == labels["label_fp"]).select(F.col("id").alias(key), hex_of(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def keep_one_of_each(df: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The row of each component whose key is the smallest (the least fingerprint at a tie), with the columns of ``df``.
+#: The wide fingerprint that finds pairs of a given similarity: bits, and the seed of its hashes and blocks.
+WIDE_BITS, WIDE_SEED = 512, 42
+#: Share of the pairs at the similarity itself that share a block, and standard deviations of the distance let through.
+BLOCK_RECALL, DEVIATIONS = 0.98, 2.0
+#: Unrelated fingerprints that a block's bucket should hold: a block has log2(fingerprints) - 5 bits.
+BUCKET_LOG2 = 5
+#: Buckets of at most so many fingerprints are compared in one step.
+SMALL_BUCKET = 64
+_LANES = np.arange(1, WIDE_BITS // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
-    One row where keys repeat: a key that is the smallest of several components stays with the least fingerprint of
-    these, so the others lose their row. Rows with a null key are kept only if their whole component has none, then one
-    row for each component.
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Integers whose bits all depend on all bits of ``x``."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def wide_fingerprint(text: str | None, shingle: int = 5) -> bytes:
+    """SimHash of ``WIDE_BITS`` bits of the *set* of word shingles (A-Z as a-z; fewer words: the whole sequence).
+
+    All bits are zero where there is no word. The set's bits are counted in slices, so memory does not follow the text.
     """
-    columns = df.columns
-    fp = free_name(df, "_fp")
-    docs = materialize(add_fingerprint(df.select(F.col(key).alias("id"), F.col(text).alias("body")), "body").select("id", "fp"), "simhash-documents")
-    labels = label_fingerprints(docs)
-    best = F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "fp")).alias("best")
-    chosen = docs.join(labels, "fp").groupBy("root").agg(best).select(F.col("best.id").alias("best_id"), F.col("best.fp").alias("best_fp"))
-    chosen = materialize(chosen, "simhash-chosen")
-    first = chosen.filter("best_id is not null").groupBy("best_id").agg(F.min("best_fp").alias("best_fp"))
-    # a key of one fingerprint names its row; only rows of other keys and of none are fingerprinted again
-    several = docs.filter("id is not null").groupBy("id").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo <> hi").select(F.col("id").alias("several_id"))
-    known = df.filter(F.col(key).isNotNull())
-    plain = first.join(several, F.col("best_id") == F.col("several_id"), "left_anti")
-    kept = known.join(plain, F.col(key) == F.col("best_id"), "left_semi").dropDuplicates([key])
-    reused = add_fingerprint(known.join(several, F.col(key) == F.col("several_id"), "left_semi"), text, fp)
-    reused = reused.join(first, (F.col(key) == F.col("best_id")) & (F.col(fp) == F.col("best_fp")), "left_semi").dropDuplicates([key, fp])
-    nameless = add_fingerprint(df.filter(F.col(key).isNull()), text, fp).join(chosen.filter("best_id is null"), F.col(fp) == F.col("best_fp"), "left_semi").dropDuplicates([fp])
-    return kept.select(*columns).unionByName(reused.select(*columns)).unionByName(nameless.select(*columns))
+    from xxhash import xxh64_intdigest
+
+    words = (text or "").encode().lower().split()
+    if not words:
+        return bytes(WIDE_BITS // 8)
+    of_word = np.fromiter((xxh64_intdigest(w, WIDE_SEED) for w in words), np.uint64, len(words))
+    size = min(shingle, len(words))
+    rolled = np.zeros(len(words) - size + 1, np.uint64)
+    for i in range(size):
+        rolled = rolled * np.uint64(0xD6E8FEB86659FD93) + of_word[i : i + len(rolled)]
+    shingles = np.unique(_mixed(rolled))
+    ones = np.zeros(WIDE_BITS, np.int64)
+    for at in range(0, len(shingles), 255):
+        drawn = _mixed(shingles[at : at + 255, None] + _LANES)
+        ones += np.add.reduce(np.unpackbits(drawn.view(np.uint8), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(shingles), bitorder="little").tobytes()
+
+
+def differing_share(similarity: float) -> float:
+    """Share of the fingerprint bits in which sets of that Jaccard similarity (and about equal sizes) differ."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def most_differing(similarity: float) -> int:
+    share = differing_share(similarity)
+    return int(np.ceil(WIDE_BITS * share + DEVIATIONS * np.sqrt(WIDE_BITS * share * (1 - share))))
+
+
+def wide_blocks(n_prints: int, similarity: float) -> np.ndarray:
+    """Bit positions, a row for each block: as many blocks as a pair at ``similarity`` needs to share one.
+
+    Width and number follow the number of fingerprints, so that buckets stay small and the recall the same at any size:
+    the number of blocks grows with about the fifth root of the fingerprints.
+    """
+    width = min(max(int(np.ceil(np.log2(max(n_prints, 2)))) - BUCKET_LOG2, 6), 48)
+    shared = (1 - differing_share(similarity)) ** width
+    n_blocks = int(np.ceil(np.log(1 - BLOCK_RECALL) / np.log1p(-shared)))
+    rng = np.random.default_rng(WIDE_SEED)
+    # whole permutations are cut up first, so blocks overlap as little as they can
+    order = np.concatenate([rng.permutation(WIDE_BITS)[: WIDE_BITS // width * width] for _ in range(-(-n_blocks * width // (WIDE_BITS // width * width)))])
+    return order[: n_blocks * width].reshape(n_blocks, width)
+
+
+def wide_forest(prints: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Edges (places) of a spanning forest of the links of ``most`` differing bits or fewer; ``prints``: rows of words."""
+    near = lambda x, among: np.bitwise_count(among ^ x).sum(-1, dtype=np.int64) <= most
+    if len(prints) <= SMALL_BUCKET:
+        linked = near(prints[:, None], prints[None])
+        if linked.sum() == len(prints):
+            return []
+        of = lambda i, left: linked[i, left]
+    else:
+        of = lambda i, left: near(prints[i], prints[left])
+    left, edges = np.arange(len(prints)), []
+    while len(left):
+        stack, left = [int(left[0])], left[1:]
+        while stack and len(left):
+            i = stack.pop()
+            hit = of(i, left)
+            if hit.any():
+                found = left[hit].tolist()
+                edges.extend((i, j) for j in found)
+                stack.extend(found)
+                left = left[~hit]
+    return edges
+
+
+def wide_links(prints: DataFrame, n_prints: int, similarity: float) -> DataFrame:
+    """``a, b``: edges between ``node``s of ``prints(node, wide)``, distinct fingerprints, that share a block and differ
+    in few enough bits. A bucket emits a forest, so a group of near copies gives one edge for each copy, not all pairs.
+    """
+    import pyarrow as pa
+
+    blocks, most = wide_blocks(n_prints, similarity), most_differing(similarity)
+    n_blocks, width = blocks.shape
+    weights = np.int64(1) << np.arange(width, dtype=np.int64)
+
+    def spread(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                node = part.column(0).to_numpy()
+                raw = np.frombuffer(b"".join(x.as_py() for x in part.column(1)), np.uint8).reshape(-1, WIDE_BITS // 8)
+                bits = np.unpackbits(raw, axis=1, bitorder="little")
+                for i, block in enumerate(blocks):
+                    key = bits[:, block] @ weights
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(node), i, np.int32)), pa.array(key), pa.array(node), part.column(1)], names=["block", "bits", "node", "wide"])
+
+    def link(batches):
+        held, nodes, now, out = [], [], None, []
+
+        def close():
+            if len(nodes) > 1:
+                found = np.frombuffer(b"".join(held), np.uint64).reshape(len(nodes), -1)
+                out.extend((nodes[i], nodes[j]) for i, j in wide_forest(found, most))
+            held.clear()
+            nodes.clear()
+
+        def flush():
+            e = np.array(out, np.int64).reshape(-1, 2)
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(e.min(1)), pa.array(e.max(1))], names=["a", "b"])
+
+        for batch in batches:
+            block, bits, node = (batch.column(i).to_pylist() for i in range(3))
+            for at in zip(block, bits, node, batch.column(3).to_pylist()):
+                if at[:2] != now:
+                    close()
+                    now = at[:2]
+                nodes.append(at[2])
+                held.append(at[3])
+            if len(out) > 50_000:
+                yield flush()
+        close()
+        if out:
+            yield flush()
+
+    rows = prints.select("node", "wide").mapInArrow(spread, "block int, bits long, node long, wide binary")
+    return rows.repartition("block", "bits").sortWithinPartitions("block", "bits").mapInArrow(link, "a long, b long").distinct()
+
+
+def wide_groups(df: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``id, h, root``: for every row its key, its text's hash, and the group of near copies that it belongs to.
+
+    Groups are the components of links between wide fingerprints: pairs whose shingle sets are of ``similarity`` or more
+    are linked but for the share that ``BLOCK_RECALL`` and ``DEVIATIONS`` leave out; pairs somewhat below may be, too.
+    """
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf("binary")
+    def of(texts):
+        import pandas as pd
+
+        return pd.Series([wide_fingerprint(t, shingle) for t in texts])
+
+    docs = materialize(df.select(F.col(key).alias("id"), text_hash(text).alias("h"), of(F.col(text)).alias("wide")), "near-documents")
+    prints = materialize(docs.groupBy("wide").agg(F.count(F.lit(1)).alias("n")).select("wide", F.monotonically_increasing_id().alias("node")), "near-prints")
+    edges = materialize(wide_links(prints, prints.count(), similarity), "near-links")
+    roots = prints.join(connected_components(edges).withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left").select(F.col("wide").alias("of_wide"), F.coalesce("root", "node").alias("root"))
+    return docs.join(roots, F.col("wide") == F.col("of_wide")).select("id", "h", "root")
+
+
+def text_hash(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.octet_length(F.coalesce(F.col(text), F.lit(""))), F.col(text).isNull())
+
+
+def keep_one_of_each(df: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row of each group of near copies, with the columns of ``df``: the one with the smallest key.
+
+    A null key comes after all others; where keys repeat in a group, and where a group has none, the text with the least
+    hash stays. Rows that agree in key and text are one document, of which one stays. Texts without a word, null ones
+    too, are near copies of each other. Groups never share a row, so each keeps one whatever keys repeat. An empty table
+    gives an empty result.
+    """
+    columns, h = df.columns, free_name(df, "_hash")
+    best = F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "h")).alias("best")
+    chosen = materialize(wide_groups(df, key=key, text=text, shingle=shingle, similarity=similarity).groupBy("root").agg(best).select(F.col("best.id").alias("best_id"), F.col("best.h").alias("best_h")), "near-chosen")
+    kept = df.withColumn(h, text_hash(text))
+    kept = kept.join(chosen, F.col(h).eqNullSafe(F.col("best_h")) & F.col(key).eqNullSafe(F.col("best_id")), "left_semi")
+    return kept.dropDuplicates([h, key]).select(*columns)

@@ -173,10 +173,85 @@ def test_simhash(docs, empty):
     comps = brute_components([r[0] for r in table], prints)
     out = simhash.near_duplicates(docs).collect()
     assert Counter((r["doc_id"], r["fingerprint"], r["component_id"]) for r in out) == Counter((r[0], f"{p:016x}", c) for r, p, c in zip(table, prints, comps))
+    assert simhash.near_duplicates(empty).count() == 0
+
+
+def shingle_set(text, size=5):
+    w = words((text or "").translate({c: c + 32 for c in range(65, 91)}))
+    return frozenset(tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))) if w else frozenset()
+
+
+def brute_kept(table):
+    """The (id, text) kept of each component of five-word Jaccard similarities of 0.8 or more; texts without a word are alike."""
+    sets = [shingle_set(r[1]) for r in table]
+    parent = list(range(len(table)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(table)):
+        for j in range(i):
+            if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
+                parent[root(i)] = root(j)
+    groups = {}
+    for i, r in enumerate(table):
+        groups.setdefault(root(i), []).append((r[0], r[1]))
+    return list(groups.values())
+
+
+def assert_one_of_each(groups, kept):
+    """One member of every group stays, and none has a smaller id; a null id counts as the largest."""
+    left = Counter(kept)
+    for members in groups:
+        least = min((i is None, i or 0) for i, _ in members)
+        stays = [m for m in set(members) if left[m] and (m[0] is None, m[0] or 0) == least]
+        assert len(stays) == 1, members
+        left[stays[0]] -= 1
+    assert not +left
+
+
+def test_near_duplicates(docs, empty):
     kept = simhash.keep_one_of_each(docs)
     assert kept.columns == docs.columns
-    assert Counter(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == Counter(set(c for c in comps if c is not None))
-    assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_one_of_each(empty).count() == 0
+    assert_one_of_each(brute_kept(rows()), [(r["doc_id"], r["text"]) for r in kept.collect()])
+    assert simhash.keep_one_of_each(empty).count() == 0
+
+
+def near_copies(rng, n_groups=60):
+    """Texts with copies in which a few words differ: pairs well above 0.8, and variants well below."""
+    table = []
+    for g in range(n_groups):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([60, 150, 400]))]
+        table.append(base)
+        for edits in (1, 1, len(base) // 5):
+            other = list(base)
+            for at in rng.sample(range(len(base)), edits):
+                other[at] = f"x{rng.randrange(10**6)}"
+            table.append(other)
+    return [(i, " ".join(w)) for i, w in enumerate(table)]
+
+
+@pytest.mark.parametrize("small", [64, 2])
+def test_near_duplicates_by_similarity(spark, monkeypatch, small):
+    monkeypatch.setattr(simhash, "SMALL_BUCKET", small)
+    table = near_copies(random.Random(6))
+    kept = simhash.keep_one_of_each(spark.createDataFrame(table, "doc_id long, text string")).collect()
+    assert_one_of_each(brute_kept(table), [tuple(r) for r in kept])
+
+
+def test_wide_fingerprints():
+    rng = random.Random(7)
+    text = " ".join(f"w{rng.randrange(300)}" for _ in range(3000))
+    assert simhash.wide_fingerprint(None) == simhash.wide_fingerprint(" \n") == bytes(64)
+    assert simhash.wide_fingerprint(text) == simhash.wide_fingerprint(text.upper().replace(" ", "\t "))
+    assert simhash.wide_fingerprint("a b c a b c a b c a b") == simhash.wide_fingerprint("a b c a b c a b c a b c a b")
+    for n in (2, 10**4, 10**7, 10**10):
+        blocks = simhash.wide_blocks(n, 0.8)
+        assert all(len(set(b)) == len(b) for b in blocks.tolist())
+        shared = (1 - simhash.differing_share(0.8)) ** blocks.shape[1]
+        assert 1 - (1 - shared) ** len(blocks) >= 0.98
 
 
 def test_simhash_keeps_one_row_of_every_component(spark):
@@ -186,6 +261,10 @@ def test_simhash_keeps_one_row_of_every_component(spark):
     kept = simhash.keep_one_of_each(spark.createDataFrame(table, "doc_id long, text string")).collect()
     want = [(None, text("a")), (None, text("b")), (1, text("c")), (7, text("d")), (9, text("e"))]
     assert Counter((r["doc_id"], r["text"]) for r in kept) == Counter(want)
+    # an id that is the smallest of two components stays with a text of each
+    table = [(5, text("b")), (5, text("a")), (3, text("b")), (6, text("f")), (6, text("g"))]
+    kept = simhash.keep_one_of_each(spark.createDataFrame(table, "doc_id long, text string")).collect()
+    assert Counter(tuple(r) for r in kept) == Counter([(3, text("b")), (5, text("a")), (6, text("f")), (6, text("g"))])
 
 
 @pytest.mark.parametrize("large", [4096, 8])
