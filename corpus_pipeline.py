@@ -16,28 +16,38 @@ from evoria.llm._common import shared_dir
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rule or a fence of their language and source go."""
+    """Documents that fail the base rule or a fence of their language and source go.
+
+    Null and empty texts fail the base rule; a null language or source is a group of its own; equal rows share their fate.
+    """
     return quality.keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked fingerprints the document with the smallest id stays."""
+    """Of each group of near copies (five words, similarity 0.8 or more) the document with the smallest id stays.
+
+    Null ids come last, ties go to the text with the least hash, equal rows are one document. Texts without a word are
+    copies of each other.
+    """
     return simhash.keep_one_of_each(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every found span becomes a mask; ``n_chars`` follows the text."""
+    """Every found span becomes a mask; ``n_chars`` follows the text. All rows stay; a null text stays null."""
     clean = secrets.redact(docs)
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: some not at all, some up to three times."""
+    """Documents as often as the mix takes them: some not at all, some up to three times.
+
+    Texts without a word have size 0 and go; a null source is the last source; equal rows are separate documents.
+    """
     return mixing.mix(docs)
 
 
 def byte_pairs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256, token_ids`` for every row of the mix."""
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256, token_ids`` for every row of the mix; a null text has no token."""
     return bpe.encode_digests(docs, with_ids=True)
 
 
