@@ -25,16 +25,20 @@ long AS (
   SELECT lang, source, 'word_length' AS metric, m.word_length AS v FROM g WHERE NOT base_failed UNION ALL SELECT lang, source, 'symbols', m.symbols FROM g WHERE NOT base_failed
   UNION ALL SELECT lang, source, 'dup_lines', m.dup_lines FROM g WHERE NOT base_failed UNION ALL SELECT lang, source, 'repeats', m.repeats FROM g WHERE NOT base_failed),
 bins AS (SELECT lang, source, metric, {_BIN} AS bin FROM long),
-own AS (SELECT lang, source, metric, count(*) AS total, quantile_disc(bin, 0.25) AS q25, quantile_disc(bin, 0.75) AS q75 FROM bins GROUP BY ALL),
-by_lang AS (SELECT lang, metric, count(*) AS total, quantile_disc(bin, 0.25) AS q25, quantile_disc(bin, 0.75) AS q75 FROM bins GROUP BY ALL),
-by_all AS (SELECT metric, quantile_disc(bin, 0.25) AS q25, quantile_disc(bin, 0.75) AS q75 FROM bins GROUP BY ALL),
-width AS (SELECT * FROM (VALUES ('word_length', 200), ('symbols', 60), ('dup_lines', 500), ('repeats', 300)) AS t(metric, least)),
+q AS (SELECT quantile_disc(bin, 0.25) AS q25, quantile_disc(bin, 0.5) AS q50, quantile_disc(bin, 0.75) AS q75, quantile_disc(bin, 0.9) AS q90, lang, source, metric, GROUPING(lang, source) AS level, count(*) AS total FROM bins
+  GROUP BY GROUPING SETS ((lang, source, metric), (lang, metric), (metric))),
+w AS (SELECT lang, source, metric, level, total, q75 + 6 * (q75 - q25) AS body, q90 + 6 * (q90 - q50) AS tail FROM q),
 fence AS (
-  SELECT o.lang, o.source, o.metric, least + CASE WHEN o.total >= 50 THEN o.q75 + 6 * (o.q75 - o.q25) WHEN l.total >= 50 THEN l.q75 + 6 * (l.q75 - l.q25) ELSE a.q75 + 6 * (a.q75 - a.q25) END AS top
-  FROM own o JOIN by_lang l ON o.lang IS NOT DISTINCT FROM l.lang AND o.metric = l.metric JOIN by_all a ON a.metric = o.metric JOIN width ON width.metric = o.metric),
-tops AS (SELECT lang, source, max(top) FILTER (metric = 'word_length') AS t1, max(top) FILTER (metric = 'symbols') AS t2, max(top) FILTER (metric = 'dup_lines') AS t3, max(top) FILTER (metric = 'repeats') AS t4 FROM fence GROUP BY ALL)
+  SELECT o.lang, o.source, o.metric, greatest(CASE WHEN o.total >= 50 THEN o.body WHEN l.total >= 50 THEN l.body ELSE a.body END,
+    least(CASE WHEN o.total >= 50 THEN o.tail END, CASE WHEN l.total >= 50 THEN l.tail END, a.tail)) AS top
+  FROM w o JOIN w l ON o.level = 0 AND l.level = 1 AND o.lang IS NOT DISTINCT FROM l.lang AND o.metric = l.metric JOIN w a ON a.level = 3 AND a.metric = o.metric),
+tops AS (SELECT lang, source, max(top) FILTER (metric = 'word_length')::DOUBLE AS t1, max(top) FILTER (metric = 'symbols')::DOUBLE AS t2, max(top) FILTER (metric = 'dup_lines')::DOUBLE AS t3, max(top) FILTER (metric = 'repeats')::DOUBLE AS t4 FROM fence GROUP BY ALL)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND coalesce(m.word_length <= t1 AND m.symbols <= t2 AND m.dup_lines <= t3 AND m.repeats <= t4, true) AS kept
+  NOT base_failed AND coalesce(
+    (word_chars * 100.0::DOUBLE <= t1 * n_words OR (word_chars * 100.0::DOUBLE - t1 * n_words) ** 2 <= 9 * (word_chars * 100.0::DOUBLE) * 100) AND
+    (n_symbols * 1000.0::DOUBLE <= t2 * word_chars OR (n_symbols * 1000.0::DOUBLE - t2 * word_chars) ** 2 <= 9 * (n_symbols * 1000.0::DOUBLE) * 1000) AND
+    (n_dup_lines * 1000.0::DOUBLE <= t3 * n_lines OR (n_dup_lines * 1000.0::DOUBLE - t3 * n_lines) ** 2 <= 9 * (n_dup_lines * 1000.0::DOUBLE) * 1000) AND
+    (n_repeat_words * 1000.0::DOUBLE <= t4 * n_words OR (n_repeat_words * 1000.0::DOUBLE - t4 * n_words) ** 2 <= 9 * (n_repeat_words * 1000.0::DOUBLE) * 1000), true) AS kept
 FROM g LEFT JOIN tops ON g.lang IS NOT DISTINCT FROM tops.lang AND g.source IS NOT DISTINCT FROM tops.source
 """
 

@@ -10,15 +10,18 @@ from ._common import SPACE, free_name, materialize, text_or_empty
 
 #: Least number of words, and the largest share (percent) of words in repeated windows, of the base rule.
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-#: metric -> (numerator, denominator, scale, least width of the fence in metric units)
+#: metric -> (numerator, denominator, scale); no metric has a cutoff of its own.
 METRICS = {
-    "word_length": ("word_chars", "n_words", 100, 200),
-    "symbols": ("n_symbols", "word_chars", 1000, 60),
-    "dup_lines": ("n_dup_lines", "n_lines", 1000, 500),
-    "repeats": ("n_repeat_words", "n_words", 1000, 300),
+    "word_length": ("word_chars", "n_words", 100),
+    "symbols": ("n_symbols", "word_chars", 1000),
+    "dup_lines": ("n_dup_lines", "n_lines", 1000),
+    "repeats": ("n_repeat_words", "n_words", 1000),
 }
-#: A document fails a metric above q75 + SPREADS * (q75 - q25) + least width.
+#: Quantiles that fences are made of, and how many spreads a fence is away from the upper one.
+QUANTILES = {"q25": (1, 4), "q50": (1, 2), "q75": (3, 4), "q90": (9, 10)}
 SPREADS = 6
+#: A document goes where its count is more than so many standard errors (of a count) above what the fence allows.
+ERRORS = 3
 #: Groups with fewer documents use the sketch of their language, then that of all documents.
 MIN_GROUP = 50
 #: Largest number of (language, source) groups whose thresholds are broadcast.
@@ -55,7 +58,7 @@ def base_features(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def metric(name: str) -> Column:
-    top, bottom, scale, _ = METRICS[name]
+    top, bottom, scale = METRICS[name]
     return F.expr(f"({top} * {scale}L) div greatest({bottom}, 1L)")
 
 
@@ -65,33 +68,51 @@ def sketch_key(value: Column) -> Column:
     return F.when(value < 64, value).otherwise(value - F.pmod(value, F.pow(F.lit(2.0), shift.cast("double")).cast("long")))
 
 
-def _quartiles(bins: DataFrame, keys: list[str]) -> DataFrame:
-    """n, q25 and q75 of every (keys, metric) from merged bins."""
+def _fences(bins: DataFrame, keys: list[str]) -> DataFrame:
+    """``total, body, tail`` of every (keys, metric) from merged bins.
+
+    ``body`` is above the quarters of the group: a quarter of bad documents does not move it. ``tail`` is above the top
+    tenth, for metrics that are zero in most documents.
+    """
     merged = bins.groupBy(*keys, "metric", "bin").agg(F.sum("n").alias("n"))
     over = Window.partitionBy(*keys, "metric")
     run = merged.withColumns({"total": F.sum("n").over(over), "upto": F.sum("n").over(over.orderBy("bin"))})
-    return run.groupBy(*keys, "metric").agg(F.max("total").alias("total"), F.min(F.when(4 * F.col("upto") >= F.col("total"), F.col("bin"))).alias("q25"), F.min(F.when(4 * F.col("upto") >= 3 * F.col("total"), F.col("bin"))).alias("q75"))
+    at = (F.min(F.when(den * F.col("upto") >= num * F.col("total"), F.col("bin"))).alias(q) for q, (num, den) in QUANTILES.items())
+    found = run.groupBy(*keys, "metric").agg(F.max("total").alias("total"), *at)
+    above = lambda high, low: F.col(high) + SPREADS * (F.col(high) - F.col(low))
+    return found.select(*keys, "metric", "total", above("q75", "q25").alias("body"), above("q90", "q50").alias("tail"))
 
 
 def thresholds(features: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
     """One row for each (lang, source): ``g_lang, g_source`` and a fence ``t_<metric>`` for every metric.
 
     The sketch is a count for each bin, so sketches of parts add up in any order, and reruns agree. Documents that
-    fail the base rule take no part. Null is a language and a source of its own.
+    fail the base rule take no part. Null is a language and a source of its own. A fence is the group's ``body``, or
+    the least ``tail`` of the group, its language and all documents where that is higher: what is usual in a group is
+    allowed there, and a group's few bad documents do not raise its fence above what is usual elsewhere.
     """
     pairs = F.array(*(F.struct(F.lit(m).alias("metric"), sketch_key(metric(m)).alias("bin")) for m in METRICS))
     groups = features.select(F.col(lang).alias("g_lang"), F.col(source).alias("g_source"), "base_failed", pairs.alias("pairs"))
     bins = groups.filter(~F.col("base_failed")).select("g_lang", "g_source", F.explode("pairs").alias("x")).groupBy("g_lang", "g_source", "x.metric", "x.bin").agg(F.count(F.lit(1)).alias("n"))
     bins = materialize(bins, "quality-sketches")
-    width = F.create_map(*(F.lit(v) for m, (_, _, _, least) in METRICS.items() for v in (m, least)))
-    fence = F.col("q75") + SPREADS * (F.col("q75") - F.col("q25")) + width[F.col("metric")]
-    own = _quartiles(bins, ["g_lang", "g_source"]).select("g_lang", "g_source", "metric", "total", fence.alias("fence"))
-    of_lang = _quartiles(bins, ["g_lang"]).select(F.col("g_lang").alias("l"), F.col("metric").alias("lm"), F.col("total").alias("l_total"), fence.alias("l_fence"))
-    of_all = _quartiles(bins, []).select(F.col("metric").alias("am"), fence.alias("a_fence"))
+    own = _fences(bins, ["g_lang", "g_source"])
+    of_lang = _fences(bins, ["g_lang"]).select(F.col("g_lang").alias("l"), F.col("metric").alias("lm"), F.col("total").alias("l_total"), F.col("body").alias("l_body"), F.col("tail").alias("l_tail"))
+    of_all = _fences(bins, []).select(F.col("metric").alias("am"), F.col("body").alias("a_body"), F.col("tail").alias("a_tail"))
     # one row per metric and language, or per metric: four rows here for all documents
     both = own.join(of_lang, own["g_lang"].eqNullSafe(of_lang["l"]) & (own["metric"] == of_lang["lm"])).join(F.broadcast(of_all), F.col("metric") == F.col("am"))
-    chosen = F.when(F.col("total") >= MIN_GROUP, F.col("fence")).when(F.col("l_total") >= MIN_GROUP, F.col("l_fence")).otherwise(F.col("a_fence"))
-    return both.groupBy("g_lang", "g_source").agg(*(F.max(F.when(F.col("metric") == m, chosen)).alias(f"t_{m}") for m in METRICS))
+    body = F.when(F.col("total") >= MIN_GROUP, F.col("body")).when(F.col("l_total") >= MIN_GROUP, F.col("l_body")).otherwise(F.col("a_body"))
+    tail = F.least(F.when(F.col("total") >= MIN_GROUP, F.col("tail")), F.when(F.col("l_total") >= MIN_GROUP, F.col("l_tail")), F.col("a_tail"))
+    return both.groupBy("g_lang", "g_source").agg(*(F.max(F.when(F.col("metric") == m, F.greatest(body, tail))).alias(f"t_{m}") for m in METRICS))
+
+
+def within_fence(name: str) -> Column:
+    """Whether the metric's count is at most ``ERRORS`` standard errors (its root) above what the fence allows.
+
+    A short document's share is known only roughly: two repeated lines of three are no sign by themselves.
+    """
+    top, bottom, scale = (F.col(x) if isinstance(x, str) else F.lit(float(x)) for x in METRICS[name])
+    count, allowed = top.cast("double") * scale, F.col(f"t_{name}").cast("double") * bottom
+    return (count <= allowed) | ((count - allowed) * (count - allowed) <= ERRORS * ERRORS * count * scale)
 
 
 def judge(features: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
@@ -101,7 +122,7 @@ def judge(features: DataFrame, lang: str = "lang", source: str = "source") -> Da
         fences = F.broadcast(fences)
     within = F.lit(True)
     for m in METRICS:
-        within = within & (metric(m) <= F.col(f"t_{m}"))
+        within = within & within_fence(m)
     joined = features.join(fences, features[lang].eqNullSafe(fences["g_lang"]) & features[source].eqNullSafe(fences["g_source"]), "left")
     return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(within, F.lit(True))).drop("g_lang", "g_source", *(f"t_{m}" for m in METRICS))
 

@@ -129,6 +129,35 @@ def test_quality(docs, empty):
     assert quality.quality_rules(empty).count() == 0 and quality.keep_good(empty).count() == 0
 
 
+def test_quality_fences_follow_their_groups(spark):
+    rng = random.Random(11)
+    prose = lambda n, letters: [f"{rng.choice('abcdefgh')}{rng.randrange(10 ** (letters - 1)):0{letters - 1}d}" for _ in range(n)]
+
+    def text(kind, noisy):
+        w = prose(rng.randint(80, 160), 5 + 4 * noisy)
+        for at in rng.sample(range(len(w)), (6 + rng.randrange(10)) * noisy):
+            w[at] += "$&"
+        lines = [" ".join(w[i : i + 5]) for i in range(0, len(w), 5)]
+        for at in rng.sample(range(1, len(lines)), (3 + rng.randrange(3)) * noisy):
+            lines[at] = lines[0]
+        if kind == "symbols":
+            lines = [x.replace(" ", " ### ") for x in lines]
+        if kind == "lines":
+            lines = lines[:12] + lines[:1] * 28
+        return "\n".join(lines)
+
+    table = [(i, text("", i % 2), "en", ["plain", "noisy"][i % 2]) for i in range(400)]
+    table += [(1000 + i, text("symbols", 0), "en", "plain") for i in range(20)] + [(2000, text("symbols", 0), None, None), (2001, text("", 0), "xx", "rare")]
+    df = spark.createDataFrame(table, "doc_id long, text string, lang string, source string")
+    features = quality.base_features(df).cache()
+    fences = {(r["g_lang"], r["g_source"]): r for r in quality.thresholds(features).collect()}
+    for m in quality.METRICS:
+        assert fences["en", "plain"][f"t_{m}"] < fences["en", "noisy"][f"t_{m}"], m
+    kept = {r["doc_id"]: r["kept"] for r in quality.quality_rules(df).collect()}
+    assert sum(kept[i] for i in range(400)) >= 0.98 * 400 and kept[2001]
+    assert not any(kept[1000 + i] for i in range(20)) and not kept[2000]
+
+
 def test_sketch_bins(spark):
     values = [0, 1, 63, 64, 65, 127, 128, 129, 130, 1000, 12345, 10**12 + 7]
     out = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v long").select(quality.sketch_key(quality.F.col("v"))).collect()]
