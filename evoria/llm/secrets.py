@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from math import log
+from collections.abc import Callable
+from math import atanh, log, pi, sqrt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,25 +38,48 @@ EVEN_PART = 0.1
 LENGTH_BANDS = (24, 32, 48, 64, 128)
 #: Steps of -log10 p, in hundredths, up to the largest that counts.
 P_STEPS, P_MOST = 100, 40
+#: Least correlation of neighbouring code points in what counts as a sequence.
+SEQUENCE = 0.9
 
 
-def find_all(body: Column, pattern: str) -> Column:
-    """``array<struct<s, e, m>>``: code point ranges and texts of all leftmost non-overlapping matches.
+def matches(body: Column, pattern: str) -> Column:
+    """``array<struct<m, gap>>``: all leftmost non-overlapping matches, each with the length of the piece before it.
 
-    The pieces between matches give the places: matches and pieces alternate.
+    Pieces between matches and matches alternate.
     """
     pieces = F.split(body, pattern, -1)
     found = F.regexp_extract_all(body, F.lit(pattern), F.lit(0))
     pairs = F.zip_with(found, F.slice(pieces, 1, F.greatest(F.size(found), F.lit(1))), lambda m, gap: F.struct(m.alias("m"), F.length(gap).alias("gap")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,m:string>>").alias("out"))
+    return F.when(body.rlike(pattern), F.filter(pairs, lambda p: p["m"].isNotNull())).otherwise(F.array().cast("array<struct<m:string,gap:int>>"))
+
+
+#: Least number of items that are added up one by one.
+RUN = 32
+
+
+def running(items: Column, value: Callable[[Column], Column], join: Callable[[Column, Column], Column]) -> Column:
+    """``array<int>``: ``join`` (sum or maximum, from 0) of the values up to each item, the item included.
+
+    ``items`` must be a column of the step before, as it stands in a lambda. Items are taken in runs of about the root of
+    their number, and runs in turn: appending to an array copies it, so one pass would be quadratic in the items.
+    """
+    size = F.greatest(F.ceil(F.sqrt(F.size(items))), F.lit(RUN)).cast("int")
+    runs = F.filter(F.transform(F.sequence(F.lit(0), F.floor(F.size(items) / size).cast("int")), lambda r: F.slice(items, r * size + 1, size)), lambda run: F.size(run) > 0)
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
 
     def step(acc, x):
-        s = acc["at"] + x["gap"]
-        e = s + F.length(x["m"])
-        return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m")))).alias("out"))
+        now = join(acc["at"], value(x))
+        return F.struct(now.alias("at"), F.concat(acc["out"], F.array(now)).alias("out"))
+
+    inside = F.transform(runs, lambda run: F.aggregate(run, zero, step))
+    before = F.aggregate(inside, zero, lambda acc, x: F.struct(join(acc["at"], x["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))["out"]
+    return F.flatten(F.zip_with(inside, before, lambda x, start: F.transform(x["out"], lambda v: join(start, v))))
 
-    none = F.array().cast("array<struct<s:int,e:int,m:string>>")
-    return F.when(body.rlike(pattern), F.aggregate(F.filter(pairs, lambda p: p["m"].isNotNull()), start, step)["out"]).otherwise(none)
+
+def spans_of_matches(found: Column) -> Column:
+    """``array<struct<s, e, m>>``: code point ranges and texts of ``matches``, a column of the step before."""
+    ends = running(found, lambda p: p["gap"] + F.length(p["m"]), lambda x, y: x + y)
+    return F.zip_with(found, ends, lambda p, e: F.struct((e - F.length(p["m"])).alias("s"), e.alias("e"), p["m"].alias("m")))
 
 
 def _class(c: str) -> int:
@@ -99,62 +123,100 @@ def encoding_of(token: Column) -> Column:
     )
 
 
-def battery(token: Column, encoding: Column) -> Column:
-    """``struct<uniform, text, serial>``.
+def text_chain(encoding: str) -> list[float]:
+    """Shares of an encoding's characters in a long text of the text model (its chain's stationary distribution)."""
+    chars = [SIGNS.index(c) for c in ENCODINGS[encoding]]
+    table = text_ratios(encoding)
+    chance = [[10 ** -table[x][y] / len(chars) for y in chars] for x in chars]
+    share = [1 / len(chars)] * len(chars)
+    for _ in range(200):
+        share = [sum(share[i] * chance[i][j] for i in range(len(chars))) for j in range(len(chars))]
+    return share
 
-    ``uniform``: chi-squared of the character counts against the encoding's alphabet (z after Wilson and Hilferty),
-    large where the string is *less* even than random. ``serial``: correlation of neighbouring code points (z), which is
-    near 0 in random strings. ``text``: -log10 of the likelihood ratio of text to random characters, over classes
-    and pairs of characters; under text, a ratio of p or less has probability p at most, whatever the length.
+
+def unevenness(encoding: str) -> float:
+    """What each character of a text adds to chi-squared against an even alphabet, over what a random one adds."""
+    share = text_chain(encoding)
+    return len(share) * sum(p * p for p in share) - 1
+
+
+def _upper_tail(x: Column) -> Column:
+    """P(normal > x) for x >= 0, within 0.3 % at any x (Borjesson and Sundberg's bound)."""
+    return F.exp(-x * x / 2) / (sqrt(2 * pi) * (0.661 * x + 0.339 * F.sqrt(x * x + 5.51)))
+
+
+def battery(token: Column, encoding: Column) -> Column:
+    """The p-value of "this is no secret" for a token of the encoding, from three tests of randomness.
+
+    * Runs: the likelihood ratio of text to random characters over a chain of character classes (how runs of a class
+      end) and of letter pairs. Under text, a ratio of p or less has probability p at most, whatever the length.
+    * Chi-squared of the character counts against the encoding's even alphabet. Under text it is about normal with the
+      mean and spread of a noncentral chi-squared; less than that speaks for a random string.
+    * Serial correlation of neighbouring code points. Under "a sequence" it is ``SEQUENCE`` or more; Fisher's
+      transform of it is about normal.
+
+    The first two have one null and depend on each other: their p-values are combined by Cauchy's rule, where one near 1
+    outweighs a small one, so a string that is less even than text is none. A secret is neither text nor a sequence, so
+    the p-value of the whole is the larger of that and the third.
     """
     plain = F.rtrim(token, F.lit("="))
     chars = F.split(plain, "")
     n = F.size(chars)
-    size = sum((F.when(encoding == name, len(chars)).otherwise(0) for name, chars in ENCODINGS.items()), F.lit(0)).cast("double")
+    of_encoding = lambda value: sum((F.when(encoding == name, value(name)).otherwise(0) for name in ENCODINGS), F.lit(0)).cast("double")
+    size = of_encoding(lambda name: len(ENCODINGS[name]))
     sorted_chars = F.sort_array(chars)
     same = F.aggregate(sorted_chars, F.struct(F.lit("").alias("c"), F.lit(0).alias("k"), F.lit(0).cast("long").alias("sq")), lambda a, x: F.struct(x.alias("c"), F.when(a["c"] == x, a["k"] + 1).otherwise(1).alias("k"), (a["sq"] + F.when(a["c"] == x, 2 * a["k"] + 1).otherwise(1)).alias("sq")))["sq"]
-    chi = same * size / n - n
-    free = size - 1
-    uniform = (F.pow(F.greatest(chi, F.lit(0.0)) / free, F.lit(1 / 3)) - (1 - 2 / (9 * free))) / F.sqrt(2 / (9 * free))
+    shift = n * of_encoding(unevenness)
+    chi = (same * size / n - n - (size - 1) - shift) / F.sqrt(2 * (size - 1) + 4 * shift)
     ratios = F.split(F.lit(",".join(f"{x:.4g}" for name in ENCODINGS for row in text_ratios(name) for x in row)), ",").cast("array<double>")
     part = sum((F.when(encoding == name, i * len(SIGNS) ** 2).otherwise(0) for i, name in enumerate(ENCODINGS)), F.lit(0))
     folded = F.when(encoding.isin("hex", "base32l", "base36l"), F.upper(plain)).otherwise(plain)
     places = F.transform(F.split(folded, ""), lambda c: F.instr(F.lit(SIGNS), c) - 1)
     chain = F.struct(part.alias("part"), F.lit(-1).alias("last"), F.lit(0.0).alias("sum"))
     text = F.aggregate(places, chain, lambda a, c: F.struct(a["part"].alias("part"), c.alias("last"), (a["sum"] + F.when(a["last"] >= 0, F.get(ratios, a["part"] + a["last"] * len(SIGNS) + c)).otherwise(0.0)).alias("sum")))["sum"]
-    zero = F.struct(F.lit(0.0).alias("last"), F.lit(0.0).alias("sx"), F.lit(0.0).alias("sxx"), F.lit(0.0).alias("sxy"))
+    zero = F.struct(*(F.lit(0.0).alias(x) for x in ("first", "last", "sx", "sxx", "sxy")))
 
     def step(a, c):
         v = F.ascii(c).cast("double")
-        return F.struct(v.alias("last"), (a["sx"] + v).alias("sx"), (a["sxx"] + v * v).alias("sxx"), (a["sxy"] + a["last"] * v).alias("sxy"))
+        return F.struct(F.when(a["first"] == 0, v).otherwise(a["first"]).alias("first"), v.alias("last"), (a["sx"] + v).alias("sx"), (a["sxx"] + v * v).alias("sxx"), (a["sxy"] + a["last"] * v).alias("sxy"))
 
-    def summed(a):
-        m = (n - 1).cast("double")
+    def correlation(a):
         mean = a["sx"] / n
-        var = F.greatest(a["sxx"] / n - mean * mean, F.lit(1e-9))
-        return F.struct(uniform.alias("uniform"), text.alias("text"), (((a["sxy"] / m) - mean * mean) / var * F.sqrt(m)).alias("serial"))
+        spread = F.greatest(a["sxx"] / n - mean * mean, F.lit(1e-9)) * (n - 1)
+        return F.least(F.abs(a["sxy"] - (a["sx"] - a["last"]) * (a["sx"] - a["first"]) / (n - 1)) / spread, F.lit(0.999999))
+
+    serial = F.aggregate(chars, zero, step, correlation)
+    made = F.array(F.struct(F.greatest(text, F.lit(0.0)).alias("text"), chi.alias("chi"), ((F.atanh(serial) - atanh(SEQUENCE)) * F.sqrt((n - 3).cast("double"))).alias("serial")))
+    return F.get(F.transform(made, p_value), F.lit(0))
+
 
-    return F.aggregate(chars, zero, step, summed)
+def p_value(z: Column) -> Column:
+    """The combined p-value of struct(text: -log10 p, chi: normal under text, serial: normal under a sequence)."""
+    # the cotangent of pi * p is what Cauchy's rule averages
+    of_text = 1 / F.tan(pi * F.pow(F.lit(10.0), -F.least(z["text"], F.lit(300.0))))
+    of_chi = F.when(z["chi"] < 0, 1.0).otherwise(-1.0) / F.tan(pi * F.greatest(_upper_tail(F.abs(z["chi"])), F.lit(1e-300)))
+    mean = (of_text + of_chi) / 2
+    text_or_uneven = F.when(mean > 1, F.atan(1 / mean) / pi).otherwise(0.5 - F.atan(mean) / pi)
+    sequence = F.when(z["serial"] < 0, _upper_tail(-z["serial"])).otherwise(1 - _upper_tail(z["serial"]))
+    return F.greatest(text_or_uneven, sequence, F.lit(1e-300))
 
 
 def scan(df: DataFrame, text: str, out: str = "_found") -> DataFrame:
     """Adds ``out``: struct of ``base`` (array of kind, order, s, e), ``counts`` and ``candidates`` (e, family, step)."""
     body = text_or_empty(text)
     a, x, h, t = (free_name(df, f"_scan{i}") for i in range(4))
-    df = df.withColumns({a: find_all(body, ASSIGN), x: find_all(body, ACCESS), h: find_all(body, HEX), t: find_all(body, TOKEN)})
+    df = df.withColumns({a: matches(body, ASSIGN), x: matches(body, ACCESS), h: matches(body, HEX), t: matches(body, TOKEN)})
+    df = df.withColumns({c: spans_of_matches(F.col(c)) for c in (a, x, h, t)})
     long_enough = F.filter(a, lambda m: F.length(F.regexp_extract(m["m"], ASSIGN, 2)) >= MIN_ASSIGNED)
     named = lambda arr, i: F.transform(arr, lambda m: F.struct(m["s"].alias("s"), F.lit(i).alias("k"), m["e"].alias("e")))
     base = F.sort_array(F.concat(named(long_enough, 0), named(F.col(x), 1), named(F.col(h), 2)))
     typed = F.filter(F.transform(t, lambda m: F.struct(m["s"].alias("s"), m["e"].alias("e"), m["m"].alias("m"), encoding_of(m["m"]).alias("enc"))), lambda m: m["enc"].isNotNull())
     df = df.withColumns({a: base, x: typed}).drop(h, t)
-    tested = F.transform(x, lambda m: F.struct(m["s"].alias("s"), m["e"].alias("e"), m["enc"].alias("enc"), battery(m["m"], m["enc"]).alias("z")))
+    tested = F.transform(x, lambda m: F.struct(m["s"].alias("s"), m["e"].alias("e"), m["enc"].alias("enc"), battery(m["m"], m["enc"]).alias("p")))
     df = df.withColumn(x, tested)
     band = lambda m: sum((F.when(m["e"] - m["s"] >= b, 1).otherwise(0) for b in LENGTH_BANDS), F.lit(0))
-    # what is no secret is text, uneven or a sequence; the p-value for such a union is the largest of the three, and the
-    # two that a random string passes all but surely count as 1 or 0
-    random_like = lambda m: (m["z"]["uniform"] <= 4) & (F.abs(m["z"]["serial"]) <= 4)
-    step_of = lambda m: F.least(F.lit(P_MOST * P_STEPS), F.floor(F.greatest(m["z"]["text"], F.lit(0.0)) * P_STEPS)).cast("int")
-    candidates = F.transform(x, lambda m: F.struct(m["s"].alias("s"), m["e"].alias("e"), F.concat_ws("/", m["enc"], band(m).cast("string")).alias("family"), F.when(random_like(m), step_of(m)).otherwise(0).alias("step")))
+    step_of = lambda m: F.least(F.lit(P_MOST * P_STEPS), F.floor(-F.log10(m["p"]) * P_STEPS)).cast("int")
+    candidates = F.transform(x, lambda m: F.struct(m["s"].alias("s"), m["e"].alias("e"), F.concat_ws("/", m["enc"], band(m).cast("string")).alias("family"), step_of(m).alias("step")))
     return df.withColumn(out, F.struct(F.col(a).alias("base"), candidates.alias("candidates"))).drop(a, x)
 
 
@@ -212,13 +274,16 @@ def redact(df: DataFrame, *, text: str = "text", mask: str = "[SECRET]") -> Data
     found = scan(packed, "_text")
     least = discovery_steps(found, "_found")
     cut = found.withColumn("_spans", spans_of("_found", least))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     body = F.col("_text")
+    # where a text has spans, its characters are sliced: counting code points from its start for each span is quadratic
+    cut = cut.withColumns({"_ends": running(F.col("_spans"), lambda x: x["e"], F.greatest), "_chars": F.when(F.size("_spans") > 0, F.split(body, ""))})
+    before = lambda i: F.coalesce(F.get(F.col("_ends"), i - 1), F.lit(0))
 
-    def step(a, x):
-        piece = F.when(x["s"] >= a["at"], F.concat(F.substring(body, a["at"] + 1, x["s"] - a["at"]), F.when((x["s"] == a["at"]) & (a["at"] > 0), F.lit("")).otherwise(F.lit(mask)))).otherwise(F.lit(""))
-        return F.struct(F.greatest(a["at"], x["e"]).alias("at"), F.concat(a["out"], F.array(piece)).alias("out"))
+    def piece(x, i):
+        gap = F.array_join(F.slice(F.col("_chars"), before(i) + 1, F.greatest(x["s"] - before(i), F.lit(0))), "")
+        return F.when(x["s"] > before(i), F.concat(gap, F.lit(mask))).when((x["s"] == before(i)) & (i == 0), F.lit(mask)).otherwise("")
 
-    clean = F.aggregate("_spans", zero, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(body, a["at"] + 1, F.length(body))))
+    tail = F.array_join(F.slice(F.col("_chars"), F.element_at("_ends", -1) + 1, F.size("_chars")), "")
+    clean = F.concat(F.array_join(F.transform("_spans", piece), ""), tail)
     fixed = cut.withColumn("_clean", F.when(F.size("_spans") > 0, clean).otherwise(body))
     return fixed.select(*((F.col("_clean") if c == text else F.col("_row")[c]).alias(c) for c in columns))

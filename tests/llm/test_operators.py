@@ -412,6 +412,90 @@ def test_secrets(spark, empty):
     assert secrets.secret_spans(empty).count() == 0 and secrets.redact(empty).count() == 0
 
 
+def brute_p(token, enc):
+    """The battery's p-value, written from its description."""
+    from math import atan, atanh, erfc, pi, sqrt, tan
+
+    t = token.rstrip("=")
+    n, chars = len(t), secrets.ENCODINGS[enc]
+    k, ratios, shift = len(chars), secrets.text_ratios(enc), len(t) * secrets.unevenness(enc)
+    up = t.upper() if enc in ("hex", "base32l", "base36l") else t
+    at = [secrets.SIGNS.find(c) for c in up]
+    text = max(0.0, sum(float(f"{ratios[x][y]:.4g}") for x, y in zip(at, at[1:])))
+    chi = sum(c * c for c in Counter(t).values()) * k / n - n
+    z = (chi - (k - 1) - shift) / sqrt(2 * (k - 1) + 4 * shift)
+    v = [ord(c) for c in t]
+    var = max(sum(x * x for x in v) / n - (sum(v) / n) ** 2, 1e-9)
+    r = min(abs(sum(x * y for x, y in zip(v, v[1:])) - sum(v[:-1]) * sum(v[1:]) / (n - 1)) / (var * (n - 1)), 0.999999)
+    tail = lambda x: erfc(x / sqrt(2)) / 2
+    cot = lambda p: 1 / tan(pi * p)
+    mean = (cot(10 ** -min(text, 300)) + (1 if z < 0 else -1) * cot(max(tail(abs(z)), 1e-300))) / 2
+    q = (atanh(r) - atanh(0.9)) * sqrt(n - 3)
+    return max(atan(1 / mean) / pi if mean > 1 else 0.5 - atan(mean) / pi, tail(-q), 1e-300)
+
+
+def brute_encoding(t):
+    digit, upper, lower = (re.search(x, t) for x in ("[0-9]", "[A-Z]", "[a-z]"))
+    for name, pattern, needs in (("hex", "([0-9a-f]+|[0-9A-F]+)", digit and re.search("[A-Fa-f]", t)), ("base32", "[A-Z2-7]+=*", digit and upper), ("base32l", "[a-z2-7]+=*", digit and lower), ("base36", "[A-Z0-9]+", digit and upper), ("base36l", "[a-z0-9]+", digit and lower), ("letters", "[A-Za-z]+", upper and lower), ("alnum", "[A-Za-z0-9]+", digit and upper and lower), ("base64", "[A-Za-z0-9+/_-]+=*", digit and upper and lower)):
+        if needs and re.fullmatch(pattern, t):
+            return name
+
+
+def brute_spans(table):
+    """All spans of all rows: base ones, and tokens that Benjamini and Hochberg's rule accepts in their family."""
+    from math import floor, log10
+
+    families, rows_ = {}, []
+    for text in table:
+        base = [(int(s), kind, int(e)) for kind, s, e in (x.split(":") for x in brute_secrets(text).split(",") if x)]
+        found = []
+        for m in re.finditer(r"[A-Za-z0-9+/_-]{20,}={0,2}", text or ""):
+            enc = brute_encoding(m[0])
+            if enc:
+                family = (enc, sum(len(m[0]) >= b for b in (24, 32, 48, 64, 128)))
+                step = min(4000, floor(-log10(brute_p(m[0], enc)) * 100))
+                found.append((m.start(), m.end(), family, step))
+                families.setdefault(family, []).append(step)
+        rows_.append((base, found))
+    least = {}
+    for family, steps in families.items():
+        ok = [x for x in set(steps) if x > 0 and 10 ** (-x / 100) <= sum(y >= x for y in steps) * 0.001 / len(steps)]
+        least[family] = min(ok, default=10**9)
+    order = {"assign": 0, "access": 1, "hex": 2, "random": 3}
+    out = []
+    for base, found in rows_:
+        spans = base + [(s, "random", e) for s, e, family, step in found if step >= least[family] and not any(b[0] < e and s < b[2] for b in base)]
+        out.append(",".join(f"{k}:{s}:{e}" for s, k, e in sorted(spans, key=lambda x: (x[0], order[x[1]], x[2]))))
+    return out
+
+
+def test_secret_spans_by_brute_force(spark):
+    rng = random.Random(17)
+    low, up, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    key = lambda: "".join(rng.choice(rng.choice([low + "234567", up + digits, up + low, up + low + digits, up + low + digits + "+/"])) for _ in range(1))
+    table = [None, "", "é😀 Token: 'abcdefghijkl' and 0123456789ABCDEF0123456789ABCDEF aaaaaaaaaaaaaaaaaaaaaaaaa1 abcdefghijklmnopqrstuvwxyz0123456789"]
+    for i in range(150):
+        alphabet = rng.choice([digits + "ABCDEF", low + "234567", up + digits, up + low, up + low + digits, up + low + digits + "+/"])
+        secret = "".join(rng.choice(alphabet) for _ in range(rng.choice([20, 24, 40, 70, 130])))
+        table.append(f"ThisIsACamelCaseName{i} {'some/path/to/the/file' + str(i)} {secret if i % 3 else ''} AKIA{'Q7' * 9} {'abcd1234' * 4 if i % 5 == 0 else ''} {key()}")
+    table += table[3:6]
+    out = spark.createDataFrame(list(enumerate(table)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in secrets.secret_spans(out).collect()}
+    want = brute_spans(table)
+    assert [got[i]["spans"] for i in range(len(table))] == want and sum("random" in w for w in want) > 80
+    for i, t in enumerate(table):
+        kinds = Counter(x.split(":")[0] for x in brute_secrets(t).split(",") if x)
+        assert (got[i]["n_assign"], got[i]["n_access"], got[i]["n_hex"]) == (kinds["assign"], kinds["access"], kinds["hex"])
+
+
+def test_secrets_of_a_text_with_very_many(spark):
+    body = "😀 " + " ".join(f"{i:016x}" for i in range(20_000)) + " end"
+    df = spark.createDataFrame([(1, body)], "doc_id long, text string")
+    row = secrets.secret_spans(df).first()
+    assert row["n_hex"] == 20_000 and row["spans"].startswith("hex:2:18,hex:19:35") and row["spans"].endswith(f"hex:{2 + 17 * 19999}:{18 + 17 * 19999}")
+    assert secrets.redact(df).first()["text"] == "😀 " + " ".join(["[SECRET]"] * 20_000) + " end"
+
+
 def test_discovery_control_spares_identifiers(spark):
     table = [(i, f"some_long_identifier_name_{i} and/a/very/long/path/of/words/in/it{i} ThisIsACamelCaseNameOfAClass") for i in range(50)]
     out = secrets.secret_spans(spark.createDataFrame(table, "doc_id long, text string")).collect()
