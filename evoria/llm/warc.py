@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import logging
 import re
 import uuid
 import zlib
@@ -16,11 +17,14 @@ from ._common import materialize, shared_dir, text_or_empty
 
 #: Fixed values of the format.
 VERSION = b"WARC/1.1"
+VERSION_LINE = re.compile(rb"WARC/\d+\.\d+\r\n")
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MEMBER = b"\x1f\x8b\x08"
 #: Payloads of fewer bytes are always stored as responses.
 LEAST_REVISIT_BYTES = 0
 DATE = "2000-01-01T00:00:00Z"
+#: Largest number of tasks that read archives.
+MOST_TASKS = 20_000
 
 
 def payload_digest(payload: bytes) -> str:
@@ -51,36 +55,58 @@ def gzip_member(data: bytes, level: int = 4) -> bytes:
 
 
 class Gap(Exception):
-    """A record that fails a check."""
+    """A record that fails a check; ``end``: where it ends all the same, if its length can be trusted, else -1."""
 
+    def __init__(self, why: str, end: int = -1) -> None:
+        super().__init__(why)
+        self.end = end
 
-def parse_record(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
+
+class Places:
+    """Where patterns stand next in ``data``, asked for from front to back, so that each byte is looked at once."""
+
+    def __init__(self, data: bytes) -> None:
+        self.data, self.last = data, {}
+
+    def next(self, pattern: bytes, at: int) -> int:
+        """The first place at or after ``at``; the end of the data if there is none."""
+        asked, found = self.last.get(pattern, (0, -1))
+        if not asked <= at <= found:
+            found = self.data.find(pattern, at)
+            found = len(self.data) if found < 0 else found
+        self.last[pattern] = at, found
+        return found
+
+
+def parse_record(data: bytes, at: int = 0, places: Places | None = None) -> tuple[dict[str, str], bytes, int]:
     """Headers (lower-case names), block and end of the record at ``at``; raises ``Gap`` after a failed check."""
     if not data.startswith(b"WARC/", at):
         raise Gap("no version line")
-    split = data.find(b"\r\n\r\n", at)
-    if split < 0:
-        raise Gap("headers do not end")
-    lines = data[at:split].split(b"\r\n")
-    if not re.fullmatch(rb"WARC/\d+\.\d+", lines[0]):
+    if not VERSION_LINE.match(data, at):
         raise Gap("bad version line")
+    places = places or Places(data)
+    split = places.next(b"\r\n\r\n", at)
+    if split == len(data) or places.next(b"\nWARC/", at) < split:
+        raise Gap("headers do not end")
     head: dict[str, str] = {}
-    for line in lines[1:]:
+    for line in data[at:split].split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")
         if not colon:
             raise Gap("bad header line")
         head[name.decode("latin-1").strip().lower()] = value.decode("utf-8", "replace").strip()
     if not head.get("content-length", "").isdigit():
         raise Gap("no content length")
-    start, length = split + 4, int(head["content-length"])
-    block, end = data[start : start + length], start + length
-    if len(block) < length:
+    start, end = split + 4, split + 4 + int(head["content-length"])
+    if end > len(data):
         raise Gap("block is cut short")
     if data[end : end + 4] != b"\r\n\r\n":
         raise Gap("block does not end where it should")
+    block = data[start:end]
     wanted = head.get("warc-block-digest", "")
     if wanted.startswith("sha1:") and wanted[5:] != payload_digest(block):
-        raise Gap("block digest differs")
+        # the record ends in its place: what looks like a record in its block is payload
+        whole = end + 4 == len(data) or data.startswith((b"WARC/", MEMBER), end + 4)
+        raise Gap("block digest differs", end + 4 if whole else -1)
     return head, block, end + 4
 
 
@@ -111,17 +137,16 @@ def inflate(data: bytes, at: int) -> tuple[bytes, int, str]:
 
 def salvage(plain: bytes, whole: bool) -> Iterator[tuple[str, int, int, object, bytes]]:
     """Like ``read_archive``, for the bytes of a gzip member; of one that is not ``whole`` only records with a block digest."""
-    at, bad, why = 0, -1, ""
+    at, bad, why, places = 0, -1, "", Places(plain)
     while at < len(plain):
         try:
-            head, block, end = parse_record(plain, at)
+            head, block, end = parse_record(plain, at, places)
             if not whole and not head.get("warc-block-digest", "").startswith("sha1:"):
-                raise Gap("no block digest in a damaged member")
+                raise Gap("no block digest in a damaged member", end)
         except Gap as e:
             if bad < 0:
                 bad, why = at, str(e)
-            at = plain.find(b"WARC/", at + 1)
-            at = len(plain) if at < 0 else at
+            at = e.end if e.end > at else places.next(b"WARC/", at + 1)
             continue
         if bad >= 0:
             yield "gap", bad, at, why, b""
@@ -136,23 +161,24 @@ def read_archive(data: bytes) -> Iterator[tuple[str, int, int, object, bytes]]:
     """``("record", start, end, headers, block)`` and ``("gap", start, end, reason, b"")`` in file order.
 
     After a failed check the reader looks for the next place at which a whole valid record starts (a gzip member, or a
-    version line in plain files and in the bytes of a member), and reports the bytes between as a gap. Records and gaps
-    in a member have the member's range, and the reason of such a gap names its place in the inflated bytes. A damaged
-    member gives its valid records and then a gap that starts where the member does.
+    version line in plain files and in the bytes of a member), and reports the bytes between as a gap. A plain record
+    that only fails its digest is left out whole. Records and gaps in a member have the member's range, and the reason
+    of such a gap names its place in the inflated bytes. A damaged member gives its valid records and then a gap that
+    starts where the member does.
     """
-    at, bad, why = 0, -1, ""
+    at, bad, why, places = 0, -1, "", Places(data)
     given, until = [], 0
     while at < len(data):
-        packed, damage = data.startswith(MEMBER, at), ""
+        packed, damage, past = data.startswith(MEMBER, at), "", -1
         if packed:
             plain, end, damage = inflate(data, at)
             found = list(salvage(plain, not damage))
         else:
             try:
-                head, block, end = parse_record(data, at)
+                head, block, end = parse_record(data, at, places)
                 found = [("record", at, end, head, block)]
             except Gap as e:
-                found, end, damage = [], at, str(e)
+                found, end, damage, past = [], at, str(e), e.end
         records = [(head, block) for kind, _, _, head, block in found if kind == "record"]
         lost = bool(damage) or bool(found) and not records
         if bad >= 0 and (records or not lost):
@@ -169,8 +195,7 @@ def read_archive(data: bytes) -> Iterator[tuple[str, int, int, object, bytes]]:
         if packed and damage and records:
             given, until = records, end
         if damage:
-            places = [p for p in (data.find(MEMBER, at + 1), data.find(b"WARC/", at + 1)) if p >= 0]
-            end = min(places, default=len(data))
+            end = past if past > at else min(places.next(MEMBER, at + 1), places.next(b"WARC/", at + 1))
         at = end
     if bad >= 0:
         yield "gap", bad, len(data), why, b""
@@ -283,16 +308,30 @@ def read_warc(manifest: DataFrame, *, payload: bool = True) -> DataFrame:
                 if rows:
                     yield batch_of(rows)
 
-    return manifest.select("path").repartition("path").mapInArrow(run, RECORD_SCHEMA)
+    # a file for each task, as the number of files is known: small rows would be merged into few tasks
+    tasks = max(1, min(2 * manifest.count(), MOST_TASKS))
+    return manifest.select("path").repartition(tasks, "path").mapInArrow(run, RECORD_SCHEMA)
+
+
+def quarantined(back: DataFrame, folder: str) -> DataFrame:
+    """Gaps, and records with a problem, of ``read_warc``'s rows; kept as Parquet in ``folder`` and named in the log."""
+    back.filter("kind = 'gap' or problem is not null").select("path", "kind", "start", "end", "page_id", "payload_bytes", "problem").write.mode("overwrite").parquet(folder)
+    found = back.sparkSession.read.parquet(folder)
+    n, size = found.agg(F.count(F.lit(1)), F.sum(F.when(F.col("kind") == "gap", F.col("payload_bytes")))).first()
+    if n:
+        logging.getLogger(__name__).warning("%d quarantined parts, %d bytes of gaps: %s", n, size or 0, folder)
+    return found
 
 
 def round_trip(pages: DataFrame, *, key: str = "page_id", url: str = "url", html: str = "html", folder: str | None = None) -> DataFrame:
     """``page_id, payload_bytes, payload_digest, record_type, refers_to`` as read back from the written archives.
 
     Null html is an empty payload. Rows that share the largest id and the payload are all responses; a null id counts as
-    smallest. An empty table writes no file and gives an empty result.
+    smallest. An empty table writes no file and gives an empty result. Gaps and records with a problem are listed in
+    ``quarantine`` under the folder, and such records are left out of the result.
     """
     where = folder or f"{shared_dir(pages.sparkSession)}/evoria/warc-{uuid.uuid4().hex}"
     manifest = write_warc(plan_records(pages, key=key, url=url, html=html), where)
-    back = read_warc(manifest, payload=False).filter("kind = 'record'")
-    return back.select(F.col("page_id").alias(key), "payload_bytes", "payload_digest", "record_type", "refers_to")
+    back = materialize(read_warc(manifest, payload=False), "warc-records")
+    quarantined(back, f"{where}/quarantine")
+    return back.filter("kind = 'record' and problem is null").select(F.col("page_id").alias(key), "payload_bytes", "payload_digest", "record_type", "refers_to")
