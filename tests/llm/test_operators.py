@@ -4,6 +4,7 @@ import os
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -570,10 +571,12 @@ def test_transform(monkeypatch, in_memory, block):
     assert len(bwt.sort_suffixes(data, start[:0], start[:0], 7)[0]) == 0
 
 
-def test_top_k(spark, monkeypatch):
+@pytest.mark.parametrize("pivots", [1, 8])
+def test_top_k(spark, monkeypatch, pivots):
     monkeypatch.setattr(topk, "BLOCK", 16)
     monkeypatch.setattr(topk, "CHUNK", 4)
-    monkeypatch.setattr(topk, "SUMMARIES", 3)
+    monkeypatch.setattr(topk, "LANE", 3)
+    monkeypatch.setattr(topk, "PIVOTS", pivots)
     rng = np.random.default_rng(9)
     table = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(300)]
     table += [(300, None), (301, [1.0, None] + [0.0] * 6), (302, [float("nan")] * 8), (303, [float("inf")] * 8), (304, []), (305, table[10][1]), (400, table[10][1]), (500, [1.0, 2.0]), (501, [2.0, 1.0]), (10, table[10][1]), (None, table[10][1])]
@@ -590,6 +593,53 @@ def test_top_k(spark, monkeypatch):
     assert topk.exact_top_k(df.limit(0), queries.limit(0)).count() == 0
 
 
+def brute_top(table, k, asked):
+    out = []
+    for q, x in asked:
+        found = sorted((-sum(a * b for a, b in zip(x, y)), i) for i, y in table if i != q)[:k]
+        out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(found)]
+    return sorted(out)
+
+
+def test_top_k_repeated_rows_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 2)
+    monkeypatch.setattr(topk, "LANE", 2)
+    # blocks that hold one id only, and vectors that all score alike
+    table = [(1, [0.5, 0.25])] * 5 + [(2, [0.5, 0.25])] * 3 + [(100, [0.5, 0.25]), (200, [0.5, 0.25])] + [(i, [0.5, 0.25]) for i in range(3, 20)]
+    df = spark.createDataFrame(table, "vec_id long, embedding array<double>")
+    out = topk.exact_top_k(df, df.filter("vec_id % 100 = 0"), k=10).collect()
+    whole = [(i, [512, 256]) for i, _ in table]
+    assert sorted(tuple(r) for r in out) == brute_top(whole, 10, [(100, [512, 256]), (200, [512, 256])])
+
+
+def test_top_k_large_components(spark):
+    table = [(i, [float((-1) ** i * (i + 1)) * 2.0**12, 1.0, -(2.0**20)]) for i in range(40)]
+    df = spark.createDataFrame(table, "vec_id long, embedding array<double>")
+    out = topk.exact_top_k(df, df.filter("vec_id % 10 = 0"), k=5).collect()
+    whole = [(i, [int(x * 1024) for x in v]) for i, v in table]
+    assert sorted(tuple(r) for r in out) == brute_top(whole, 5, [w for w in whole if w[0] % 10 == 0])
+
+
+def test_blocks_below_the_kth_are_not_scored():
+    rng = np.random.default_rng(3)
+    centers = rng.normal(size=(32, 16)) * 1000
+    x = np.floor(np.repeat(centers, 64, 0) + rng.normal(size=(2048, 16)) * 30).astype(np.int64)
+    pivots = topk.learn_pivots(x[rng.permutation(len(x))[:512]].astype(float), 32)
+    cell = topk.nearest_two(x, pivots)[0]
+    blocks = []
+    for c in np.unique(cell):
+        at = np.flatnonzero(cell == c)
+        m, center = x[at], np.rint(x[at].mean(0))[None]
+        blocks.append((at, m, m.min(0)[None], m.max(0)[None], center, float(np.sqrt(((m - center) ** 2).sum(1)).max())))
+    asked = np.arange(0, 2048, 20)
+    at, ids, scores, scored = topk.score_blocks(x[asked], asked, np.full(len(asked), topk.NO_FLOOR), blocks, 10)
+    assert scored < 0.25 * len(asked) * len(x)
+    got = sorted((int(asked[q]), int(i), int(s)) for q, i, s in zip(at, ids, scores))
+    assert got == sorted((q, i, s) for q, _, i, s in brute_top(list(enumerate(x.tolist())), 10, [(int(q), x[q].tolist()) for q in asked]))
+    bound = topk.bounds_of(x[asked], *(np.concatenate([b[i] for b in blocks]) for i in (2, 3, 4)), np.array([b[5] for b in blocks]))
+    assert all((x[asked] @ b[1].T).max(1).max() <= bound[:, i].max() and ((x[asked] @ b[1].T).max(1) <= bound[:, i]).all() for i, b in enumerate(blocks))
+
+
 def test_warc(spark):
     table = [(1, "http://a/1", "<p>é</p>"), (2, "http://a/2", "<p>é</p>"), (9, None, "<p>é</p>"), (3, "u\r\nX: y", None), (4, "u", ""), (5, "u", "alone"), (5, "u", "alone"), (None, "u", "alone"), (None, "u", "nobody"), (6, "u", "long " * 100_000)]
     df = spark.createDataFrame(table, "page_id long, url string, html string").withColumn("record_type", warc.F.lit(3)).withColumn("refers_to", warc.F.lit("x"))
@@ -656,6 +706,39 @@ def test_warc_salvage_in_members():
     assert names(warc.gzip_member(plain)) == ["9"] and names(warc.gzip_member(plain * 40)[:-4]) == []
 
 
+def test_warc_payload_is_no_record():
+    inner = warc.record_bytes(77, "inner", b"inner payload", "response", None)
+    outer = warc.record_bytes(1, "outer", b"before " + inner + b" after", "response", None)
+    other = warc.record_bytes(2, "other", b"other", "response", None)
+    at = outer.index(b"before")
+    broken = outer[:at] + b"B" + outer[at + 1 :]
+    for data in (broken + other, warc.gzip_member(broken + other), broken + warc.gzip_member(other)):
+        got = list(warc.read_archive(data))
+        assert [h["x-page-id"] for k, _, _, h, _ in got if k == "record"] == ["2"] and [k for k, *_ in got].count("gap") == 1
+
+
+def test_warc_resync_is_linear():
+    last = warc.record_bytes(2, "other", b"other", "response", None)
+    for false in (b"\x1f\x8b\x08 ", b"WARC/1.1\r\nContent-Length: 99999\r\n", b"WARC/"):
+        began = time.perf_counter()
+        got = list(warc.read_archive(false * 30_000 + last))
+        assert time.perf_counter() - began < 10
+        assert [k for k, *_ in got][0] == "gap" and got[-1][0] in ("record", "gap")
+
+
+def test_warc_quarantine(spark, tmp_path, caplog):
+    records = [warc.record_bytes(i, f"u{i}", f"payload {i}".encode(), "response", None) for i in range(4)]
+    bad = records[1].replace(b"payload 1", b"payload 7")
+    wrong = records[2].replace(b"WARC-Payload-Digest: sha1:", b"WARC-Payload-Digest: sha1:A")
+    path = tmp_path / "a.warc"
+    path.write_bytes(records[0] + bad + wrong + records[3])
+    back = warc.read_warc(spark.createDataFrame([(f"file://{path}",)], "path string"))
+    found = warc.quarantined(back, f"file://{tmp_path}/quarantine").collect()
+    assert sorted((r["kind"], r["page_id"], r["problem"]) for r in found) == [("gap", None, "block digest differs"), ("record", 2, "payload digest differs")]
+    assert "2 quarantined parts" in caplog.text
+    assert warc.quarantined(back.filter("page_id = 0"), f"file://{tmp_path}/none").count() == 0
+
+
 def test_language_id(spark, empty, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     extra = [(-1, None, "en"), (-2, "", None), (-3, "123 !!", "fr"), (None, "the and of", None), (-4, "Ünïcödé " * 20000, None)]
