@@ -12,12 +12,13 @@ from ._common import WORD, materialize
 WEIGHTS = (5, 2, 1)
 #: A source gives, and a document is taken, this many times its size at most.
 MOST_TIMES = 3
-#: A (source, length) group with more documents is ranked in seeded parts of about this many.
+#: A (source, length) group with more documents is ranked in seeded parts of about this many; another number takes
+#: other documents of such a group, as many as before.
 PART_ROWS = 200_000
 #: Largest number of sources whose targets are broadcast.
 BROADCAST_SOURCES = 20_000
-#: Bits of the knapsack: the part of a budget that is fitted exactly.
-EXACT_BITS = 1 << 22
+#: Bits of the knapsack's sums times lengths up to which its window grows beyond twice the largest length.
+EXACT_BITS = 1 << 31
 
 
 def size_of(text: str = "text") -> Column:
@@ -46,8 +47,10 @@ def source_targets(totals: DataFrame) -> DataFrame:
 def fit(lengths: list[int], counts: list[int], budget: int, copies: int = 1) -> list[int]:
     """How many takes of each length bring the sum nearest to ``budget``; each document can be taken ``copies`` times.
 
-    The budget is first spread over all lengths alike; then single documents, long ones first, fill what is left down
-    to a window of the largest length; bounded-knapsack dynamic programming (a bit for each sum) fits the rest.
+    The budget is first spread over all lengths alike, and single documents, long ones first, fill what is left down to
+    a window of the largest length. Bounded-knapsack dynamic programming (a bit for each sum) then fits the rest: it may
+    add takes and take back what was spread. Sums are looked at in a window around the budget, which grows until the
+    budget is met or every sum is in it; so the result is the best there is, unless ``EXACT_BITS`` stops the growth.
     """
     total = sum(n * c for n, c in zip(lengths, counts))
     if budget >= total * copies:
@@ -56,31 +59,22 @@ def fit(lengths: list[int], counts: list[int], budget: int, copies: int = 1) ->
     room = [c * copies for c in counts]
     left = budget - sum(n * t for n, t in zip(lengths, take))
     order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
-    most = min(lengths[order[0]], EXACT_BITS)
+    most = lengths[order[0]]
     # lengths that have untaken documents come before second and third takes
     for bound in (counts, room):
         for i in order:
             while left > 2 * most and (n := min(bound[i] - take[i], max(1, (left - 2 * most) // lengths[i] // len(order)), left // lengths[i])) > 0:
                 take[i] += n
                 left -= n * lengths[i]
-    steps: list[tuple[int, int, int]] = []
-    reach, full, mask = 1, 1 << left, (1 << left + most) - 1
-    for bound in (counts, room):
-        for i in order:
-            used = sum(n for k, n, _ in steps if k == i) if bound is room else 0
-            spare, n = min(bound[i] - take[i] - used, (left + most) // lengths[i]), 1
-            while spare > 0 and not reach & full:
-                n = min(n, spare)
-                grown = (reach | reach << n * lengths[i]) & mask
-                if grown != reach:
-                    steps.append((i, n, reach))
-                    reach = grown
-                spare -= n
-                n *= 2
-    below = (reach & ((full << 1) - 1)).bit_length() - 1
-    above = reach >> left + 1
-    above = left + (above & -above).bit_length() if above else 1 << 62
-    at = below if left - below <= above - left else above
+    window, taken, spare = 2 * most, sum(n * t for n, t in zip(lengths, take)), sum(n * (r - t) for n, t, r in zip(lengths, take, room))
+    while True:
+        below, above = min(window, taken), min(left + window, spare)
+        steps, at = _reach(lengths, take, [counts, room], order, left, below, above)
+        done = below == taken and above == spare
+        if at == left or done or (below + above) * 4 * len(order) > EXACT_BITS:
+            break
+        window *= 4
+    at += below
     for i, n, before in reversed(steps):
         if not before >> at & 1:
             take[i] += n
@@ -88,6 +82,41 @@ def fit(lengths: list[int], counts: list[int], budget: int, copies: int = 1) ->
     return take
 
 
+def _reach(lengths: list[int], take: list[int], bounds: list[list[int]], order: list[int], left: int, below: int, above: int) -> tuple[list[tuple[int, int, int]], int]:
+    """Steps (length, takes, sums reached before), and the sum nearest to ``left`` from -``below`` to ``above``.
+
+    A bit stands for a sum; a step is a number of takes (negative: given back) of a length, one, two, four and so on.
+    """
+    steps: list[tuple[int, int, int]] = []
+    reach, full, mask = 1 << below, 1 << left + below, (1 << below + above + 1) - 1
+
+    def offer(i: int, spare: int, sign: int) -> None:
+        nonlocal reach
+        spare, n = min(spare, (below + above) // lengths[i]), 1
+        while spare > 0 and not reach & full:
+            n = min(n, spare)
+            grown = (reach | (reach << n * lengths[i] if sign > 0 else reach >> n * lengths[i])) & mask
+            if grown != reach:
+                steps.append((i, sign * n, reach))
+                reach = grown
+            spare -= n
+            n *= 2
+
+    done = list(take)
+    for bound in bounds:
+        for i in order:
+            offer(i, bound[i] - done[i], 1)
+            done[i] = max(done[i], bound[i])
+    for i in order:
+        offer(i, take[i], -1)
+    low = (reach & ((full << 1) - 1)).bit_length() - 1
+    high = reach >> left + below + 1
+    high = left + below + (high & -high).bit_length() if high else None
+    target = left + below
+    at = low if high is None or low >= 0 and target - low <= high - target else high
+    return steps, at - below
+
+
 def quotas(histogram: DataFrame, targets: DataFrame) -> DataFrame:
     """``source, size, n, whole, quota``: every document of the source is taken ``whole`` times; ``quota`` takes of a length come on top."""
     joined = histogram.join(targets, histogram["source"].eqNullSafe(targets["source"])).select(histogram["source"], "size", "n", "source_size", "target")

@@ -386,6 +386,21 @@ def test_fit():
     assert mixing.fit([3, 5], [2, 2], 11) == [2, 1] and mixing.fit([10, 6001], [10, 1], 250, 3) == [25, 0]
 
 
+def test_fit_is_the_best_subset_sum():
+    rng = random.Random(16)
+    for _ in range(600):
+        lengths = sorted(rng.sample(range(1, rng.choice([10, 60, 300])), rng.randint(1, 6)))
+        counts = [rng.randint(1, 5) for _ in lengths]
+        copies = rng.randint(1, 3)
+        budget = rng.randint(0, copies * sum(a * b for a, b in zip(lengths, counts)))
+        reach = {0}
+        for n, c in zip(lengths, counts):
+            reach = {x + n * t for x in reach for t in range(c * copies + 1)}
+        take = mixing.fit(lengths, counts, budget, copies)
+        assert all(0 <= t <= c * copies for t, c in zip(take, counts))
+        assert abs(sum(a * b for a, b in zip(lengths, take)) - budget) == min(abs(x - budget) for x in reach)
+
+
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
 
 
