@@ -26,5 +26,7 @@ def short_hash(value: Column, length: int = 16) -> Column:
 
 def table_fingerprint(columns: list[str]) -> list[Column]:
     """Order-insensitive content hash: row count, and two sums over row hashes (aggregate them over a table)."""
-    row = F.xxhash64(*columns)
-    return [F.count(F.lit(1)).alias("n"), F.sum(row.bitwiseAND(0xFFFFFFFF)).alias("low"), F.sum(F.shiftrightunsigned(row, 32)).alias("high")]
+    shown = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in columns]
+    row = F.sha2(F.concat_ws(SEPARATOR, *shown).cast("binary"), 256)
+    part = lambda at: F.sum(F.conv(F.substring(row, at, 8), 16, 10).cast("long"))
+    return [F.count(F.lit(1)).alias("n"), part(1).alias("low"), part(9).alias("high")]

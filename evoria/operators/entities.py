@@ -49,12 +49,13 @@ def link_dictionary(queries: DataFrame, entities: DataFrame, query: str, key: st
     Texts are cut into all grams of the dictionary's key lengths, so that the dictionary joins by equality.
     """
     lengths = sorted(r[0] for r in entities.select(F.length("norm_key").alias("n")).distinct().collect())  # a few numbers
-    body = text.loose_key(F.col(query))
-    grams = lambda n: F.when(F.length(body) >= n, F.transform(F.sequence(F.lit(1), F.length(body) - n + 1), lambda i: F.substring(body, i, F.lit(n))))
+    # characters in an array: a place in a string is found from its start, a slice of an array is not
+    cut = queries.select(key, F.split(text.loose_key(F.col(query)), "").alias("_chars"))
+    grams = lambda n: F.when(F.size("_chars") >= n, F.transform(F.sequence(F.lit(1), F.size("_chars") - n + 1), lambda i: F.array_join(F.slice(F.col("_chars"), i, n), "")))
     parts = [F.coalesce(grams(n), F.array().cast("array<string>")) for n in lengths if n >= least]
     if not parts:
         return queries.select(key).limit(0).crossJoin(entities.select("entity_id").limit(0))
-    rows = queries.select(key, F.explode(F.array_distinct(F.concat(*parts))).alias("norm_key"))
+    rows = cut.select(key, F.explode(F.array_distinct(F.concat(*parts))).alias("norm_key"))
     hits = rows.join(entities.select("norm_key", "entity_id"), "norm_key")
     return hits.withColumn("rn", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(F.length("norm_key")), "entity_id"))).filter(F.col("rn") <= most).select(key, "entity_id", "norm_key", "rn")
 

@@ -82,8 +82,21 @@ def fit_temperature(df: DataFrame, label: str, logit: str, low: float = 0.05, hi
 
 def spearman(df: DataFrame, a: str, b: str, tiebreak: str) -> DataFrame:
     """Correlation of ordinal ranks (ties in the order of ``tiebreak``)."""
-    rank = lambda c: F.row_number().over(Window.orderBy(c, tiebreak))
-    return df.select(rank(a).alias("ra"), rank(b).alias("rb")).agg(F.corr("ra", "rb").alias("rho"))
+    return ordinal_rank(ordinal_rank(df, a, tiebreak, "ra"), b, tiebreak, "rb").agg(F.corr("ra", "rb").alias("rho"))
+
+
+def ordinal_rank(df: DataFrame, value: str, tiebreak: str, out: str, parts: int = 256) -> DataFrame:
+    """Adds ``out``: the row's place in the order of value and tiebreak.
+
+    Rows are cut into parts at quantiles of the value; places inside a part are added to the counts of the parts before,
+    so no task sorts the whole table. At most ``parts`` quantiles and counts reach the driver or one task.
+    """
+    cuts = sorted(set(df.stat.approxQuantile(value, [i / parts for i in range(1, parts)], 0.001)))
+    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: F.col(value) > c)) if cuts else F.lit(0)
+    dealt = df.withColumn("_part", part)
+    before = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    ranked = dealt.withColumn("_r", F.row_number().over(Window.partitionBy("_part").orderBy(value, tiebreak)))
+    return ranked.join(before, "_part").withColumn(out, F.col("_before") + F.col("_r")).drop("_part", "_n", "_before", "_r")
 
 
 def prefixes(path: Column) -> Column:
@@ -140,10 +153,20 @@ def time_split(df: DataFrame, order: Sequence[str], train: float = 0.8, dev: flo
 
 
 def downsample(df: DataFrame, label: str, key: str, ratio: int, seed: str) -> DataFrame:
-    """All positives and at most ``ratio`` negatives for each, the first in a seeded order (a limit, not a window)."""
-    positives = df.filter(F.col(label))
-    n = positives.count()
-    return positives.unionByName(df.filter(~F.col(label)).orderBy(seeded_order(key, seed), key).limit(n * ratio))
+    """All positives and at most ``ratio`` negatives for each, the first in a seeded order.
+
+    Counts of the order's 4,096 leading parts tell where the cut falls: whole parts before it stay, and only the part that
+    holds it is sorted.
+    """
+    positives, rest = df.filter(F.col(label)), df.filter(~F.col(label))
+    part = F.conv(F.substring(seeded_order(key, seed), 1, 3), 16, 10).cast("int")
+    counts = {r["p"]: r["n"] for r in rest.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    left, cut = positives.count() * ratio, 0
+    while cut < 4096 and counts.get(cut, 0) <= left:
+        left -= counts.get(cut, 0)
+        cut += 1
+    kept = positives.unionByName(rest.filter(part < cut))
+    return kept.unionByName(rest.filter(part == cut).orderBy(seeded_order(key, seed), key).limit(left)) if cut < 4096 and left else kept
 
 
 def stratified(df: DataFrame, stratum: str, quotas: dict[str, int], key: str, seed: str) -> DataFrame:

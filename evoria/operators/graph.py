@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,9 +15,14 @@ _own: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a local folder of our own where it is unset."""
+    """``spark.checkpoint.dir`` of the session; a local folder of our own where it is unset and all runs on this host.
+
+    Without it on a cluster every executor would write to its own disk: that is refused.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "local")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if not _own:
             _own.append("file://" + tempfile.mkdtemp(prefix="evoria-"))
         path = _own[0]
@@ -30,6 +36,13 @@ def store(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear_stored(spark: SparkSession) -> None:
+    """Removes what this engine has written under the shared folder; DataFrames that read it are void then."""
+    jvm, path = spark._jvm, f"{shared_folder(spark)}/evoria"
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def undirected(edges: DataFrame) -> DataFrame:
     """Both directions of edges(src, dst) without self-loops."""
     e = edges.filter("src <> dst").select("src", "dst")
@@ -69,22 +82,27 @@ def neighbourhood(edges: DataFrame, focus: DataFrame, hops: int, most: int | Non
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """``node, root`` (smallest node reachable) for the ends of edges(a, b): least labels with pointer jumping.
+    """``node, root`` (smallest node reachable) for the ends of edges(a, b).
 
-    Every round takes the least root among neighbours, then the root of that root; rounds grow with the logarithm of
-    the longest chain. Rounds are stored; one count a round reaches the driver.
+    Two steps in turn: every node hands its least neighbour to its larger ones, then to itself and its smaller ones, so
+    paths shrink and a hub's edges move to its root. The number of edges never grows; aggregation on a hub's key is
+    partial before the shuffle. Rounds are stored; a count and a checksum of each reach the driver.
     """
-    both = store(edges.filter("a <> b").select("a", "b").union(edges.filter("a <> b").select("b", "a")).distinct())
-    labels = store(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
+
+    def hand_over(pairs: DataFrame, upward: bool) -> DataFrame:
+        both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))) if upward else pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("m", "a"))
+        moved = (both.filter("b > a") if upward else both).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        own = least.select("a", F.col("m").alias("b"))
+        return (moved if upward else moved.union(own)).filter("a <> b").distinct()
+
+    state, last = store(edges.filter("a <> b").select("a", "b").distinct()), None
     for _ in range(rounds):
-        near = both.join(labels.select(F.col("node").alias("b"), F.col("root").alias("other")), "b").groupBy(F.col("a").alias("node")).agg(F.min("other").alias("other"))
-        hooked = labels.join(near, "node").select("node", F.col("root").alias("was"), F.least("root", "other").alias("root"))
-        jump = labels.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        moved = store(hooked.join(jump, "root", "left").select("node", "was", F.least("root", F.coalesce("next", "root")).alias("root")))
-        changed = moved.filter("was <> root").limit(1).count()
-        labels = moved.select("node", "root")
-        if not changed:
-            return labels
+        state = store(hand_over(hand_over(state, True), False))
+        now = tuple(state.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
+        if now == last or not now[0]:
+            return state.select(F.col("a").alias("node"), F.col("b").alias("root")).union(state.select("b", "b").distinct())
+        last = now
     raise RuntimeError("components did not settle")
 
 

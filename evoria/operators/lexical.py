@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text
+from .graph import store
 
 K1, B, RRF_K = 1.2, 0.75, 60
 
@@ -25,8 +26,11 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str, body: Column, query_key:
     Documents without a token count in N and in the mean length. Query terms filter the postings before any shuffle.
     """
     asked = queries.select(query_key, F.explode(F.array_distinct(text.tokenize(query))).alias("term"))
-    stats = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(text.tokenize(body))).alias("avgdl"))
-    post = postings(docs, key, body, asked)
+    # texts are cut into words once: the stored rows give the statistics and the postings
+    cut = store(docs.select(key, text.tokenize(body).alias("w")))
+    stats = cut.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("w")).alias("avgdl"))
+    rows = cut.select(key, F.size("w").alias("dl"), F.explode("w").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    post = rows.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
     df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     # one row of statistics
     weighed = post.join(df, "term").join(F.broadcast(stats))

@@ -135,7 +135,10 @@ def pair_candidates(events: DataFrame, shared_limit: int = 20_000, day_limit: in
     near = e.withColumnRenamed("id", "a").join(other, ["kind", "entity"]).filter((F.col("a") < F.col("b")) & ((F.col("at").isNull() & F.col("b_at").isNull()) | (F.abs(F.col("at") - F.col("b_at")) <= gap_days * 86_400_000_000)))
     shared = near.groupBy("a", "b").agg(F.count_distinct("entity").alias("shared")).orderBy(F.desc("shared"), "a", "b").limit(shared_limit)
     d = events.select("id", "kind", "day").distinct()
-    same = d.withColumnRenamed("id", "a").join(d.withColumnRenamed("id", "b"), ["kind", "day"]).filter("a < b").select("a", "b").distinct().orderBy("a", "b").limit(day_limit)
+    # an id with a later one on its day gives a pair, so the first ``day_limit`` of those ids hold the first pairs
+    last = d.groupBy("kind", "day").agg(F.max("id").alias("last"))
+    first = d.join(last, ["kind", "day"]).filter("id < last").select("id").distinct().orderBy("id").limit(day_limit)
+    same = d.join(first, "id", "left_semi").withColumnRenamed("id", "a").join(d.withColumnRenamed("id", "b"), ["kind", "day"]).filter("a < b").select("a", "b").distinct().orderBy("a", "b").limit(day_limit)
     return shared.select("a", "b").union(same).distinct().orderBy("a", "b").limit(cap)
 
 

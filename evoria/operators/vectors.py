@@ -25,15 +25,31 @@ def unit(v: Column) -> Column:
     return F.transform(v, lambda x: x / F.when(n == 0, F.lit(1.0)).otherwise(n))
 
 
+#: Queries or centers that travel to every task at once; more of them travel in blocks of so many.
+MOST_ASKED = 10_000
+
+
+def in_blocks(df: DataFrame, item: Column) -> DataFrame:
+    """``all``: arrays of ``item``, in rows of about ``MOST_ASKED``; broadcast only where one row holds them all.
+
+    Beyond that Spark chooses between a nested-loop and a cartesian join by their size.
+    """
+    n = df.count()
+    if n <= MOST_ASKED:
+        return F.broadcast(df.groupBy().agg(F.array_sort(F.collect_list(item)).alias("all")))
+    block = F.pmod(F.monotonically_increasing_id(), F.lit(-(-n // MOST_ASKED)))
+    return df.select(item.alias("item"), block.alias("block")).groupBy("block").agg(F.array_sort(F.collect_list("item")).alias("all")).select("all")
+
+
 def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """``query_id, key, score, rn``: the k nearest of every query of a stated set (its own row excluded).
 
-    Queries travel as one array row; each vector is scored against it in one pass and only k rows of a query leave a
+    Queries travel as array rows; each vector is scored against them in one pass and only k rows of a query leave a
     task (group limit before the shuffle). Scores are rounded to 6 places before ranking, ties go to the smaller id.
     """
-    asked = queries.select(F.col(key).alias("query_id"), unit(doubles(F.col(vector))).alias("q")).groupBy().agg(F.collect_list(F.struct("query_id", "q")).alias("all"))
+    asked = in_blocks(queries, F.struct(F.col(key).alias("query_id"), unit(doubles(F.col(vector))).alias("q")))
     own = vectors.select(key, unit(doubles(F.col(vector))).alias("v"))
-    scored = own.join(F.broadcast(asked)).select(key, F.explode(F.transform("all", lambda x: F.struct(x["query_id"].alias("query_id"), F.round(dot(x["q"], F.col("v")), 6).alias("score")))).alias("x")).select("x.query_id", key, "x.score").filter(F.col("query_id") != F.col(key))
+    scored = own.join(asked).select(key, F.explode(F.transform("all", lambda x: F.struct(x["query_id"].alias("query_id"), F.round(dot(x["q"], F.col("v")), 6).alias("score")))).alias("x")).select("x.query_id", key, "x.score").filter(F.col("query_id") != F.col(key))
     return scored.withColumn("rn", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))).filter(F.col("rn") <= k)
 
 
@@ -51,12 +67,18 @@ def one_per_lineage(members: DataFrame, group: str, lineage: str, order: list[st
 
 
 def nearest(vectors: DataFrame, centers: DataFrame, key: str, vector: str, center: str, label: str, k: int = 1) -> DataFrame:
-    """``key, label, score, rn``: the k nearest centers of each vector; the centers travel as one array row."""
-    asked = centers.groupBy().agg(F.array_sort(F.collect_list(F.struct(F.col(label).alias("label"), F.col(center).alias("c")))).alias("all"))
-    own = vectors.select(key, unit(doubles(F.col(vector))).alias("v")).join(F.broadcast(asked))
+    """``key, label, score, rn``: the k nearest centers of each vector; the centers travel as array rows.
+
+    Each block of centers gives its own k best; where there are several blocks, these meet in one more ranking.
+    """
+    asked = in_blocks(centers, F.struct(F.col(label).alias("label"), F.col(center).alias("c")))
+    own = vectors.select(key, unit(doubles(F.col(vector))).alias("v")).join(asked)
     scored = F.transform("all", lambda x: F.struct((-F.round(dot(x["c"], F.col("v")), 6)).alias("back"), x["label"].alias("label")))
     best = own.select(key, F.posexplode(F.slice(F.array_sort(scored), 1, k)).alias("place", "x"))
-    return best.select(key, F.col("x.label").alias(label), (-F.col("x.back")).alias("score"), (F.col("place") + 1).alias("rn"))
+    found = best.select(key, F.col("x.label").alias(label), (-F.col("x.back")).alias("score"), (F.col("place") + 1).alias("rn"))
+    if centers.count() <= MOST_ASKED:
+        return found
+    return found.withColumn("rn", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), label))).filter(F.col("rn") <= k)
 
 
 def stale_vectors(wanted: DataFrame, stored: DataFrame) -> DataFrame:

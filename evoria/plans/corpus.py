@@ -133,11 +133,11 @@ def hierarchy_edges(spark, d):
     return entities.seed_edges(pairs, keys)
 
 
-@query("N05_dict_entity_link", """WITH t AS (SELECT doc_id, lower(regexp_replace(substr(text, 1, 300), '\\s+', '', 'g')) || lower(replace(n_name, ' ', '')) AS body FROM documents JOIN nation ON n_nationkey = doc_id % 25), k AS (SELECT n_nationkey, lower(replace(n_name, ' ', '')) AS nk FROM nation)
+@query("N05_dict_entity_link", """WITH t AS (SELECT doc_id, lower(regexp_replace(text, '\\s+', '', 'g')) || lower(replace(n_name, ' ', '')) AS body FROM documents JOIN nation ON n_nationkey = doc_id % 25), k AS (SELECT n_nationkey, lower(replace(n_name, ' ', '')) AS nk FROM nation)
 SELECT doc_id, n_nationkey AS entity_id, row_number() OVER (PARTITION BY doc_id ORDER BY length(nk) DESC, n_nationkey)::INTEGER AS rn FROM t JOIN k ON contains(body, nk) QUALIFY rn <= 5""")
 def dict_entity_link(spark, d):
     n = table(spark, d, "nation")
-    q = table(spark, d, "documents").join(n, F.col("n_nationkey") == F.col("doc_id") % 25).select("doc_id", F.concat(F.substring("text", 1, 300), "n_name").alias("q"))
+    q = table(spark, d, "documents").join(n, F.col("n_nationkey") == F.col("doc_id") % 25).select("doc_id", F.concat("text", "n_name").alias("q"))
     return entities.link_dictionary(q, n.select(F.col("n_nationkey").alias("entity_id"), text.entity_key(F.col("n_name")).alias("norm_key")), "q", "doc_id").select("doc_id", "entity_id", "rn")
 
 
@@ -168,10 +168,12 @@ def latest_vector(spark, d):
     return table(spark, d, "embeddings").groupBy("label").agg(F.max_by("vec_id", "vec_id").alias("vec_id"))
 
 
-@query("V06_incremental_vectorize", "SELECT doc_id AS owner, sha256(substr(text, 1, 1200)) AS text_hash FROM documents WHERE doc_id % 4 <> 0")
+@query("V06_incremental_vectorize", "WITH c AS (SELECT doc_id, unnest(range(0, length(text), 1200)) AS s, text FROM documents) SELECT doc_id AS owner, (s // 1200)::INTEGER AS sub, sha256(substr(text, s + 1, 1200)) AS text_hash FROM c WHERE doc_id % 4 <> 0")
 def incremental_vectorize(spark, d):
-    w = table(spark, d, "documents").select(F.col("doc_id").alias("owner"), F.lit(0).alias("sub"), F.sha2(F.substring("text", 1, 1200).cast("binary"), 256).alias("text_hash"))
-    return vectors.stale_vectors(w, w.filter("owner % 4 = 0")).select("owner", "text_hash")
+    # what the store holds already: the chunks of every fourth document
+    c = table(spark, d, "documents").select("doc_id", F.explode(text.fixed_chunks(F.col("text"))).alias("x"))
+    w = c.select(F.col("doc_id").alias("owner"), F.floor(F.col("x.start") / 1200).cast("int").alias("sub"), F.sha2(F.col("x.body").cast("binary"), 256).alias("text_hash"))
+    return vectors.stale_vectors(w, w.filter("owner % 4 = 0")).select("owner", "sub", "text_hash")
 
 
 _CENTER = f"{_UNIT}, f AS (SELECT label, unnest(range(1, 65)) AS pos, e FROM u), m AS (SELECT label, pos, avg(e[pos]) AS m FROM f GROUP BY ALL), n AS (SELECT label, sqrt(sum(m * m)) AS n FROM m GROUP BY 1), c AS (SELECT label, list(m / n ORDER BY pos) AS c FROM m JOIN n USING (label) GROUP BY 1)"
@@ -223,9 +225,9 @@ def bm25_topk(spark, d):
     return lexical.top(_bm25(spark, d), "item_id", "doc_id", 5).select("item_id", "doc_id", F.round("score", 4).alias("score"), "rn")
 
 
-@query("B05_pool_max_normalized", f"WITH {_BM25} SELECT item_id, doc_id, round(score / max(score) OVER (PARTITION BY item_id), 4) AS share FROM sc WHERE score > 0 AND item_id < 5")
+@query("B05_pool_max_normalized", f"WITH {_BM25} SELECT item_id, doc_id, round(score / max(score) OVER (PARTITION BY item_id), 4) AS share FROM sc WHERE score > 0")
 def pool_max(spark, d):
-    return lexical.normalized_by_max(_bm25(spark, d).filter("item_id < 5"), "item_id").select("item_id", "doc_id", F.round("share", 4).alias("share"))
+    return lexical.normalized_by_max(_bm25(spark, d), "item_id").select("item_id", "doc_id", F.round("share", 4).alias("share"))
 
 
 _CHANNELS = """a AS (SELECT source AS g, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rn FROM documents QUALIFY rn <= 20), b AS (SELECT source AS g, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents QUALIFY rn <= 20)"""
@@ -240,11 +242,11 @@ def rrf_fusion(spark, d):
 
 @query("B07_hybrid_search", f"""WITH {_BM25}, a AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rn FROM sc WHERE score > 0 QUALIFY rn <= 30),
 v AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda y: y * y)))) AS e FROM embeddings),
-sim AS (SELECT q.vec_id AS item_id, d.vec_id AS doc_id, round({_DOT.format(a='q.e', b='d.e')}, 6) AS score FROM v q JOIN v d ON q.vec_id < 40 AND q.vec_id <> d.vec_id), b AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rn FROM sim QUALIFY rn <= 30),
+sim AS (SELECT q.vec_id AS item_id, d.vec_id AS doc_id, round({_DOT.format(a='q.e', b='d.e')}, 6) AS score FROM v q JOIN v d ON q.vec_id % 50 = 0 AND q.vec_id <> d.vec_id), b AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rn FROM sim QUALIFY rn <= 30),
 f AS (SELECT item_id, doc_id, round(sum(1.0 / (60 + rn)), 8) AS fused FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY ALL) SELECT item_id, doc_id, fused, row_number() OVER (PARTITION BY item_id ORDER BY fused DESC, doc_id)::INTEGER AS rn FROM f QUALIFY rn <= 10""")
 def hybrid_search(spark, d):
     v = table(spark, d, "embeddings")
-    dense = vectors.cosine_top_k(v, v.filter("vec_id < 40"), 30).select(F.col("query_id").alias("item_id"), F.col("vec_id").alias("doc_id"), "rn")
+    dense = vectors.cosine_top_k(v, v.filter("vec_id % 50 = 0"), 30).select(F.col("query_id").alias("item_id"), F.col("vec_id").alias("doc_id"), "rn")
     words = lexical.top(_bm25(spark, d), "item_id", "doc_id", 30).select("item_id", "doc_id", "rn")
     fused = lexical.rrf([words, dense], "item_id", "doc_id").withColumn("fused", F.round("fused", 8))
     return lexical.top(fused, "item_id", "doc_id", 10, "fused").select("item_id", "doc_id", "fused", "rn")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import metrics as m
 from ..operators import evaluation as ev
@@ -126,20 +127,22 @@ def pair_mining(spark, d):
     return pos.unionByName(pairs.filter("ya AND NOT yb").select("a", "b", F.lit("N1").alias("origin")))
 
 
-_PAIRS = "p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.text AS ta, b.text AS tb FROM documents a JOIN documents b ON a.source = b.source AND a.lang = b.lang AND b.doc_id <> a.doc_id AND a.n_chars < 300 AND b.n_chars < 300)"
+# every document with the three before and the three after it in its source and language, in both orders
+_PAIRS = "r AS (SELECT doc_id, source, lang, substr(text, 1, 80) AS t, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS r FROM documents), p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.t AS ta, b.t AS tb FROM r a JOIN r b ON a.source = b.source AND a.lang = b.lang AND abs(a.r - b.r) BETWEEN 1 AND 3)"
 
 
-@query("L19_pair_dedupe_unordered", f"WITH {_PAIRS} SELECT a, b FROM p QUALIFY row_number() OVER (PARTITION BY least(substr(ta, 1, 80), substr(tb, 1, 80)), greatest(substr(ta, 1, 80), substr(tb, 1, 80)) ORDER BY a, b) = 1")
+@query("L19_pair_dedupe_unordered", f"WITH {_PAIRS} SELECT a, b FROM p QUALIFY row_number() OVER (PARTITION BY least(ta, tb), greatest(ta, tb) ORDER BY a, b) = 1")
 def pair_dedupe(spark, d):
-    t = table(spark, d, "documents").filter("n_chars < 300")
-    a, b = t.select("source", "lang", F.col("doc_id").alias("a"), F.col("text").alias("ta")), t.select("source", "lang", F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    return ev.dedupe_pairs(a.join(b, ["source", "lang"]).filter("a <> b"), "ta", "tb", ["a", "b"]).select("a", "b")
+    ranked = table(spark, d, "documents").select("source", "lang", "doc_id", F.substring("text", 1, 80).alias("t"), F.row_number().over(Window.partitionBy("source", "lang").orderBy("doc_id")).alias("r"))
+    a = ranked.select("source", "lang", F.col("doc_id").alias("a"), F.col("t").alias("ta"), F.explode(F.array(*(F.col("r") + i for i in (-3, -2, -1, 1, 2, 3)))).alias("r"))
+    b = ranked.select("source", "lang", F.col("doc_id").alias("b"), F.col("t").alias("tb"), "r")
+    return ev.dedupe_pairs(a.join(b, ["source", "lang", "r"]), "ta", "tb", ["a", "b"]).select("a", "b")
 
 
-@query("L20_margin_gate", f"WITH {_L}, f AS (SELECT (list(s ORDER BY s))[count(*) // 2 + 1] - 0.1 AS floor FROM (SELECT s FROM l ORDER BY doc_id LIMIT 200)) SELECT doc_id, CASE WHEN s < floor THEN 'easy' WHEN s2 >= 0.5 THEN 'promoted' ELSE 'hard' END AS kind FROM l, f")
+@query("L20_margin_gate", f"WITH {_L}, f AS (SELECT (list(s ORDER BY s))[count(*) // 2 + 1] - 0.1 AS floor FROM (SELECT s FROM l ORDER BY doc_id LIMIT 2000)) SELECT doc_id, CASE WHEN s < floor THEN 'easy' WHEN s2 >= 0.5 THEN 'promoted' ELSE 'hard' END AS kind FROM l, f")
 def margin_gate(spark, d):
     l = _labels(spark, d)
-    floor = ev.positional_median(l, "s", "doc_id", 200) - 0.1
+    floor = ev.positional_median(l, "s", "doc_id", 2000) - 0.1
     return l.select("doc_id", F.when(F.col("s") < floor, "easy").when(F.col("s2") >= 0.5, "promoted").otherwise("hard").alias("kind"))
 
 
@@ -149,10 +152,10 @@ def time_split(spark, d):
     return ev.time_split(o, ["o_orderdate", "o_orderkey"], buckets="month").select("o_orderkey", "split")
 
 
-@query("L22_negative_sampling", f"WITH {_L}, p AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY sha256(doc_id::VARCHAR || 'neg'), doc_id) - 1 AS slot, count(*) OVER (PARTITION BY lang) AS size FROM l WHERE NOT y), q AS (SELECT doc_id AS pos_id, lang, ('0x' || substr(sha256(doc_id::VARCHAR || 'neg'), 1, 8))::BIGINT AS h, unnest(range(0, 3)) AS j FROM l WHERE y AND doc_id % 10 = 0) SELECT pos_id, j::INTEGER AS j, p.doc_id AS neg_id FROM q JOIN p ON p.lang = q.lang AND p.slot = (q.h + q.j) % p.size")
+@query("L22_negative_sampling", f"WITH {_L}, p AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY sha256(doc_id::VARCHAR || 'neg'), doc_id) - 1 AS slot, count(*) OVER (PARTITION BY lang) AS size FROM l WHERE NOT y), q AS (SELECT doc_id AS pos_id, lang, ('0x' || substr(sha256(doc_id::VARCHAR || 'neg'), 1, 8))::BIGINT AS h, unnest(range(0, 3)) AS j FROM l WHERE y) SELECT pos_id, j::INTEGER AS j, p.doc_id AS neg_id FROM q JOIN p ON p.lang = q.lang AND p.slot = (q.h + q.j) % p.size")
 def negative_sampling(spark, d):
     l = _labels(spark, d)
-    pos = l.filter("y AND doc_id % 10 = 0").select(F.col("doc_id").alias("pos_id"), "lang")
+    pos = l.filter("y").select(F.col("doc_id").alias("pos_id"), "lang")
     return ev.negatives(pos, l.filter("NOT y").select("doc_id", "lang"), "lang", 3, "neg", "doc_id").select("pos_id", F.col("_j").alias("j"), F.col("doc_id").alias("neg_id"))
 
 

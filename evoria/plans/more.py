@@ -42,9 +42,9 @@ def overlap_predicate(spark, d):
     return j.filter(joins.half_open_overlap(o, o + F.expr("INTERVAL 30 DAY"), s, s + F.expr("INTERVAL 10 DAY"))).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("E05_standalone_assertions", "SELECT doc_id, substr(text, 1, 30) AS quote FROM documents WHERE length(text) >= 60 AND doc_id % 3 = 0 AND regexp_matches(substr(text, 1, 30), '^[A-Za-z ]+$')")
+@query("E05_standalone_assertions", "SELECT doc_id, substr(text, 1, 30) AS quote FROM documents WHERE regexp_matches(substr(text, 1, 30), '^[A-Za-z ]+$') AND length(substr(text, 1, 30)) >= 6")
 def standalone_assertions(spark, d):
-    docs = table(spark, d, "documents").filter((F.length("text") >= 60) & (F.col("doc_id") % 3 == 0) & F.substring("text", 1, 30).rlike("^[A-Za-z ]+$"))
+    docs = table(spark, d, "documents").filter(F.substring("text", 1, 30).rlike("^[A-Za-z ]+$"))
     q = F.substring("text", 1, 30)
     return docs.filter(extract.validity(F.lit("states"), F.array(q), F.col("text")).isNull()).select("doc_id", q.alias("quote"))
 

@@ -250,6 +250,12 @@ def full_outer(spark, d):
     return part(F.col("ts") < F.lit("2024-01-10").cast("timestamp"), "before_n").join(part(F.col("ts") >= F.lit("2024-01-20").cast("timestamp"), "after_n"), "k", "full")
 
 
-@query("X05_approx_distinct")
+@query("X05_approx_distinct", "SELECT event_type, count(DISTINCT user_id) AS users, true AS users_near, true AS median_near FROM events GROUP BY 1")
 def approx_distinct(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(F.approx_count_distinct("user_id", 0.02).alias("users"), F.percentile_approx("value", 0.5, 1000).alias("median"))
+    """The exact count beside the sketches, which must be within 10 % of it, and within 2 % of the rows around the median."""
+    e = table(spark, d, "events")
+    sketch = e.groupBy("event_type").agg(F.approx_count_distinct("user_id", 0.02).alias("about"), F.percentile_approx("value", 0.5, 1000).alias("median"))
+    exact = e.groupBy("event_type").agg(F.count_distinct("user_id").alias("users"))
+    share = e.join(sketch, "event_type").groupBy("event_type").agg(F.avg((F.col("value") <= F.col("median")).cast("int")).alias("below"))
+    found = exact.join(sketch, "event_type").join(share, "event_type")
+    return found.select("event_type", "users", (F.abs(F.col("about") - F.col("users")) <= 0.1 * F.col("users")).alias("users_near"), (F.abs(F.col("below") - 0.5) <= 0.02).alias("median_near"))

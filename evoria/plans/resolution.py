@@ -26,13 +26,13 @@ def multi_channel_recall(spark, d):
     return res.union_channels([("user", a), ("key", b)], "mention", "cluster", 20).select("mention", "cluster", "channel", "rn")
 
 
-@query("C02_structured_recall", """WITH c AS (SELECT l_orderkey AS cluster, l_returnflag AS kind, min(l_shipdate) AS lo, max(l_shipdate) AS hi FROM lineitem GROUP BY ALL), m AS (SELECT o_orderkey AS mention, 'R' AS kind, o_orderdate AS lo, o_orderdate + INTERVAL 20 DAY AS hi FROM orders WHERE o_orderkey % 40 = 0), me AS (SELECT DISTINCT l_orderkey AS mention, l_partkey AS entity FROM lineitem), h AS (SELECT m.mention, c.cluster, count(DISTINCT me.entity) AS shared FROM m JOIN me USING (mention) JOIN (SELECT DISTINCT l_partkey AS entity, l_orderkey AS cluster FROM lineitem) x USING (entity) JOIN c ON c.cluster = x.cluster AND c.kind = m.kind WHERE c.lo <= m.hi AND c.hi >= m.lo GROUP BY ALL)
+@query("C02_structured_recall", """WITH c AS (SELECT l_orderkey AS cluster, l_returnflag AS kind, min(l_shipdate) AS lo, max(l_shipdate) AS hi FROM lineitem GROUP BY ALL), m AS (SELECT o_orderkey AS mention, 'R' AS kind, o_orderdate AS lo, o_orderdate + INTERVAL 20 DAY AS hi FROM orders), me AS (SELECT DISTINCT l_orderkey AS mention, l_partkey AS entity FROM lineitem), h AS (SELECT m.mention, c.cluster, count(DISTINCT me.entity) AS shared FROM m JOIN me USING (mention) JOIN (SELECT DISTINCT l_partkey AS entity, l_orderkey AS cluster FROM lineitem) x USING (entity) JOIN c ON c.cluster = x.cluster AND c.kind = m.kind WHERE c.lo <= m.hi AND c.hi >= m.lo GROUP BY ALL)
 SELECT mention, cluster, shared, row_number() OVER (PARTITION BY mention ORDER BY shared DESC, cluster)::INTEGER AS rn FROM h QUALIFY rn <= 8""")
 def structured_recall(spark, d):
     l, o = table(spark, d, "lineitem"), table(spark, d, "orders")
     clusters = l.groupBy(F.col("l_orderkey").alias("cluster"), F.col("l_returnflag").alias("kind")).agg(F.min("l_shipdate").alias("lo"), F.max("l_shipdate").alias("hi"))
     parts = l.groupBy(F.col("l_orderkey").alias("mention")).agg(F.collect_set("l_partkey").alias("entities"))
-    m = o.filter("o_orderkey % 40 = 0").select(F.col("o_orderkey").alias("mention"), F.lit("R").alias("kind"), F.col("o_orderdate").alias("lo"), (F.col("o_orderdate") + F.expr("INTERVAL 20 DAY")).alias("hi")).join(parts, "mention")
+    m = o.select(F.col("o_orderkey").alias("mention"), F.lit("R").alias("kind"), F.col("o_orderdate").alias("lo"), (F.col("o_orderdate") + F.expr("INTERVAL 20 DAY")).alias("hi")).join(parts, "mention")
     return res.structured_recall(m, l.select(F.col("l_partkey").alias("entity"), F.col("l_orderkey").alias("cluster")), clusters, 8)
 
 

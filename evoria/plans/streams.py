@@ -23,9 +23,7 @@ def _folder(spark, name):
 def corpus_json(spark, d):
     path = _folder(spark, "corpus")
     item = F.struct(F.col("doc_id").cast("string").alias("title"), F.col("text").alias("content"))
-    # one array of items for each source, each in a partition, so a file, of its own
-    grouped = table(spark, d, "documents").groupBy("source").agg(F.to_json(F.collect_list(item)).alias("value"))
-    grouped.write.partitionBy("source").text(path)
+    files.write_corpus(table(spark, d, "documents"), path, "source", "doc_id", item)
     items, _ = files.read_corpus(spark, [path])
     return items.select("title", F.length("content").alias("n"))
 
@@ -47,13 +45,12 @@ def jsonl(spark, d):
     return files.read_jsonl(spark, path, "conv_id long, turn long, role string, text string")
 
 
-@query("S07_review_csv", "SELECT doc_id, text, CASE WHEN doc_id % 10 <> 0 THEN 1 END AS human, CASE WHEN (SELECT avg((doc_id % 10 <> 0)::INT) FROM documents WHERE n_chars < 2000 AND NOT contains(text, chr(92))) >= 0.8 THEN 'human' ELSE 'partial' END AS standing FROM documents WHERE n_chars < 2000 AND NOT contains(text, chr(92))")
+@query("S07_review_csv", "SELECT doc_id, sha256(text) AS h, CASE WHEN doc_id % 10 <> 0 THEN 1 END AS human, CASE WHEN (SELECT avg((doc_id % 10 <> 0)::INT) FROM documents) >= 0.8 THEN 'human' ELSE 'partial' END AS standing FROM documents")
 def review_csv(spark, d):
     path = _folder(spark, "review")
-    docs = table(spark, d, "documents").filter((F.col("n_chars") < 2000) & ~F.col("text").contains("\\"))
-    files.write_review(docs.select("doc_id", F.translate("text", "\n", " ").alias("text"), F.when(F.col("doc_id") % 10 != 0, 1).alias("human")), path)
+    files.write_review(table(spark, d, "documents").select("doc_id", "text", F.when(F.col("doc_id") % 10 != 0, 1).alias("human")), path)
     rows, standing = files.read_review(spark, path, "doc_id long, text string, human int", "human")
-    return rows.select("doc_id", F.translate("text", " ", "\n").alias("text"), "human", F.lit(standing).alias("standing"))
+    return rows.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("h"), "human", F.lit(standing).alias("standing"))
 
 
 @query("S08_corpus_fingerprint", "SELECT sha256(string_agg(doc_id || ':' || substr(sha256(text), 1, 16), chr(10) ORDER BY doc_id || ':' || substr(sha256(text), 1, 16))) AS fingerprint FROM documents")
@@ -61,7 +58,10 @@ def corpus_fingerprint(spark, d):
     return files.corpus_fingerprint(table(spark, d, "documents"), "doc_id", "text")
 
 
-@query("S09_table_fingerprint")
+_SHOWN = "concat_ws(chr(31), " + ", ".join(f"coalesce('=' || {c}::VARCHAR, '-')" for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")) + ")"
+
+
+@query("S09_table_fingerprint", f"WITH r AS (SELECT sha256({_SHOWN}) AS h FROM orders) SELECT count(*) AS n, sum(('0x' || substr(h, 1, 8))::BIGINT)::BIGINT AS low, sum(('0x' || substr(h, 9, 8))::BIGINT)::BIGINT AS high FROM r")
 def table_fingerprint(spark, d):
     return files.table_fingerprint(table(spark, d, "orders"), ["o_totalprice"])
 
@@ -74,7 +74,17 @@ def scored_pairs(spark, d):
     return scorers.score(pairs, "ta", "tb", "words", cache, scorers.jaccard_judge).select("a", "b", F.round("p", 6).alias("p"))
 
 
-@query("T07_chunk_overlap_counts")
+# a chunk ends after the last mark of its second half, and the next one starts ``overlap`` before its end
+_LAST_MARK = "(length(seg) - least(CASE WHEN strpos(reverse(seg), '。') > 0 THEN strpos(reverse(seg), '。') ELSE length(seg) + 1 END, CASE WHEN strpos(reverse(seg), chr(10)) > 0 THEN strpos(reverse(seg), chr(10)) ELSE length(seg) + 1 END) + 1)"
+
+
+@query("T07_chunk_overlap_counts", f"""WITH RECURSIVE c AS (
+  SELECT doc_id, -1 AS chunk_no, 0 AS first, 500 AS last, length(text) AS size FROM documents WHERE length(text) > 0
+  UNION ALL
+  SELECT doc_id, chunk_no + 1, first, CASE WHEN until < size AND {_LAST_MARK} > 0 THEN first + 1500 + {_LAST_MARK} ELSE until END, size FROM (
+    SELECT c.doc_id, c.chunk_no, c.last - 500 AS first, least(c.last + 2500, c.size) AS until, c.size, substr(d.text, c.last - 500 + 1501, least(c.last + 2500, c.size) - (c.last - 500) - 1500) AS seg
+    FROM c JOIN documents d USING (doc_id) WHERE c.last < c.size OR c.chunk_no = -1))
+SELECT doc_id, chunk_no, (last - first)::INTEGER AS n FROM c WHERE chunk_no >= 0""")
 def chunk_overlap(spark, d):
     c = table(spark, d, "documents").select("doc_id", F.posexplode(udfs.chunks_column(F.col("text"))).alias("chunk_no", "body"))
     return c.select("doc_id", "chunk_no", F.length("body").alias("n"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import ids, text, times, urls
+from ..operators.vectors import in_blocks
 from .registry import query, table
 
 _NS = ids.NAMESPACE.hex
@@ -60,8 +61,8 @@ SELECT item_id, doc_id, (instr(regexp_replace(t, ' +', ' ', 'g'), q) - 1)::INTEG
 def quote_locate(spark, d):
     # benchmark items are a stated query set; every document is searched for each of them
     docs = table(spark, d, "documents").select("doc_id", "text")
-    items = table(spark, d, "benchmark").select("item_id", F.substring("text", 1, 60).alias("q")).groupBy().agg(F.collect_list(F.struct("item_id", "q")).alias("all"))
-    each = docs.join(F.broadcast(items)).withColumn("x", F.explode("all"))
+    items = in_blocks(table(spark, d, "benchmark"), F.struct("item_id", F.substring("text", 1, 60).alias("q")))
+    each = docs.join(items).withColumn("x", F.explode("all"))
     found = each.select("doc_id", "x.item_id", text.quote_span(F.col("text"), F.col("x.q")).alias("span")).filter("span IS NOT NULL")
     return found.select("item_id", "doc_id", F.col("span.start").alias("s"), F.col("span.end").alias("e"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids
@@ -25,6 +25,20 @@ def read_corpus(spark: SparkSession, paths: Sequence[str]) -> tuple[DataFrame, D
     return items, chosen.filter("items IS NULL").select("file", F.substring("value", 1, 200).alias("head"))
 
 
+def write_corpus(items: DataFrame, path: str, source: str, key: str, item: Column, part_bytes: int = 32 << 20) -> None:
+    """JSON files that hold an array of items of one source, as ``read_corpus`` reads them.
+
+    A source's items are dealt by a hash of the key over as many arrays as keep one near ``part_bytes``, so no array grows
+    with its source.
+    """
+    body = F.to_json(item)
+    sized = items.select(F.col(source).alias("source"), F.xxhash64(key).alias("h"), item.alias("item"), F.octet_length(body).alias("size"))
+    parts = sized.groupBy("source").agg(F.ceil(F.sum("size") / part_bytes).cast("int").alias("parts"))
+    dealt = sized.join(parts.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).withColumn("part", F.pmod("h", F.greatest("parts", F.lit(1))))
+    arrays = dealt.groupBy("source", "part").agg(F.to_json(F.collect_list("item")).alias("value"))
+    arrays.write.partitionBy("source", "part").text(path)
+
+
 def in_publish_order(items: DataFrame) -> DataFrame:
     """Adds ``seq_key``: items sort by it as an online run would meet them (file, publish time, URL)."""
     return items.withColumn("seq_key", F.struct("file", F.coalesce("published_at", F.lit("")), F.coalesce("url", F.lit("")), "place"))
