@@ -23,6 +23,8 @@ CHUNK_BYTES, BUCKET_BYTES = 3 << 20, 10 << 20
 GROWTH = 3.7
 #: String bytes that one transform is made of, unless more have one minimizer value.
 COLLECTION_BYTES = 1 << 19
+#: Least and largest number of bytes before the minimizer in the windows of a class, the farthest class first.
+REACHES = [(lo, min(lo + 8, W.PLACES - 1)) for lo in range(0, W.PLACES, 9)][::-1]
 NO_SPANS = (np.empty(0, np.int64),) * 4
 
 
@@ -147,8 +149,8 @@ def bucket_spans(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     ids, twins, begin, length, place, body = (np.concatenate([p[i] for p in parts]) for i in range(6))
     body = np.concatenate([body, np.zeros(8, np.uint8)])
     first = np.cumsum(length) - length
-    # strings whose minimizer, or the bytes at one side of it, no other document has cannot repeat one; where a minimizer
-    # value stands several times in a string, its place says too little for that
+    # strings whose minimizer, or the bytes around it, no other document has cannot repeat one; where a minimizer value
+    # stands several times in a string, its place says too little for that
     words = W.words64(body)
     p = first + (place.astype(np.int64) & 63)
     kmer = (words[p] * W._A) ^ (words[p + 8] * W._B)
@@ -162,16 +164,20 @@ def bucket_spans(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     body = np.concatenate([body, np.zeros(8, np.uint8)])
     p = first + (place.astype(np.int64) & 63)
     hashes = W.SpanHash(body)
-    left, right = odd.copy(), odd.copy()
-    for side, inside, down, up in ((left, p - W.SIDE >= first, -W.SIDE, W.K), (right, p + W.K + W.SIDE <= first + length, 0, W.K + W.SIDE)):
-        at = np.flatnonzero(inside)
-        side[at] |= _shared(hashes.of(p[at] + down, p[at] + up), ids[at])
-    at = np.flatnonzero(left | right)
+    # windows by how far they reach to the left of the minimizer: what all of a class hold must be shared for any to be
+    kept = np.empty((len(REACHES), len(ids)), bool)
+    for c, (low_reach, high_reach) in enumerate(REACHES):
+        some = np.maximum(first, p - high_reach) <= np.minimum(p - low_reach, first + length - W.WIDTH)
+        at = np.flatnonzero(some)
+        kept[c] = odd
+        kept[c, at] |= _shared(hashes.of(p[at] - low_reach, p[at] + W.WIDTH - high_reach), ids[at])
+    at = np.flatnonzero(kept.any(0))
     if not len(at):
         return NO_SPANS
-    # where one side only is shared, the windows that need the other side go
-    end = np.where(left & ~right, np.minimum(first + length, p + W.K + W.SIDE), first + length)
-    cut = np.where(right & ~left, np.maximum(first, p - W.SIDE), first)
+    reaches = np.array(REACHES)
+    far, near = reaches[kept.argmax(0), 1], reaches[len(REACHES) - 1 - kept[::-1].argmax(0), 0]
+    cut = np.where(odd, first, np.maximum(first, p - far))
+    end = np.where(odd, first + length, np.minimum(first + length, p - near + W.WIDTH))
     begin, length, first = begin + cut - first, end - cut, cut
     # one string for all its equals, with the least id
     at = at[np.argsort(ids[at], kind="stable")]

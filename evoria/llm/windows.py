@@ -9,8 +9,6 @@ WIDTH, K = 50, 16
 PLACES = WIDTH - K + 1
 #: Longest run of windows.
 MOST_WINDOWS = 64
-#: Bytes around a minimizer that hold at least one side of any window: K and half of the rest.
-SIDE = (WIDTH - K) // 2
 #: Added to the place of a minimizer whose value stands again inside its run.
 MANY = 64
 
