@@ -6,19 +6,20 @@ bucket; each bucket is a collection of short strings whose transform is built co
 
 from __future__ import annotations
 
-import gc
-import time
-
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
 from . import windows as W
 from ._common import materialize, text_or_empty
 from .bwt import sort_suffixes
 
-#: Text bytes that a map task handles at a time, and string bytes of a bucket aimed at.
-CHUNK_BYTES, BUCKET_BYTES = 3 << 20, 10 << 20
+#: Text bytes that a map task handles at a time, chunks whose strings travel together, string bytes of a bucket aimed at,
+#: and of the parts of a bucket that are compared at a time.
+CHUNK_BYTES, CHUNKS, BUCKET_BYTES, PART_BYTES = 3 << 20, 4, 24 << 20, 8 << 20
+#: Reduce tasks at most: beyond, a task takes several buckets one after the other.
+MOST_TASKS = 20_000
 #: Bytes of strings made from a byte of text.
 GROWTH = 3.7
 #: String bytes that one transform is made of, unless more have one minimizer value.
@@ -38,11 +39,13 @@ def _from_planes(data: memoryview, n: int, dtype: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8, n * size).reshape(size, n).T).view(dtype).ravel()
 
 
-def pack(ids: np.ndarray, twins: np.ndarray, begin: np.ndarray, length: np.ndarray, place: np.ndarray, body: bytes) -> bytes:
+def pack(parts: list[tuple[np.ndarray, ...]]) -> bytes:
+    """One blob of the parts (ids, twins, begin, length, place, body) laid end to end."""
     import zstandard
 
+    ids, twins, begin, length, place, body = (np.concatenate(x) for x in zip(*parts))
     steps = np.diff(ids, prepend=0)
-    raw = b"".join([np.int64(len(ids)).tobytes(), _planes(steps), _planes(twins), _planes(begin.astype(np.uint32)), length.astype(np.uint8).tobytes(), place.astype(np.uint8).tobytes(), body])
+    raw = b"".join([np.int64(len(ids)).tobytes(), _planes(steps), _planes(twins), _planes(begin.astype(np.uint32)), length.astype(np.uint8).tobytes(), place.astype(np.uint8).tobytes(), body.tobytes()])
     return zstandard.compress(raw, 3)
 
 
@@ -96,7 +99,8 @@ def first_of_equal(data: np.ndarray, first: np.ndarray, length: np.ndarray, hash
 
 
 def cut_chunk(ids: np.ndarray, twins: np.ndarray, texts: list[bytes], n_buckets: int):
-    """Rows of a chunk of documents: (bucket, kind 0, strings) and (bucket, kind 1, spans decided inside the chunk).
+    """Parts of a chunk of documents: (bucket, kind 0, strings) and (bucket, kind 1, spans decided inside the chunk), as
+    arrays that ``pack`` takes.
 
     Of equal strings in the chunk only those of the least id travel; the others are known to repeat it.
     """
@@ -116,8 +120,9 @@ def cut_chunk(ids: np.ndarray, twins: np.ndarray, texts: list[bytes], n_buckets:
     at = np.flatnonzero(known)
     if len(at):
         d = doc[at]
-        body = np.stack([first[at] - doc_start[d], stop[at] - doc_start[d]]).astype(np.uint32).tobytes()
-        yield int(least[0]) % n_buckets, 1, pack(ids[d], twins[d], np.zeros(len(at)), np.zeros(len(at)), np.zeros(len(at)), body)
+        none = np.zeros(len(at), np.int64)
+        body = np.stack([first[at] - doc_start[d], stop[at] - doc_start[d]], 1).astype(np.uint32).view(np.uint8).ravel()
+        yield int(least[0]) % n_buckets, 1, (ids[d], twins[d], none, none, none, body)
     at = np.flatnonzero(~known)
     bucket = (least[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)
     by = np.argsort(bucket, kind="stable")
@@ -126,7 +131,7 @@ def cut_chunk(ids: np.ndarray, twins: np.ndarray, texts: list[bytes], n_buckets:
     for group, b in zip(np.split(at, cuts), bucket[np.concatenate([[0], cuts])] if len(at) else []):
         d = doc[group]
         body, _ = _gather(data, first[group], stop[group] - first[group])
-        yield int(b), 0, pack(ids[d], twins[d], first[group] - doc_start[d], stop[group] - first[group], place[group], body.tobytes())
+        yield int(b), 0, (ids[d], twins[d], first[group] - doc_start[d], stop[group] - first[group], place[group], body)
 
 
 def _shared(keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -143,10 +148,29 @@ def _shared(keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return out
 
 
-def bucket_spans(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(id, twin, start, end) of the spans of a bucket's strings that repeat a document with a smaller id."""
-    parts = [unpack(b) for b in blobs]
-    ids, twins, begin, length, place, body = (np.concatenate([p[i] for p in parts]) for i in range(6))
+def bucket_spans(blobs: list[bytes]):
+    """(id, twin, start, end) of the spans of a bucket's strings that repeat a document with a smaller id, part by part.
+
+    Equal windows have one minimizer value, so the values' range is cut into parts that share no window.
+    """
+    found = [unpack(b) for b in blobs]
+    ids, twins, begin, length, place = (np.concatenate([f[i] for f in found]) for i in range(5))
+    body = np.concatenate([*(f[5] for f in found), np.zeros(8, np.uint8)])
+    del found, blobs
+    first = np.cumsum(length) - length
+    words, p = W.words64(body), first + (place & 63)
+    low = W.mix((words[p] * W._A) ^ (words[p + 8] * W._B))
+    n_parts = max(1, len(body) // PART_BYTES)
+    # other bits than those that chose the bucket
+    part = ((low.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(32)) * np.uint64(n_parts) >> np.uint64(32)).astype(np.int64)
+    for k in range(n_parts):
+        at = np.flatnonzero(part == k)
+        if len(at):
+            yield part_spans(ids[at], twins[at], begin[at], length[at], place[at], _gather(body, first[at], length[at])[0])
+
+
+def part_spans(ids: np.ndarray, twins: np.ndarray, begin: np.ndarray, length: np.ndarray, place: np.ndarray, body: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(id, twin, start, end) of the strings' spans that repeat a document with a smaller id."""
     body = np.concatenate([body, np.zeros(8, np.uint8)])
     first = np.cumsum(length) - length
     # strings whose minimizer, or the bytes around it, no other document has cannot repeat one; where a minimizer value
@@ -225,11 +249,18 @@ def repeat_spans(docs: DataFrame, total_bytes: int) -> DataFrame:
     n_buckets = max(1, int(total_bytes * GROWTH) // BUCKET_BYTES)
 
     def cut(batches):
-        def emit(held):
-            found = list(cut_chunk(np.array([h[0] for h in held], np.int64), np.array([h[1] for h in held], np.int64), [h[2] for h in held], n_buckets))
-            return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.int32()), pa.array([f[2] for f in found], pa.binary())], names=["bucket", "kind", "data"])
+        parts: dict[tuple[int, int], list] = {}
 
-        held, size = [], 0
+        def read(held):
+            for bucket, kind, part in cut_chunk(np.array([h[0] for h in held], np.int64), np.array([h[1] for h in held], np.int64), [h[2] for h in held], n_buckets):
+                parts.setdefault((bucket, kind), []).append(part)
+
+        def emit():
+            rows = [(*at, pack(found)) for at, found in parts.items()]
+            parts.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "kind", "data"])
+
+        held, size, chunks = [], 0, 0
         for batch in batches:
             for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 text = row[2].as_py().encode()
@@ -238,10 +269,14 @@ def repeat_spans(docs: DataFrame, total_bytes: int) -> DataFrame:
                 held.append((row[0], row[1], text))
                 size += len(text)
                 if size >= CHUNK_BYTES:
-                    yield emit(held)
-                    held, size = [], 0
+                    read(held)
+                    held, size, chunks = [], 0, chunks + 1
+                    if chunks % CHUNKS == 0:
+                        yield emit()
         if held:
-            yield emit(held)
+            read(held)
+        if parts:
+            yield emit()
 
     def join(batches):
         def rows(ids, twins, s, e):
@@ -253,18 +288,19 @@ def repeat_spans(docs: DataFrame, total_bytes: int) -> DataFrame:
                 bucket, data = bucket.as_py(), data.as_py()
                 if kind.as_py():
                     ids, twins, *_, body = unpack(data)
-                    yield rows(ids, twins, *body.view(np.uint32).reshape(2, -1).astype(np.int32))
+                    yield rows(ids, twins, *body.view(np.uint32).reshape(-1, 2).T.astype(np.int32))
                     continue
                 if bucket != now and held:
-                    yield rows(*bucket_spans(held))
+                    for found in bucket_spans(held):
+                        yield rows(*found)
                     held = []
                 now = bucket
                 held.append(data)
-        if held:
-            yield rows(*bucket_spans(held))
+        for found in bucket_spans(held) if held else ():
+            yield rows(*found)
 
     cut_rows = docs.select("id", "twin", "text").mapInArrow(cut, "bucket int, kind int, data binary")
-    found = cut_rows.repartition(n_buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(join, "id long, twin long, s int, e int")
+    found = cut_rows.repartition(min(n_buckets, MOST_TASKS), "bucket").sortWithinPartitions("bucket").mapInArrow(join, "id long, twin long, s int, e int")
     return found.groupBy("id", "twin").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
 
 
@@ -276,33 +312,37 @@ def merge_spans(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndar
     return start[new], end[np.append(np.flatnonzero(new)[1:] - 1, len(end) - 1)]
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of finished, unreferenced plans now rather than at some later collection."""
-    jvm = getattr(spark, "_jvm", None)
-    for _ in range(2 if jvm is not None else 0):
-        gc.collect()
-        jvm.System.gc()
-        time.sleep(1)
-
-
 def with_spans(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``df`` as (id, text, spans): the spans of bytes that an earlier document has, unmerged, null where there are none."""
-    spark = df.sparkSession
+    """``df`` as (id, body, spans): the text's bytes, compressed, and the spans of bytes that an earlier document has,
+    unmerged, null where there are none. Compressed, texts are a third as large where they are shuffled to their spans.
+    """
+    if not isinstance(df.schema[key].dataType, (ByteType, ShortType, IntegerType, LongType)):
+        raise TypeError(f"{key} must be an integer: documents are compared by it")
     base = df.select(F.col(key).cast("long").alias("id"), text_or_empty(text).alias("text"))
     repeated = base.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 and id is not null").limit(1).count()
     # rows that share an id are told apart by their text; without such rows nothing has to be carried
     docs = base.withColumn("twin", F.xxhash64("text") if repeated else F.lit(0).cast("long"))
     total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     spans = materialize(repeat_spans(docs.filter("id is not null"), total), "repeat-spans")
-    release_shuffles(spark)
     named = spans.withColumnsRenamed({"id": "s_id", "twin": "s_twin"})
-    return docs.join(named, (docs["id"] == named["s_id"]) & (docs["twin"] == named["s_twin"]), "left").select("id", "text", "spans")
+    packed = docs.mapInArrow(compressed, "id long, twin long, body binary")
+    return packed.join(named, (packed["id"] == named["s_id"]) & (packed["twin"] == named["s_twin"]), "left").select("id", "body", "spans")
+
+
+def compressed(batches):
+    """(id, text, twin) as (id, twin, body)."""
+    import pyarrow as pa
+    import zstandard
+
+    pressed = zstandard.ZstdCompressor(1, write_content_size=True).compress
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("twin"), pa.array([pressed(t.as_py().encode()) for t in batch.column("text")], pa.binary())], names=["id", "twin", "body"])
 
 
 def remove_repeats(df: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, n_bytes, n_removed, n_spans, kept_sha256`` for every row.
 
-    Null and empty texts have no byte. Texts with a null key are left as they are and take nothing from others; rows
+    The key must be an integer (else TypeError). Null and empty texts have no byte. Texts with a null key are left as they are and take nothing from others; rows
     that share a key take nothing from each other. An empty table gives an empty result.
     """
     import pyarrow as pa
@@ -310,14 +350,16 @@ def remove_repeats(df: DataFrame, *, key: str = "doc_id", text: str = "text") ->
     def digest(batches):
         from hashlib import sha256
 
+        from zstandard import decompress
+
         for batch in batches:
             spans = batch.column(2)
             bounds = spans.offsets.to_numpy()
             flat = spans.values
             starts, ends = flat.field(0).to_numpy(), flat.field(1).to_numpy()
             counts, shas = np.zeros((3, len(batch.column(1))), np.int64), []
-            for i, text in enumerate(batch.column(1)):
-                body = text.as_py().encode()
+            for i, body in enumerate(batch.column(1)):
+                body = decompress(body.as_py())
                 counts[0, i] = len(body)
                 a, b = bounds[i], bounds[i + 1]
                 if a == b:

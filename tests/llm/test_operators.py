@@ -567,6 +567,37 @@ def test_repeats(docs, empty, monkeypatch, small):
     assert repeats.remove_repeats(empty).count() == 0
 
 
+def test_repeats_by_parts():
+    rng = np.random.default_rng(21)
+    texts = [bytes(rng.integers(97, 101, 400, dtype=np.uint8)) for _ in range(40)]
+    texts += [t[50:250] + bytes(rng.integers(97, 101, 100, dtype=np.uint8)) for t in texts[:20]]
+    ids = np.arange(len(texts))
+    found = set()
+    for size in (8 << 20, 2_000):
+        repeats.PART_BYTES, before = size, repeats.PART_BYTES
+        blobs = {}
+        for bucket, kind, part in repeats.cut_chunk(ids[::2], ids[::2] * 0, texts[::2], 2):
+            blobs.setdefault((bucket, kind), []).append(repeats.pack([part]))
+        for bucket, kind, part in repeats.cut_chunk(ids[1::2], ids[1::2] * 0, texts[1::2], 2):
+            blobs.setdefault((bucket, kind), []).append(repeats.pack([part]))
+        covered = set()
+        for (bucket, kind), held in blobs.items():
+            if kind:
+                for i, _, _, _, _, body in map(repeats.unpack, held):
+                    covered |= {(d, x) for d, (s, e) in zip(i.tolist(), body.view(np.uint32).reshape(-1, 2).tolist()) for x in range(s, e)}
+            else:
+                for i, _, s, e in repeats.bucket_spans(held):
+                    covered |= {(d, x) for d, a, b in zip(i.tolist(), s.tolist(), e.tolist()) for x in range(a, b)}
+        repeats.PART_BYTES = before
+        found.add(frozenset(covered))
+    assert len(found) == 1 and len(covered) == 20 * 200
+
+
+def test_repeats_need_integer_keys(spark):
+    with pytest.raises(TypeError, match="integer"):
+        repeats.remove_repeats(spark.createDataFrame([("a", "text")], "doc_id string, text string"))
+
+
 @pytest.mark.parametrize("in_memory,block", [(100, 64), (1 << 20, 1 << 20), (1 << 20, 50)])
 def test_transform(monkeypatch, in_memory, block):
     monkeypatch.setattr(bwt, "IN_MEMORY", in_memory)
