@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,10 +17,14 @@ _own_dir: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a local one of our own where that is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``; a local one of our own where that is unset and all runs
+    on this host (tests). On a cluster without it every executor would write to its own disk: that is refused.
+    """
     global _own_dir
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "local")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         _own_dir = _own_dir or "file://" + tempfile.mkdtemp(prefix="evoria-")
         path = _own_dir
     return path.rstrip("/")
@@ -36,6 +41,17 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that this engine has written and that no DataFrame still reads."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def clear_stored(spark: SparkSession) -> None:
+    """Removes all that this engine has written under the shared folder; DataFrames that read it are void then."""
+    remove(spark, f"{shared_dir(spark)}/evoria")
+
+
 def text_or_empty(text: str) -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 

@@ -13,8 +13,10 @@ from ._common import materialize
 PROFILE = 400
 #: Labelled rows of each language that the profiles are learned from (a bounded sample by hash order).
 TRAIN_ROWS = 400
-#: Largest number of languages; more labels than this mean that the label column holds something else.
-MAX_LANGUAGES = 1000
+#: Leading bits of a hash that rows of a language are counted by.
+LEAD_BITS = 12
+#: Largest number of languages whose hash bounds are broadcast.
+BROADCAST_LANGUAGES = 10_000
 LENGTHS = (1, 2, 3)
 UNKNOWN = "und"
 #: Stands for a run of other characters; above all code points, so n-grams of different lengths are different integers.
@@ -88,16 +90,20 @@ class Profiles:
 def learn_profiles(labelled: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = TRAIN_ROWS) -> dict[str, list[int]]:
     """Profiles from ``rows`` rows of each non-null language, the first in the order of a hash of key and text.
 
-    Window-group limits keep ``rows`` rows of a language before the shuffle. Counts of n-grams are summed on the
-    executors; each profile reaches the driver as ``PROFILE`` numbers.
+    Counts by the leading bits of the hash tell how far the first ``rows`` of a language reach, so that only about these
+    are sorted, however many rows a language has. Counts of n-grams are summed on the executors; each profile reaches the
+    driver as ``PROFILE`` numbers.
     """
     base = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(key), F.col(text)).alias("h")).filter("lang is not null and text is not null")
-    hashes = base.select("lang", "h").withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("n") <= rows)
-    chosen = materialize(hashes.groupBy("lang").agg(F.max("h").alias("most")), "langid-bounds")
-    if chosen.count() > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} distinct languages in the training rows")
-    bounds = chosen.withColumnRenamed("lang", "of")
-    picked = base.join(F.broadcast(bounds), (F.col("lang") == F.col("of")) & (F.col("h") <= F.col("most"))).select("lang", "text")
+    hashes = materialize(base.select("lang", "h").withColumn("lead", F.shiftright("h", 64 - LEAD_BITS)), "langid-hashes")
+    leads = hashes.groupBy("lang", "lead").agg(F.count(F.lit(1)).alias("n"))
+    upto = leads.withColumn("upto", F.sum("n").over(Window.partitionBy("lang").orderBy("lead")))
+    reach = upto.groupBy(F.col("lang").alias("of")).agg(F.coalesce(F.min(F.when(F.col("upto") >= rows, F.col("lead"))), F.max("lead")).alias("reach"))
+    first = hashes.join(reach, (F.col("lang") == F.col("of")) & (F.col("lead") <= F.col("reach"))).withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("n") <= rows)
+    bounds = materialize(first.groupBy(F.col("lang").alias("of")).agg(F.max("h").alias("most")), "langid-bounds")
+    if bounds.count() <= BROADCAST_LANGUAGES:
+        bounds = F.broadcast(bounds)
+    picked = base.join(bounds, (F.col("lang") == F.col("of")) & (F.col("h") <= F.col("most"))).select("lang", "text")
 
     def count(batches):
         import pandas as pd
