@@ -17,7 +17,7 @@ from .bwt import sort_suffixes
 
 #: Text bytes that a map task handles at a time, chunks whose strings travel together, string bytes of a bucket aimed at,
 #: and of the parts of a bucket that are compared at a time.
-CHUNK_BYTES, CHUNKS, BUCKET_BYTES, PART_BYTES = 3 << 20, 4, 24 << 20, 8 << 20
+CHUNK_BYTES, CHUNKS, BUCKET_BYTES, PART_BYTES = 3 << 20, 5, 11 << 20, 6 << 20
 #: Reduce tasks at most: beyond, a task takes several buckets one after the other.
 MOST_TASKS = 20_000
 #: Bytes of strings made from a byte of text.
