@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Spark's setting that shuffle files go at the end of an execution.
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _own_dir: str | None = None
 
 
@@ -34,11 +37,17 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     This cuts lineage (a lost executor costs a re-read, not a recomputation) and gives every later use of the
-    rows the same values.
+    rows the same values. Spark may drop the shuffle files of the write as soon as it ends: nothing reads them again.
     """
-    path = f"{shared_dir(df.sparkSession)}/evoria/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/evoria/{tag}-{uuid.uuid4().hex}"
+    before = spark.conf.get(DROP_SHUFFLES, None)
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(DROP_SHUFFLES) if before is None else spark.conf.set(DROP_SHUFFLES, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def remove(spark: SparkSession, path: str) -> None:

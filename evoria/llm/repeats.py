@@ -17,7 +17,7 @@ from .bwt import sort_suffixes
 
 #: Text bytes that a map task handles at a time, chunks whose strings travel together, string bytes of a bucket aimed at,
 #: and of the parts of a bucket that are compared at a time.
-CHUNK_BYTES, CHUNKS, BUCKET_BYTES, PART_BYTES = 3 << 20, 5, 11 << 20, 6 << 20
+CHUNK_BYTES, CHUNKS, BUCKET_BYTES, PART_BYTES = 2 << 20, 4, 11 << 20, 6 << 20
 #: Reduce tasks at most: beyond, a task takes several buckets one after the other.
 MOST_TASKS = 20_000
 #: Bytes of strings made from a byte of text.
@@ -131,7 +131,7 @@ def cut_chunk(ids: np.ndarray, twins: np.ndarray, texts: list[bytes], n_buckets:
     for group, b in zip(np.split(at, cuts), bucket[np.concatenate([[0], cuts])] if len(at) else []):
         d = doc[group]
         body, _ = _gather(data, first[group], stop[group] - first[group])
-        yield int(b), 0, (ids[d], twins[d], first[group] - doc_start[d], stop[group] - first[group], place[group], body)
+        yield int(b), 0, (ids[d], twins[d], (first[group] - doc_start[d]).astype(np.uint32), (stop[group] - first[group]).astype(np.uint8), place[group].astype(np.uint8), body)
 
 
 def _shared(keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
