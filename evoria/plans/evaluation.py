@@ -78,11 +78,11 @@ def temperature_sigmoid(spark, d):
     return _labels(spark, d).select("doc_id", F.round(m.sigmoid(F.col("s") * 8 - 4, 0.75), 6).alias("p"))
 
 
-@query("L11_fit_temperature")
+@query("L11_fit_temperature", f"WITH {_L}, x AS (SELECT CASE WHEN y THEN 1 ELSE -1 END * round(s * 8 - CASE WHEN y THEN 2 ELSE 5 END, 2) AS z FROM l), g AS (SELECT unnest(range(50, 10001)) / 1000.0 AS t), n AS (SELECT t, sum(ln(1 + exp(-abs(z / t))) + greatest(-z / t, 0)) AS loss FROM g, x GROUP BY t) SELECT round(arg_min(t, loss), 2) AS temperature FROM n")
 def fit_temperature(spark, d):
     l = _labels(spark, d).withColumn("z", F.col("s") * 8 - F.when(F.col("y"), 2).otherwise(5))
     t = ev.fit_temperature(l, "y", "z")
-    return spark.range(1).select(F.lit(round(t, 3)).alias("temperature"))
+    return spark.range(1).select(F.lit(round(t, 2)).alias("temperature"))
 
 
 @query("L12_ensemble", f"WITH {_L} SELECT doc_id, round(1 / (1 + exp(-((0.5 * (8 * s - 4) + 0.3 * (8 * s2 - 4) + 0.2 * (8 * s3 - 4)) / 1.0) / 1.5)), 6) AS p FROM l")
