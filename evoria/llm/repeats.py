@@ -18,6 +18,8 @@ from .bwt import sort_suffixes
 #: Text bytes that a map task handles at a time, chunks whose strings travel together, string bytes of a bucket aimed at,
 #: and of the parts of a bucket that are compared at a time.
 CHUNK_BYTES, CHUNKS, BUCKET_BYTES, PART_BYTES = 2 << 20, 4, 11 << 20, 6 << 20
+#: Bytes laid end to end at a time.
+GATHER = 1 << 20
 #: Reduce tasks at most: beyond, a task takes several buckets one after the other.
 MOST_TASKS = 20_000
 #: Bytes of strings made from a byte of text.
@@ -64,17 +66,19 @@ def unpack(blob: bytes) -> tuple[np.ndarray, ...]:
 
 
 def _gather(data: np.ndarray, first: np.ndarray, length: np.ndarray, gap: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """The byte ranges laid end to end (each followed by ``gap`` zero bytes), and where each starts."""
-    starts = np.cumsum(length + gap) - (length + gap)
-    total = int((length + gap).sum())
-    if total:
-        where = np.repeat(first - starts, length + gap)
-        out = data[np.minimum(np.arange(total) + where, len(data) - 1)]
-        if gap:
-            out = out.copy()
-            out[starts + length] = 0
-        return out, starts
-    return np.empty(0, np.uint8), starts
+    """The byte ranges laid end to end (each followed by ``gap`` zero bytes), and where each starts.
+
+    Places are computed for about ``GATHER`` bytes at a time; they take eight times as much.
+    """
+    ends = np.cumsum(length.astype(np.int64) + gap)
+    starts = ends - length - gap
+    out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
+    cuts = np.searchsorted(ends, np.arange(GATHER, len(out) + GATHER, GATHER), side="right")
+    for a, b in zip([0, *cuts[:-1]], cuts):
+        n = length[a:b].astype(np.int64)
+        to, shift = np.arange(int(n.sum())), np.cumsum(n) - n
+        out[to + np.repeat(starts[a:b] - shift, n)] = data[to + np.repeat(first[a:b] - shift, n)]
+    return out, starts
 
 
 def equal_ranges(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -158,33 +162,29 @@ def bucket_spans(blobs: list[bytes]):
     body = np.concatenate([*(f[5] for f in found), np.zeros(8, np.uint8)])
     del found, blobs
     first = np.cumsum(length) - length
+    # strings whose minimizer no other document has cannot repeat one; where a minimizer value stands several times in a
+    # string, its place says too little for that
     words, p = W.words64(body), first + (place & 63)
-    low = W.mix((words[p] * W._A) ^ (words[p + 8] * W._B))
-    n_parts = max(1, len(body) // PART_BYTES)
+    kmer = (words[p] * W._A) ^ (words[p + 8] * W._B)
+    low, many = W.mix(kmer), place >= W.MANY
+    odd = np.isin(low, np.unique(low[many])) if many.any() else many
+    some = np.flatnonzero(_shared(kmer, ids) | odd)
+    del kmer, p
+    n_parts = max(1, int(length[some].sum()) // PART_BYTES)
     # other bits than those that chose the bucket
-    part = ((low.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(32)) * np.uint64(n_parts) >> np.uint64(32)).astype(np.int64)
+    part = ((low[some].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(32)) * np.uint64(n_parts) >> np.uint64(32)).astype(np.int64)
     for k in range(n_parts):
-        at = np.flatnonzero(part == k)
+        at = some[part == k]
         if len(at):
-            yield part_spans(ids[at], twins[at], begin[at], length[at], place[at], _gather(body, first[at], length[at])[0])
+            yield part_spans(ids[at], twins[at], begin[at], length[at], place[at], low[at], odd[at], _gather(body, first[at], length[at])[0])
 
 
-def part_spans(ids: np.ndarray, twins: np.ndarray, begin: np.ndarray, length: np.ndarray, place: np.ndarray, body: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(id, twin, start, end) of the strings' spans that repeat a document with a smaller id."""
-    body = np.concatenate([body, np.zeros(8, np.uint8)])
+def part_spans(ids: np.ndarray, twins: np.ndarray, begin: np.ndarray, length: np.ndarray, place: np.ndarray, low: np.ndarray, odd: np.ndarray, body: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(id, twin, start, end) of the strings' spans that repeat a document with a smaller id.
+
+    ``low``: the value of a string's minimizer; ``odd``: its place in the string says nothing.
+    """
     first = np.cumsum(length) - length
-    # strings whose minimizer, or the bytes around it, no other document has cannot repeat one; where a minimizer value
-    # stands several times in a string, its place says too little for that
-    words = W.words64(body)
-    p = first + (place.astype(np.int64) & 63)
-    kmer = (words[p] * W._A) ^ (words[p + 8] * W._B)
-    low, many = W.mix(kmer), place >= W.MANY
-    odd = np.isin(low, np.unique(low[many])) if many.any() else many
-    some = np.flatnonzero(_shared(kmer, ids) | odd)
-    if not len(some):
-        return NO_SPANS
-    ids, twins, begin, length, place, low, odd = (x[some] for x in (ids, twins, begin, length, place, low, odd))
-    body, first = _gather(body, first[some], length)
     body = np.concatenate([body, np.zeros(8, np.uint8)])
     p = first + (place.astype(np.int64) & 63)
     hashes = W.SpanHash(body)
