@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .plans.registry import ORACLES, QUERIES, Query
 
-MODULES = ("relational", "text", "corpus", "facts", "resolution", "graphs", "evaluation", "streams", "more")
+MODULES = ("relational", "text", "corpus", "facts", "resolution", "graphs", "evaluation", "streams", "more", "chain")
 
 
 def _load() -> None:
