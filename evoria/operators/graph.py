@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from .joins import top_k
 
+#: Spark's setting that shuffle files go at the end of an execution.
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _own: list[str] = []
 
 
@@ -30,10 +33,19 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def store(df: DataFrame) -> DataFrame:
-    """Write once to the shared folder and read back: cuts lineage for loops, and survives lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/evoria/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write once to the shared folder and read back: cuts lineage for loops, and survives lost executors.
+
+    Spark may drop the shuffle files of the write as soon as it ends: nothing reads them again.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/evoria/{uuid.uuid4().hex}"
+    before = spark.conf.get(DROP_SHUFFLES, None)
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(DROP_SHUFFLES) if before is None else spark.conf.set(DROP_SHUFFLES, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def clear_stored(spark: SparkSession) -> None:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import graph, resolution as res, vectors
+from ..operators import graph, joins, resolution as res, vectors
 from .corpus import _DOT, _UNIT
 from .registry import query, table
 
@@ -47,11 +47,17 @@ def snapshot_visibility(spark, d):
 _PAIR = f"p AS (SELECT a.event_id AS mention, b.event_id AS cluster, a.event_type AS ka, b.event_type AS kb, {_K.replace('props', 'a.props')} AS sa, {_K.replace('props', 'b.props')} AS sb, a.value AS va, b.value AS vb, floor(abs(epoch_us(a.ts) - epoch_us(b.ts)) / 86400000000)::BIGINT AS gap FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = b.event_type AND b.event_id < a.event_id)"
 
 
-def _pairs(spark, d):
+#: Days beyond which the longest time gap excludes a candidate.
+_NEAR = 12
+
+
+def _pairs(spark, d, near=False):
+    """Mentions with their earlier clusters; ``near``: those that the time gap does not exclude, met in buckets of time."""
     e = _events(spark, d)
     a = e.select(F.col("event_id").alias("mention"), "user_id", "event_type", F.col("k").alias("sa"), F.col("value").alias("va"), F.col("us").alias("ua"))
     b = e.select(F.col("event_id").alias("cluster"), "user_id", "event_type", F.col("k").alias("sb"), F.col("value").alias("vb"), F.col("us").alias("ub"))
-    return a.join(b, ["user_id", "event_type"]).filter("cluster < mention").withColumn("gap", F.floor(F.abs(F.col("ua") - F.col("ub")) / 86_400_000_000))
+    both = joins.band_join(a, b, ["user_id", "event_type"], "ua", "ub", (_NEAR + 1) * 86_400_000_000 - 1) if near else a.join(b, ["user_id", "event_type"])
+    return both.filter("cluster < mention").withColumn("gap", F.floor(F.abs(F.col("ua") - F.col("ub")) / 86_400_000_000))
 
 
 def _reason():
@@ -72,12 +78,12 @@ def exclusion_fallback(spark, d):
     return res.fallback(_pairs(spark, d).withColumn("reason", _reason())).select("mention", "cluster", "reason")
 
 
-def _scored(spark, d):
+def _scored(spark, d, near=False):
     sim = 1 - F.abs(F.col("va") - F.col("vb")) / 1000
     ent = res.jaccard(F.array(F.col("sa") % 4, F.col("sa") % 6), F.array(F.col("sb") % 4, F.col("sb") % 6))
     loc = res.location_feature(F.create_map(F.lit("m"), F.col("sa") % 3), F.create_map(F.lit("m"), F.col("sb") % 3))
     score = res.feature_score(sim, sim, res.time_feature(F.col("gap"), 40), ent, loc, F.lit(True))
-    return _pairs(spark, d).withColumns({"ent": ent, "score": F.round(score, 3)})
+    return _pairs(spark, d, near).withColumns({"ent": ent, "score": F.round(score, 3)})
 
 
 _SCORED = f"""{_PAIR}, q AS (SELECT *, len(list_distinct([sa % 4, sa % 6])) AS na, len(list_intersect([sa % 4, sa % 6], [sb % 4, sb % 6])) AS ni, len(list_distinct([sa % 4, sa % 6, sb % 4, sb % 6])) AS nu FROM p),
@@ -89,9 +95,9 @@ def feature_score(spark, d):
     return _scored(spark, d).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 4).alias("mean"), F.count_if(F.col("score") > 0.9).alias("high"))
 
 
-@query("C10_decision_cascade", f"WITH {_SCORED}, t AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY mention ORDER BY score DESC, cluster) = 1), dd AS (SELECT CASE WHEN sa = sb THEN 'attach_anchor' WHEN score >= 0.88 AND ent >= 0.5 AND gap = 0 THEN 'attach_bypass' WHEN score < 0.78 THEN 'create_low' WHEN mention % 7 = 0 THEN 'pending' ELSE 'judge' END AS action FROM t) SELECT action, count(*) AS n FROM dd GROUP BY 1")
+@query("C10_decision_cascade", f"WITH {_SCORED}, t AS (SELECT * FROM sc WHERE gap <= {_NEAR} QUALIFY row_number() OVER (PARTITION BY mention ORDER BY score DESC, cluster) = 1), dd AS (SELECT CASE WHEN sa = sb THEN 'attach_anchor' WHEN score >= 0.88 AND ent >= 0.5 AND gap = 0 THEN 'attach_bypass' WHEN score < 0.78 THEN 'create_low' WHEN mention % 7 = 0 THEN 'pending' ELSE 'judge' END AS action FROM t) SELECT action, count(*) AS n FROM dd GROUP BY 1")
 def decision_cascade(spark, d):
-    best = res.top_k(_scored(spark, d), ["mention"], [F.desc("score"), "cluster"], 1)
+    best = res.top_k(_scored(spark, d, near=True), ["mention"], [F.desc("score"), "cluster"], 1)
     action = res.decision(F.lit(9), F.when(F.col("sa") == F.col("sb"), F.col("cluster")), F.lit(1), F.col("score"), F.lit(True), F.col("ent"), F.col("gap") == 0, F.col("mention") % 7 != 0)
     return best.groupBy(action.alias("action")).agg(F.count(F.lit(1)).alias("n"))
 
