@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import ids, text, times, urls
-from ..operators.vectors import in_blocks
+from ..operators import extract
 from .registry import query, table
 
 _NS = ids.NAMESPACE.hex
@@ -59,11 +59,9 @@ def lineage_groups(spark, d):
 @query("T05_quote_locate", r"""WITH n AS (SELECT doc_id, replace(regexp_replace(text, '[\p{Cf}\p{Zs}\x{00}-\x{09}\x{0b}-\x{1f}\x{7f}-\x{9f}]', '', 'g'), chr(10), ' ') AS t FROM documents), b AS (SELECT item_id, replace(regexp_replace(substr(text, 1, 60), '[\p{Cf}\p{Zs}\x{00}-\x{09}\x{0b}-\x{1f}\x{7f}-\x{9f}]', '', 'g'), chr(10), ' ') AS q FROM benchmark)
 SELECT item_id, doc_id, (instr(regexp_replace(t, ' +', ' ', 'g'), q) - 1)::INTEGER AS s, (instr(regexp_replace(t, ' +', ' ', 'g'), q) - 1 + length(q))::INTEGER AS e FROM n, b WHERE length(q) >= 6 AND contains(regexp_replace(t, ' +', ' ', 'g'), q)""")
 def quote_locate(spark, d):
-    # benchmark items are a stated query set; every document is searched for each of them
     docs = table(spark, d, "documents").select("doc_id", "text")
-    items = in_blocks(table(spark, d, "benchmark"), F.struct("item_id", F.substring("text", 1, 60).alias("q")))
-    each = docs.join(items).withColumn("x", F.explode("all"))
-    found = each.select("doc_id", "x.item_id", text.quote_span(F.col("text"), F.col("x.q")).alias("span")).filter("span IS NOT NULL")
+    quotes = table(spark, d, "benchmark").select("item_id", F.substring("text", 1, 60).alias("q"))
+    found = extract.find_quotes(docs, quotes, "doc_id", "text", "item_id", "q")
     return found.select("item_id", "doc_id", F.col("span.start").alias("s"), F.col("span.end").alias("e"))
 
 

@@ -71,6 +71,28 @@ def test_quotes(spark):
     assert one(spark, text.quote_span(F.lit(body), F.lit("not in the text"))) is None
 
 
+def test_quotes_are_found_in_every_place(spark):
+    import random
+
+    from evoria.operators import extract
+
+    rng = random.Random(4)
+    words = lambda n: " ".join("".join(rng.choice("abcdé") for _ in range(rng.randint(2, 6))) for _ in range(n))
+    docs = [(i, words(120)) for i in range(12)] + [(50, None), (51, "")]
+    quotes = []
+    for i, t in docs[:12]:
+        for n in (6, 20, 30, 41, 90):
+            at = rng.randrange(len(t) - n)
+            quotes.append((len(quotes), t[at : at + n]))
+        at = rng.randrange(len(t) - 90)
+        quotes.append((len(quotes), "XX" + t[at + 2 : at + 78] + "YYYYYYYYYYYY"))
+    quotes += [(1000, "abc"), (1001, None), (1002, "not in any of these texts at all, nowhere")]
+    d, q = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(quotes, "item long, q string")
+    got = {(r["item"], r["doc_id"], r["span"]["start"], r["span"]["end"]) for r in extract.find_quotes(d, q, "doc_id", "text", "item", "q").collect()}
+    every = d.crossJoin(q).select("item", "doc_id", text.quote_span(F.col("text"), F.col("q")).alias("span")).filter("span IS NOT NULL").collect()
+    assert got == {(r["item"], r["doc_id"], r["span"]["start"], r["span"]["end"]) for r in every} and len(got) >= 60
+
+
 def test_uuid5_is_the_standard_one(spark):
     want = str(uuid.uuid5(ids.NAMESPACE, "a\x1fé\x1f3"))
     assert one(spark, ids.uuid5(F.lit("a"), F.lit("é"), F.lit("3"))) == want
