@@ -31,8 +31,9 @@ BROADCAST_GROUPS = 20_000
 def base_features(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds ``n_words word_chars n_symbols n_dup_lines n_lines n_repeat_words base_failed``.
 
-    A null or empty text has no word and fails the base rule. Windows of three words are compared as whole strings
-    (words hold no space), sorted with their places; nothing leaves the row.
+    A null or empty text has no word and fails the base rule. Windows of three words are sorted by a 64-bit hash and
+    their places, and neighbours of one hash are compared word by word; nothing leaves the row. (A window would be missed
+    if another one of its text had the same hash and stood between it and its only equal.)
     """
     w, s, p, lines = (free_name(df, n) for n in ("_words", "_sorted", "_places", "_lines"))
     body = text_or_empty(text)
@@ -43,15 +44,17 @@ def base_features(df: DataFrame, text: str = "text") -> DataFrame:
         "word_chars": F.length(F.translate(body, " \t\n\x0b\x0c\r", "")).cast("long"),
         "n_symbols": (F.length(body) - F.length(F.translate(body, "#*$%&|<>", ""))).cast("long"),
     })
-    window = F.transform(F.slice(w, F.lit(1), F.greatest(F.size(w) - 2, F.lit(0))), lambda x, i: F.struct(F.concat_ws(" ", x, F.get(F.col(w), i + 1), F.get(F.col(w), i + 2)).alias("t"), i.alias("i")))
+    window = F.transform(F.slice(w, F.lit(1), F.greatest(F.size(w) - 2, F.lit(0))), lambda x, i: F.struct(F.xxhash64(x, F.get(F.col(w), i + 1), F.get(F.col(w), i + 2)).alias("h"), i.alias("i")))
     df = df.withColumns({
         "n_words": F.size(w).cast("long"),
         "n_lines": F.size(lines).cast("long"),
         "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
         s: F.sort_array(window),
-    }).drop(w, lines)
-    twice = F.filter(s, lambda x, j: (x["t"] == F.get(F.col(s), j - 1)["t"]) | (x["t"] == F.get(F.col(s), j + 1)["t"]))
-    df = df.withColumn(p, F.when(F.size(s) > 1, F.sort_array(F.transform(twice, lambda x: x["i"]))).otherwise(F.array().cast("array<int>"))).drop(s)
+    }).drop(lines)
+    word = lambda x, k: F.get(F.col(w), x["i"] + k)
+    same = lambda x, y: (x["h"] == y["h"]) & (word(x, 0) == word(y, 0)) & (word(x, 1) == word(y, 1)) & (word(x, 2) == word(y, 2))
+    twice = F.filter(s, lambda x, j: same(x, F.get(F.col(s), j - 1)) | same(x, F.get(F.col(s), j + 1)))
+    df = df.withColumn(p, F.when(F.size(s) > 1, F.sort_array(F.transform(twice, lambda x: x["i"]))).otherwise(F.array().cast("array<int>"))).drop(s, w)
     covered = F.aggregate(F.transform(p, lambda x, k: F.least(F.lit(3), F.coalesce(F.get(F.col(p), k + 1), x + 3) - x).cast("long")), F.lit(0).cast("long"), lambda a, b: a + b)
     df = df.withColumn("n_repeat_words", covered).drop(p)
     return df.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
