@@ -363,9 +363,9 @@ def keep_one_of_each(df: DataFrame, *, key: str = "doc_id", text: str = "text",
     too, are near copies of each other. Groups never share a row, so each keeps one whatever keys repeat. An empty table
     gives an empty result.
     """
-    columns, h = df.columns, free_name(df, "_hash")
+    columns, h, best_id, best_h = df.columns, *(free_name(df, n) for n in ("_hash", "_best_id", "_best_hash"))
     best = F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "h")).alias("best")
-    chosen = materialize(wide_groups(df, key=key, text=text, shingle=shingle, similarity=similarity).groupBy("root").agg(best).select(F.col("best.id").alias("best_id"), F.col("best.h").alias("best_h")), "near-chosen")
+    chosen = materialize(wide_groups(df, key=key, text=text, shingle=shingle, similarity=similarity).groupBy("root").agg(best).select(F.col("best.id").alias(best_id), F.col("best.h").alias(best_h)), "near-chosen")
     kept = df.withColumn(h, text_hash(text))
-    kept = kept.join(chosen, F.col(h).eqNullSafe(F.col("best_h")) & F.col(key).eqNullSafe(F.col("best_id")), "left_semi")
+    kept = kept.join(chosen, F.col(h).eqNullSafe(F.col(best_h)) & F.col(key).eqNullSafe(F.col(best_id)), "left_semi")
     return kept.dropDuplicates([h, key]).select(*columns)

@@ -43,3 +43,24 @@ def test_stages_in_turn(spark, tmp_path):
 def test_run(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "token_ids"] and out.count() > 50
+
+
+CLASHING = ("_row", "_text", "_id", "_key", "size", "source_size", "target", "_times", "_hash", "_best_id", "_best_hash", "h", "root", "wide", "n_words", "kept", "base_failed", "_found", "_spans", "_ends", "_chars", "_same", "_copy", "_all", "token_ids", "n_tokens", "law", "s")
+
+
+def test_stages_with_clashing_columns_and_empty_tables(spark, tmp_path):
+    words_ = [" ".join(f"v{i}x{j}" for j in range(60 + i)) for i in range(12)]
+    table = [(i, t, ["en", None][i % 2], ["s1", None, "s2"][i % 3], 5, *["clash"] * len(CLASHING)) for i, t in enumerate([None, "", *words_, words_[0], words_[1] + f" token = '{'ab12' * 8}'"])] + [(None, words_[2] + " q", None, None, None, *[None] * len(CLASHING))]
+    wide = spark.createDataFrame(table, SCHEMA + "".join(f", `{c}` string" for c in CLASHING))
+    for start in (wide, wide.limit(0), wide.drop(*CLASHING)):
+        docs = start
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, str(tmp_path))
+            if k < len(corpus_pipeline.STAGES) - 1:
+                assert out.columns == start.columns and out.dtypes == start.dtypes, name
+            path = f"{tmp_path}/{id(start)}-{k}"
+            out.write.parquet(path)
+            docs = spark.read.parquet(path)
+            if k < len(corpus_pipeline.STAGES) - 1:
+                assert all(set(r[5:]) <= {"clash", None} for r in docs.collect())
+        assert (docs.count() > 0) == (start is not wide and len(start.columns) == 5 or start is wide)
