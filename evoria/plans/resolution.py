@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators import graph, joins, resolution as res, vectors
 from .corpus import _DOT, _UNIT
@@ -161,6 +162,17 @@ def correlation_clusters(spark, d):
     return res.correlation_clusters(table(spark, d, "embeddings").select(F.col("vec_id").alias("node")), graph.store(_similar(spark, d)))
 
 
+@query("C23_planted_groups", "WITH r AS (SELECT vec_id, label, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) // 5 AS g FROM embeddings) SELECT vec_id AS node, min(vec_id) OVER (PARTITION BY label, g) AS cluster FROM r")
+def planted_groups(spark, d):
+    # runs of five of a label are alike, and unlike the runs before and after them
+    place = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
+    r = graph.store(table(spark, d, "embeddings").select("vec_id", "label", F.floor(place / 5).alias("g")))
+    a, b = r.select("label", "g", F.col("vec_id").alias("a")), r.select("label", "g", F.col("vec_id").alias("b"))
+    inside = a.join(b, ["label", "g"]).filter("a < b").select("a", "b", F.lit(0.9).alias("p"))
+    across = a.join(b.withColumn("g", F.col("g") - 1), ["label", "g"]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(0.2).alias("p"))
+    return res.correlation_clusters(r.select(F.col("vec_id").alias("node")), graph.store(inside.unionByName(across)))
+
+
 @query("C24_canonical_proposals", f"{_UNIT}, s AS (SELECT a.label, a.vec_id AS a, b.vec_id AS b, round(least(1.0, greatest(0.0, ({_DOT.format(a='a.e', b='b.e')} + 1) / 2)), 4) AS p FROM u a JOIN u b ON a.label = b.label AND a.vec_id < b.vec_id), c AS (SELECT label, min(vec_id) AS cluster FROM u GROUP BY 1) SELECT cluster, round(round(avg(p), 4), 2) AS p, count(*) AS edges, CASE WHEN avg(p) >= 0.9 THEN 'merge' WHEN avg(p) >= 0.5 THEN 'review' ELSE 'none' END AS action FROM s JOIN c USING (label) GROUP BY 1")
 def canonical_proposals(spark, d):
     v = table(spark, d, "embeddings")
