@@ -226,7 +226,9 @@ def discovery_steps(found: DataFrame, column: str, rate: float = RATE) -> dict[s
     Candidates are counted by family and step, so p-values of parts merge by addition; one number for each of at most
     eight encodings by six length bands reaches the driver.
     """
-    counts = found.select(F.explode(F.col(column)["candidates"]).alias("c")).groupBy("c.family", "c.step").agg(F.count(F.lit(1)).alias("n"))
+    # an outer explode: for an inner one the optimizer adds a filter on the array and computes all that made it once more
+    each = found.select(F.explode_outer(F.col(column)["candidates"]).alias("c")).filter("c.family IS NOT NULL")
+    counts = each.groupBy("c.family", "c.step").agg(F.count(F.lit(1)).alias("n"))
     family = Window.partitionBy("family")
     ranked = counts.withColumns({"m": F.sum("n").over(family), "k": F.sum("n").over(family.orderBy(F.desc("step")))})
     ok = ranked.filter((F.pow(F.lit(10.0), -F.col("step") / P_STEPS) <= F.col("k") * rate / F.col("m")) & (F.col("step") > 0))
