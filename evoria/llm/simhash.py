@@ -8,6 +8,7 @@ from itertools import combinations
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from ._common import free_name, materialize
 from .components import connected_components
@@ -336,15 +337,17 @@ def wide_groups(df: DataFrame, *, key: str = "doc_id", text: str = "text", shing
     Groups are the components of links between wide fingerprints: pairs whose shingle sets are of ``similarity`` or more
     are linked but for the share that ``BLOCK_RECALL`` and ``DEVIATIONS`` leave out; pairs somewhat below may be, too.
     """
-    from pyspark.sql.functions import pandas_udf
+    schema = StructType([StructField("id", df.schema[key].dataType), StructField("h", LongType()), StructField("wide", BinaryType())])
 
-    @pandas_udf("binary")
-    def of(texts):
-        import pandas as pd
+    def of(batches):
+        import pyarrow as pa
 
-        return pd.Series([wide_fingerprint(t, shingle) for t in texts])
+        # texts leave the batch one at a time: a batch of them as Python strings would be held twice
+        for batch in batches:
+            wide = pa.array((wide_fingerprint(t.as_py(), shingle) for t in batch.column(2)), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), wide], names=schema.names)
 
-    docs = materialize(df.select(F.col(key).alias("id"), text_hash(text).alias("h"), of(F.col(text)).alias("wide")), "near-documents")
+    docs = materialize(df.select(F.col(key).alias("id"), text_hash(text).alias("h"), F.col(text).alias("body")).mapInArrow(of, schema), "near-documents")
     prints = materialize(docs.groupBy("wide").agg(F.count(F.lit(1)).alias("n")).select("wide", F.monotonically_increasing_id().alias("node")), "near-prints")
     edges = materialize(wide_links(prints, prints.count(), similarity), "near-links")
     roots = prints.join(connected_components(edges).withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left").select(F.col("wide").alias("of_wide"), F.coalesce("root", "node").alias("root"))
