@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .graph import store
+
 
 def doubles(v: Column) -> Column:
     return v.cast("array<double>")
@@ -71,6 +73,8 @@ def nearest(vectors: DataFrame, centers: DataFrame, key: str, vector: str, cente
 
     Each block of centers gives its own k best; where there are several blocks, these meet in one more ranking.
     """
+    # counted and gathered: computed once
+    centers = store(centers.select(label, center))
     asked = in_blocks(centers, F.struct(F.col(label).alias("label"), F.col(center).alias("c")))
     own = vectors.select(key, unit(doubles(F.col(vector))).alias("v")).join(asked)
     scored = F.transform("all", lambda x: F.struct((-F.round(dot(x["c"], F.col("v")), 6)).alias("back"), x["label"].alias("label")))
