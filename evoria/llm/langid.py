@@ -99,6 +99,9 @@ def learn_profiles(labelled: DataFrame, *, key: str = "doc_id", text: str = "tex
     leads = hashes.groupBy("lang", "lead").agg(F.count(F.lit(1)).alias("n"))
     upto = leads.withColumn("upto", F.sum("n").over(Window.partitionBy("lang").orderBy("lead")))
     reach = upto.groupBy(F.col("lang").alias("of")).agg(F.coalesce(F.min(F.when(F.col("upto") >= rows, F.col("lead"))), F.max("lead")).alias("reach"))
+    reach = materialize(reach, "langid-reach")
+    if reach.count() <= BROADCAST_LANGUAGES:
+        reach = F.broadcast(reach)
     first = hashes.join(reach, (F.col("lang") == F.col("of")) & (F.col("lead") <= F.col("reach"))).withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("n") <= rows)
     bounds = materialize(first.groupBy(F.col("lang").alias("of")).agg(F.max("h").alias("most")), "langid-bounds")
     if bounds.count() <= BROADCAST_LANGUAGES:
