@@ -79,8 +79,16 @@ def retries(failures: DataFrame, key: str) -> DataFrame:
     return failures.groupBy(key).applyInPandasWithState(run, f"`{key}` {kind}, attempts long, status string, delay long", "n long", "update", GroupStateTimeout.NoTimeout)
 
 
+#: Groups of slots that a stream keeps its states by; fixed for the life of its checkpoint.
+SLOT_GROUPS = 4096
+
+
 def slot_decisions(facts: DataFrame, slot: str, key: str) -> DataFrame:
-    """``slot, key, decision`` for a stream of facts: the same step as the batch fold, state between batches."""
+    """``slot, key, decision`` for a stream of facts: the same step as the batch fold, state between batches.
+
+    Slots lie in ``SLOT_GROUPS`` groups by their hash, whose states are kept and given out together: what a call into
+    Python costs falls on a group, not on every slot.
+    """
     import json
 
     from pyspark.sql.streaming.state import GroupStateTimeout
@@ -90,17 +98,21 @@ def slot_decisions(facts: DataFrame, slot: str, key: str) -> DataFrame:
     def run(k: tuple, batches: Iterator, state) -> Iterator:
         import pandas as pd
 
-        held: dict[str, Any] | None = json.loads(state.get[0]) if state.exists else None
+        # slots are named by their JSON form, which tells null and numbers apart
+        held: dict[str, Any] = json.loads(state.get[0]) if state.exists else {}
         pdf = pd.concat(list(batches)).sort_values(["sys_time", key])
-        out = []
-        for record in pdf[[key, *names]].astype(object).where(pdf[[key, *names]].notna(), None).to_dict("records"):
-            held, decision, _ = step(held, {n: record[n] for n in names})
-            out.append((k[0], record[key], decision))
+        columns = [pdf[c].astype(object).where(pdf[c].notna(), None).tolist() for c in (slot, key, *names)]
+        decisions = []
+        for at, _, *values in zip(*columns, strict=True):
+            at = json.dumps(at)
+            held[at], decision, _ = step(held.get(at), dict(zip(names, values, strict=True)))
+            decisions.append(decision)
         state.update((json.dumps(held),))
-        yield pd.DataFrame(out, columns=[slot, key, "decision"])
+        yield pd.DataFrame({slot: columns[0], key: columns[1], "decision": decisions})
 
     types = {c: facts.schema[c].dataType.simpleString() for c in (slot, key)}
-    return facts.groupBy(slot).applyInPandasWithState(run, f"`{slot}` {types[slot]}, `{key}` {types[key]}, decision string", "state string", "update", GroupStateTimeout.NoTimeout)
+    grouped = facts.withColumn("_group", F.pmod(F.xxhash64(slot), F.lit(SLOT_GROUPS))).groupBy("_group")
+    return grouped.applyInPandasWithState(run, f"`{slot}` {types[slot]}, `{key}` {types[key]}, decision string", "state string", "update", GroupStateTimeout.NoTimeout)
 
 
 def project(outbox: DataFrame, keys: list[str], value: str) -> DataFrame:
