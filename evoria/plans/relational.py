@@ -64,10 +64,8 @@ shared AS (SELECT DISTINCT x.l_suppkey AS a, y.l_suppkey AS b FROM sp x JOIN sp
 SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM s a JOIN s b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey WHERE NOT EXISTS (SELECT 1 FROM shared WHERE shared.a = a.s_suppkey AND shared.b = b.s_suppkey)""")
 def no_shared_entity_pairs(spark, d):
     s = table(spark, d, "supplier").select("s_suppkey", "s_nationkey")
-    sp = table(spark, d, "lineitem").select("l_suppkey", "l_partkey").distinct()
-    shared = sp.select(F.col("l_suppkey").alias("a"), "l_partkey").join(sp.select(F.col("l_suppkey").alias("b"), "l_partkey"), "l_partkey").filter("a < b").select("a", "b").distinct()
-    pairs = s.withColumnRenamed("s_suppkey", "a").join(s.withColumnRenamed("s_suppkey", "b"), "s_nationkey").filter("a < b").select("a", "b")
-    return pairs.join(shared, ["a", "b"], "left_anti")
+    sp = table(spark, d, "lineitem").select("l_suppkey", "l_partkey")
+    return joins.pairs_without_shared(s, sp, "s_suppkey", "s_nationkey", "l_suppkey", "l_partkey")
 
 
 @query("R09_left_stale_projection", """WITH want AS (SELECT o_custkey AS k, count(*) AS v FROM orders GROUP BY 1), have AS (SELECT o_custkey AS k, count(*) AS v FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1)
