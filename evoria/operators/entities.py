@@ -43,11 +43,21 @@ def seed_edges(pairs: DataFrame, keys: DataFrame, relation: str = "part_of") ->
     return both.filter("src <> dst").select("src", "dst", F.lit(relation).alias("relation")).distinct()
 
 
+#: Names that are looked for in a text one by one; larger dictionaries join its grams.
+FEW_NAMES = 256
+
+
 def link_dictionary(queries: DataFrame, entities: DataFrame, query: str, key: str, least: int = 2, most: int = 5) -> DataFrame:
     """Entities whose key occurs in the query text, the longest first, at most ``most`` of a query.
 
-    Texts are cut into all grams of the dictionary's key lengths, so that the dictionary joins by equality.
+    A dictionary of up to ``FEW_NAMES`` travels to the texts. Beyond that they are cut into all grams of its key lengths,
+    so that the dictionary joins by equality.
     """
+    ranked = lambda hits: hits.withColumn("rn", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(F.length("norm_key")), "entity_id"))).filter(F.col("rn") <= most).select(key, "entity_id", "norm_key", "rn")
+    names = entities.select("norm_key", "entity_id").filter(F.length("norm_key") >= least)
+    if names.count() <= FEW_NAMES:
+        bodies = queries.select(key, text.loose_key(F.col(query)).alias("_body"))
+        return ranked(bodies.join(F.broadcast(names), F.contains("_body", "norm_key")).select(key, "entity_id", "norm_key"))
     lengths = sorted(r[0] for r in entities.select(F.length("norm_key").alias("n")).distinct().collect())  # a few numbers
     # characters in an array: a place in a string is found from its start, a slice of an array is not
     cut = queries.select(key, F.split(text.loose_key(F.col(query)), "").alias("_chars"))
@@ -57,7 +67,7 @@ def link_dictionary(queries: DataFrame, entities: DataFrame, query: str, key: st
         return queries.select(key).limit(0).crossJoin(entities.select("entity_id").limit(0))
     rows = cut.select(key, F.explode(F.array_distinct(F.concat(*parts))).alias("norm_key"))
     hits = rows.join(entities.select("norm_key", "entity_id"), "norm_key")
-    return hits.withColumn("rn", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(F.length("norm_key")), "entity_id"))).filter(F.col("rn") <= most).select(key, "entity_id", "norm_key", "rn")
+    return ranked(hits)
 
 
 def family(edges: DataFrame, members: DataFrame, node: str = "entity_id", relations: tuple[str, ...] = FAMILY_RELATIONS) -> DataFrame:
